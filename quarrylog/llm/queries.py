@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pivot_index, simhash_ball
-from .common import documents
+import public_tokenizers
+
+from . import byte_bpe, importance_quality, pivot_index, quality_forest, simhash_ball, suffix_dedup
+from .common import documents, labels
 
 
 def op1_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,8 +20,25 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.near_duplicates(documents(spark, sf_dir), distance=4, shingle=4)
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), threshold=400)
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_forest.judge(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = importance_quality.resample(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
+    return got.select("doc_id", "log_weight", "gumbel_key", "selected")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_near_dedup, op2_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_pivot_near_dedup, op2_simhash_near_dedup, op5_byte_bpe, op6_suffix_dedup, op8_quality_rules, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
