@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, importance_quality, pivot_index, quality_forest, simhash_ball, suffix_dedup
+from . import byte_bpe, importance_quality, line_suffix, mixing_flow, pivot_index, quality_forest, simhash_ball, suffix_dedup
 from .common import documents, labels
 
 
@@ -20,6 +21,11 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.near_duplicates(documents(spark, sf_dir), distance=4, shingle=4)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_suffix.remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return got.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -32,14 +38,21 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed, sources = mixing_flow.mix(documents(spark, sf_dir), F.array("source"), share=1.5, most=2, weights=(5, 2, 1), keep=["source"])
+    target = F.broadcast(sources.withColumnRenamed("source", "s"))
+    joined = mixed.join(target, F.col("source").eqNullSafe(F.col("s")))
+    return joined.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = importance_quality.resample(documents(spark, sf_dir).select("doc_id", "text"), labels(spark, sf_dir))
     return got.select("doc_id", "log_weight", "gumbel_key", "selected")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_near_dedup, op2_simhash_near_dedup, op5_byte_bpe, op6_suffix_dedup, op8_quality_rules, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pivot_near_dedup, op2_simhash_near_dedup, op4_line_dedup, op5_byte_bpe, op6_suffix_dedup, op8_quality_rules, op9_mixing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_line_dedup": line_suffix.ORACLE, "op9_mixing": mixing_flow.ORACLE}
