@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, importance_quality, line_suffix, mixing_flow, pivot_index, quality_forest, simhash_ball, suffix_dedup
+from . import byte_bpe, importance_quality, line_suffix, mixing_flow, pivot_index, quality_forest, simhash_ball, suffix_dedup, toxicity_cnn
 from .common import documents, labels
 
 
@@ -34,6 +34,10 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), threshold=400)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_cnn.score_toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_forest.judge(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -51,7 +55,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_near_dedup, op2_simhash_near_dedup, op4_line_dedup, op5_byte_bpe, op6_suffix_dedup, op8_quality_rules, op9_mixing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pivot_near_dedup, op2_simhash_near_dedup, op4_line_dedup, op5_byte_bpe, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_mixing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
