@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
 _written: list[tuple[SparkSession, str]] = []
+_paths: dict[int, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,22 +31,37 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors."""
+def materialize(df: DataFrame, name: str, instead: list[DataFrame] | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors.
+
+    Tables in ``instead`` (materialized before, and needed no more) are deleted.
+    With it, even if empty, the driver's garbage is collected, so that Spark
+    removes the shuffle files of what has been written.
+    """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/quarrylog-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[id(table)] = path
+    if instead is not None:
+        for old in instead:
+            _delete(spark, _paths.pop(id(old)))
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 @atexit.register
 def _forget() -> None:
     for spark, path in _written:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may have ended before
             return
 

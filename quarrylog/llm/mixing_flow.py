@@ -146,8 +146,8 @@ def _edges(spark, keyed: DataFrame, need: dict[str, int]) -> dict[str, tuple[str
     return {p: (b, first[p][1] + before) for p, (b, before) in second.items()}
 
 
-def select(docs: DataFrame, routed: dict[str, tuple[int, int]], seed: int = 9) -> DataFrame:
-    """Adds ``copies`` to ``docs(doc_id, pattern, size)``; ``routed`` has (words of the pattern, words to take).
+def select(docs: DataFrame, routed: dict[str, tuple[int, int]]) -> DataFrame:
+    """Adds ``copies`` to ``docs(pattern, size, key)``; ``routed`` has (words of the pattern, words to take).
 
     Every document is taken as often as all of them can be, then once more in
     order of the seeded key while the words fit; what is left is filled by the
@@ -155,8 +155,6 @@ def select(docs: DataFrame, routed: dict[str, tuple[int, int]], seed: int = 9) -
     taken as often as all are.
     """
     spark = docs.sparkSession
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    docs = materialize(docs.withColumn("key", key), "mix")
     whole = {p: take // words if words else 0 for p, (words, take) in routed.items()}
     need = {p: take - whole[p] * words for p, (words, take) in routed.items()}
     part = {p: n for p, n in need.items() if n > 0}
@@ -192,8 +190,10 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, most: int = 2, wei
     their sizes count one by one.  An empty table gives empty results.
     """
     spark = docs.sparkSession
-    d = docs.select("doc_id", *keep, F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("sources"), word_count(F.col("text")).alias("size"))
-    d = materialize(d.withColumn("pattern", F.to_json("sources")), "sizes")
+    others = [c for c in keep if c != "doc_id"]
+    d = docs.select("doc_id", *[F.col(c).alias(f"__{c}") for c in others], F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("sources"), word_count(F.col("text")).alias("size"))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    d = materialize(d.select("*", F.to_json("sources").alias("pattern"), key.alias("key")), "sizes")
     found = d.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("words")).orderBy("pattern").limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
@@ -207,8 +207,8 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, most: int = 2, wei
     target = capped_targets(sizes, [weights[k % len(weights)] for k in range(len(names))], total, most)
     flow = route([([spot[s] for s in r["sources"]], r["words"]) for r in found], [round(t) for t in target], most)
     routed = {r["pattern"]: (r["words"], sum(f.values())) for r, f in zip(found, flow)}
-    chosen = select(d, routed, seed) if routed else d.withColumn("copies", F.lit(0).cast("long"))
-    chosen = chosen.select("doc_id", *keep, "pattern", "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    chosen = select(d, routed) if routed else d.withColumn("copies", F.lit(0).cast("long"))
+    chosen = chosen.select("doc_id", *[F.col(f"__{c}").alias(c) for c in others], "pattern", "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     table = spark.createDataFrame([(s, int(z), float(t)) for s, z, t in zip(names, sizes, target)], "source string, source_size long, target double")
     return chosen, table
 

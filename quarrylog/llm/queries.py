@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from . import byte_bpe, importance_quality, line_suffix, mixing_flow, pivot_index, quality_forest, simhash_ball, suffix_dedup, toxicity_cnn
+from . import byte_bpe, importance_quality, line_suffix, mixing_flow, nce_lm, pivot_index, quality_forest, simhash_ball, suffix_dedup, toxicity_cnn
 from .common import documents, labels
 
 
@@ -21,6 +21,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_ball.near_duplicates(documents(spark, sf_dir), distance=4, shingle=4)
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nce_lm.score_documents(documents(spark, sf_dir))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_suffix.remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return got.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit(""))).alias("kept_md5"))
@@ -55,7 +59,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_near_dedup, op2_simhash_near_dedup, op4_line_dedup, op5_byte_bpe, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_mixing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pivot_near_dedup, op2_simhash_near_dedup, op3_lm_scoring, op4_line_dedup, op5_byte_bpe, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_mixing, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:

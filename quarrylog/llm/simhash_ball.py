@@ -16,6 +16,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,20 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
 
+def _with_fingerprints(at: int, shingle: int, seed: int):
+    """All columns, the fingerprint of the text in column ``at``, and a number for each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, index = TaskContext.get().partitionId() << 40, 0
+        for b in batches:
+            got = np.array([fingerprint((x.as_py() or "").encode("utf-8"), shingle, seed) for x in b.column(at)], dtype=np.uint64)
+            row = task + index + np.arange(b.num_rows)
+            index += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got.view(np.int64)), pa.array(row)], [*b.schema.names, "__fp", "__row"])
+
+    return run
+
+
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,3 +184,16 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
     by_print = named.join(ids, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id (null last), of repeated ids any one."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __fp long, __row long"
+    rows = materialize(docs.mapInArrow(_with_fingerprints(docs.columns.index("text"), shingle, seed), schema), "fingerprints")
+    links = materialize(link_fingerprints(rows.select(F.col("__fp").alias("fp")), distance), "links")
+    groups = components(links)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
+    lowest = rows.groupBy(F.col("__fp").alias("fp")).agg(first.alias("low"))
+    named = lowest.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
+    kept = named.groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("low").alias("low"))
+    return rows.join(kept.select(F.col("low.row").alias("__row")), "__row", "left_semi").drop("__fp", "__row")
