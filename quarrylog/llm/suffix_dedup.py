@@ -98,7 +98,7 @@ def _cells(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, d = b.column(0).to_numpy(), b.column(1).to_numpy()
-            row, cell, first, last, need, c1, c2, w1, w2, none, held = [], [], [], [], [], [], [], [], [], [], []
+            row, cell, first, last, need, c1, c2, w1, w2, none = [], [], [], [], [], [], [], [], [], []
             for k in range(b.num_rows):
                 t = b.column(2)[k].as_py()
                 for r in b.column(3)[k].as_py():
@@ -111,12 +111,11 @@ def _cells(threshold: int):
                         c1.append(_name(t[s : s + half])), c2.append(_name(t[e - half : e]))
                         s, e = a - near - CELL + 1, a - near + threshold
                         none.append(s < 0 or e > len(t))
-                        w1.append(0 if none[-1] else _name(t[s : s + half], 1)), w2.append(0 if none[-1] else _name(t[s : e], 2))
-                        held.append(t[lo : hi + threshold])
+                        w1.append(0 if none[-1] else _name(t[s : s + half], 1)), w2.append(0 if none[-1] else _name(t[s:e], 2))
             at, none = np.array(row, dtype=np.int64), np.array(none, dtype=bool)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(h[at]), pa.array(d[at]), pa.array(cell, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(need, pa.bool_()), pa.array(_signed(c1)), pa.array(_signed(c2)), pa.array(_signed(w1), mask=none), pa.array(_signed(w2), mask=none), pa.array(held, pa.binary())],
-                ["h", "d", "cell", "first", "last", "need", "c1", "c2", "w1", "w2", "bytes"],
+                [pa.array(h[at]), pa.array(d[at]), pa.array(cell, pa.int32()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(need, pa.bool_()), pa.array(_signed(c1)), pa.array(_signed(c2)), pa.array(_signed(w1), mask=none), pa.array(_signed(w2), mask=none)],
+                ["h", "d", "cell", "first", "last", "need", "c1", "c2", "w1", "w2"],
             )
 
     return run
@@ -128,16 +127,16 @@ def _starts(threshold: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, d, first = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy()
-            row, at, r1, r2 = [], [], [], []
-            for k, x in enumerate(b.column(3)):
-                t = x.as_py()
-                for s in range(len(t) - threshold + 1):
-                    row.append(k), at.append(s)
-                    r1.append(_name(t[s : s + half])), r2.append(_name(t[s + threshold - half : s + threshold]))
+            h, d = b.column(0).to_numpy(), b.column(1).to_numpy()
+            row, at, need, r1, r2 = [], [], [], [], []
+            for k in range(b.num_rows):
+                t = b.column(2)[k].as_py()
+                for c in b.column(3)[k].as_py():
+                    for p in range(c["first"], c["last"] + 1):
+                        row.append(k), at.append(p), need.append(c["need"])
+                        r1.append(_name(t[p : p + half])), r2.append(_name(t[p + threshold - half : p + threshold]))
             i = np.array(row, dtype=np.int64)
-            p = first[i] + np.array(at, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(d[i]), pa.array(p.astype(np.int32)), b.column(4).take(pa.array(i)), pa.array(_signed(r1)), pa.array(_signed(r2))], ["h", "d", "first", "need", "r1", "r2"])
+            yield pa.RecordBatch.from_arrays([pa.array(h[i]), pa.array(d[i]), pa.array(at, pa.int32()), pa.array(need, pa.bool_()), pa.array(_signed(r1)), pa.array(_signed(r2))], ["h", "d", "first", "need", "r1", "r2"])
 
     return run
 
@@ -167,17 +166,20 @@ def repeated_starts(docs: DataFrame, threshold: int = 400) -> DataFrame:
     and ``body`` (bytes).
     """
     spans = ["h", "d", "first", "last"]
-    runs = docs.mapInArrow(_runs(threshold), "h long, d long, anchor int, first int, last int, core long, wide long")
-    live = materialize(repeated(materialize(runs, "runs"), ["core"]), "live-runs")
-    live = materialize(_decide(live, ["wide"]), "split-runs")
+    runs = materialize(docs.mapInArrow(_runs(threshold), "h long, d long, anchor int, first int, last int, core long, wide long"), "runs")
+    live = materialize(repeated(runs, ["core"]), "live-runs", [runs])
+    live = materialize(_decide(live, ["wide"]), "split-runs", [live])
     asked = _asked(live, ["core"], ["wide"], ["h", "d", "anchor", "first", "last"])
-    asked = asked.groupBy("h", "d").agg(F.collect_set(F.struct("anchor", "first", "last", "need")).alias("runs"))
+    asked = materialize(asked.groupBy("h", "d").agg(F.collect_set(F.struct("anchor", "first", "last", "need")).alias("runs")), "asked", [])
     cells = docs.join(asked, ["h", "d"]).select("h", "d", "body", "runs")
-    cells = cells.mapInArrow(_cells(threshold), "h long, d long, cell int, first int, last int, need boolean, c1 long, c2 long, w1 long, w2 long, bytes binary")
-    kept = materialize(repeated(materialize(cells, "cells"), ["cell", "c1", "c2"]), "live-cells")
-    kept = materialize(_decide(kept, ["w1", "w2"]), "split-cells")
-    starts = _asked(kept, ["cell", "c1", "c2"], ["w1", "w2"], ["h", "d", "first", "bytes"])
-    starts = materialize(starts.mapInArrow(_starts(threshold), "h long, d long, first int, need boolean, r1 long, r2 long"), "starts")
+    cells = cells.mapInArrow(_cells(threshold), "h long, d long, cell int, first int, last int, need boolean, c1 long, c2 long, w1 long, w2 long")
+    cells = materialize(cells, "cells", [asked])
+    kept = materialize(repeated(cells, ["cell", "c1", "c2"]), "live-cells", [cells])
+    kept = materialize(_decide(kept, ["w1", "w2"]), "split-cells", [kept])
+    asked = _asked(kept, ["cell", "c1", "c2"], ["w1", "w2"], spans)
+    asked = materialize(asked.groupBy("h", "d").agg(F.collect_set(F.struct("first", "last", "need")).alias("cells")), "asked", [])
+    starts = docs.join(asked, ["h", "d"]).select("h", "d", "body", "cells")
+    starts = materialize(starts.mapInArrow(_starts(threshold), "h long, d long, first int, need boolean, r1 long, r2 long"), "starts", [asked])
     single = repeated(starts, ["r1", "r2"]).where("need").select("h", "d", "first", F.col("first").alias("last"))
     return live.where("whole").select(*spans).unionByName(kept.where("need and whole").select(*spans)).unionByName(single)
 
@@ -238,6 +240,6 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, keep_text: bool = Fals
     d = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), d).alias("h"), F.xxhash64(F.lit(7), d, F.coalesce("text", F.lit(""))).alias("d"), raw_text().alias("body"))
     starts = repeated_starts(keyed.select("h", "d", "body"), threshold)
-    spans = starts.groupBy("h", "d").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    spans = materialize(starts.groupBy("h", "d").agg(F.collect_set(F.struct("first", "last")).alias("spans")), "spans", [])
     joined = keyed.join(spans, ["h", "d"], "left").select("doc_id", "body", "spans")
     return joined.mapInArrow(_cut(threshold, keep_text), f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * keep_text)
