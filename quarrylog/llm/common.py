@@ -79,28 +79,26 @@ def remainder(doc_id: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def ascii_lower(c: Column) -> Column:
-    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def raw_text(c: str = "text") -> Column:
     """The text as UTF-8 bytes, null as empty."""
     return F.coalesce(F.col(c), F.lit("")).cast("binary")
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
-    """Two columns (__h, __d) that are equal only for rows of one id and one text.
+def bounded_sample(df: DataFrame, most: int, seed: int, *by: str) -> DataFrame:
+    """About ``most`` rows (all, if there are no more), drawn by a hash of ``by``, which is added as __order.
 
-    Rows equal in both have equal results in the operators that join on this
-    key, so they need not be told apart.
+    A threshold on the hash: no task and no driver ever holds more than the
+    sample, whatever the number of partitions.
     """
-    d = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    return [F.xxhash64(F.coalesce(F.col(text), F.lit("")), d).alias("__h"), F.md5(F.concat_ws("\x00", d, F.length(F.col(text)).cast("string"), F.xxhash64(F.lit(7), F.col(text)).cast("string"))).alias("__d")]
+    n = df.count()
+    key = F.xxhash64(F.lit(seed), *[F.col(c) for c in by])
+    drawn = df.withColumn("__order", key)
+    return drawn if n <= most else drawn.where(F.pmod("__order", F.lit(1 << 40)) < int(most / n * (1 << 40)))
 
 
-def byte_rows(batch: pa.RecordBatch, column: int) -> list[bytes]:
-    """A binary column as a list of bytes, without null."""
-    return [x or b"" for x in batch.column(column).to_pylist()]
+def in_order(rows: list) -> list:
+    """Collected rows of a bounded sample, in order of their hash."""
+    return sorted(rows, key=lambda r: (r["__order"], str(r)))
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str], least: int = 20_000) -> Iterator[pa.Table]:

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_sample, materialize
 from .quality_forest import threshold
 
 BUCKETS = 1 << 14
-#: Labelled rows that the target model and the size of the sample are taken from, at most.
+#: About how many labelled rows the target model and the size of the sample are taken from.
 LABELLED = 16_384
 #: What the mean log ratio of a text's n-grams is multiplied by before the noise (of scale 1) is added.
 SHARPNESS = 60.0
@@ -110,8 +110,8 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 10) -> DataFrame:
     """``docs`` with log_weight, gumbel_key and selected, by weight against the labelled good texts.
 
     The raw model counts all of ``docs(doc_id, text)``; the target model counts
-    texts labelled good in ``labels(doc_id, quality)``, up to LABELLED labelled
-    rows in order of a hash.  k is the number of all documents whose weight
+    texts labelled good in ``labels(doc_id, quality)``, of about LABELLED labelled
+    rows drawn by a hash.  k is the number of all documents whose weight
     reaches the threshold that best separates those labelled rows.  selected
     marks the k largest keys; ties at the edge are all selected.  All other
     columns are returned as they are.  Null and empty texts weigh 0.  Without
@@ -119,7 +119,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 10) -> DataFrame:
     noise.  An empty table gives an empty result.
     """
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
-    marked = F.broadcast(marked.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(LABELLED))
+    marked = F.broadcast(bounded_sample(marked, LABELLED, seed, "doc_id").drop("__order"))
     text = F.coalesce("text", F.lit("")).alias("text")
     counted = docs.select("doc_id", text).join(marked, "doc_id", "left").select("text", F.coalesce(F.col("__quality") > 0, F.lit(False)).alias("target"))
     counts = counted.mapInArrow(_count, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).collect()
@@ -132,7 +132,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 10) -> DataFrame:
     u = (F.xxhash64(F.lit(seed), F.lit("gumbel"), "doc_id") / F.lit(2.0**64)) + 0.5
     u = F.greatest(F.least(u, F.lit(1 - 1e-12)), F.lit(1e-12))
     weighed = materialize(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "weighed")
-    rows = weighed.select("doc_id", "log_weight").join(marked, "doc_id").orderBy(F.xxhash64(F.lit(seed), "doc_id")).limit(LABELLED).collect()
+    rows = weighed.select("doc_id", "log_weight").join(marked, "doc_id").collect()
     good = np.array([r["__quality"] > 0 for r in rows], dtype=bool)
     edge = -threshold(-np.array([r["log_weight"] for r in rows]), good, CLEAN_WORTH) if len(rows) else -math.inf
     if edge == -math.inf:

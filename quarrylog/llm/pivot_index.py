@@ -18,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, group_starts, local_components, materialize, whole_groups
+from .common import bounded_sample, components, group_starts, in_order, local_components, materialize, whole_groups
 
-#: Vectors from which reference points are taken (a bounded sample of the index' own rows).
+#: About how many vectors reference points are taken from (a sample of the index' own rows).
 SAMPLE = 2048
 #: Lists longer than this are verified in pairs of blocks, each pair of blocks a group of its own.
 BLOCK = 1024
@@ -143,7 +143,7 @@ def link_vectors(rows: DataFrame, least: float = 0.93, nearest: int = 8, shared:
     classes = materialize(r.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     n = classes.count()
     pivots = pivot_count(n)
-    sample = [list(x.v) for x in classes.orderBy(F.xxhash64("v", F.lit(11)), "label", "rep").select("v").limit(min(SAMPLE, pivots)).collect()]
+    sample = [list(r["v"]) for r in in_order(bounded_sample(classes.select("v"), SAMPLE, 11, "v").collect())]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
