@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .severity import numeric_level
-from .timestamps import epoch_millis_text
+from .timestamps import epoch_millis_text, let
 
 # Where the usual attributes are looked up, first match first.
 SEVERITY = ("severity", "level", "log.level", "levelname", "loglevel")
@@ -18,8 +18,7 @@ TIMESTAMP = ("timestamp", "time", "@timestamp", "receiveTimestamp")
 
 def entry(c: Column) -> Column:
     """The object in a line, or null; other JSON is no entry."""
-    v = F.try_parse_json(c)
-    return F.when(F.schema_of_variant(v).startswith("OBJECT"), v)
+    return let(F.try_parse_json(c), lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), v))
 
 
 def _step(name: str) -> str:
@@ -41,20 +40,20 @@ def value(v: Column, field: str) -> Column:
 
 def as_text(v: Column) -> Column:
     """A value as text: null as 'null', text as it is, numbers and booleans in JSON, objects and lists as JSON."""
-    kind = F.schema_of_variant(v)
-    return F.when(v.isNull(), None).when(F.is_variant_null(v), "null").when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+    def read(v: Column) -> Column:
+        return F.when(v.isNull(), None).when(F.is_variant_null(v), "null").when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(F.to_json(v))
+
+    return let(v, read)
 
 
 def scalar_text(v: Column, field: str) -> Column:
     """Text of a field for matching: null where it is missing, null, an object or a list."""
-    got = value(v, field)
-    kind = F.schema_of_variant(got)
-    return F.when(got.isNotNull() & ~F.is_variant_null(got) & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), as_text(got))
+    return let(value(v, field), lambda got: F.when(got.isNotNull() & ~F.is_variant_null(got) & ~F.schema_of_variant(got).rlike("^(OBJECT|ARRAY)"), as_text(got)))
 
 
 def _set(v: Column) -> Column:
     """Neither missing nor null nor false."""
-    return F.when(~F.is_variant_null(v) & ~((F.schema_of_variant(v) == "BOOLEAN") & ~F.coalesce(F.try_variant_get(v, "$", "boolean"), F.lit(True))), v)
+    return let(v, lambda x: F.when(~F.is_variant_null(x) & (F.to_json(x) != "false"), x))
 
 
 def _first(v: Column, fields: tuple[str, ...]) -> Column:
@@ -63,9 +62,11 @@ def _first(v: Column, fields: tuple[str, ...]) -> Column:
 
 def severity(v: Column) -> Column:
     """Lower-case severity; numbers by the numeric levels; other kinds null."""
-    got = _first(v, SEVERITY)
-    kind = F.schema_of_variant(got)
-    return F.when(kind == "STRING", F.lower(F.try_variant_get(got, "$", "string"))).when(kind == "BIGINT", numeric_level(F.try_variant_get(got, "$", "long")))
+    def read(got: Column) -> Column:
+        kind = F.schema_of_variant(got)
+        return F.when(kind == "STRING", F.lower(F.try_variant_get(got, "$", "string"))).when(kind == "BIGINT", let(F.try_variant_get(got, "$", "long"), numeric_level))
+
+    return let(_first(v, SEVERITY), read)
 
 
 def message(v: Column) -> Column:
@@ -74,9 +75,11 @@ def message(v: Column) -> Column:
 
 def timestamp_text(v: Column) -> Column:
     """The timestamp as text: text as written, integers as epoch milliseconds, other kinds null."""
-    got = _first(v, TIMESTAMP)
-    kind = F.schema_of_variant(got)
-    return F.when(kind == "STRING", F.try_variant_get(got, "$", "string")).when(kind == "BIGINT", epoch_millis_text(F.try_variant_get(got, "$", "long")))
+    def read(got: Column) -> Column:
+        kind = F.schema_of_variant(got)
+        return F.when(kind == "STRING", F.try_variant_get(got, "$", "string")).when(kind == "BIGINT", epoch_millis_text(F.try_variant_get(got, "$", "long")))
+
+    return let(_first(v, TIMESTAMP), read)
 
 
 def content(v: Column) -> Column:

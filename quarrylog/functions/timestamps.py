@@ -9,7 +9,7 @@ time the next format is tried.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -28,6 +28,11 @@ ZONED_ISO = r"^\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:[.,]\d+)?(?:[Zz]|[+-]\d
 RFC3339 = r"(\d{4}-\d{2}-\d{2}[Tt ]\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:[Zz]|[+-]\d{2}:?\d{2})?)"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip_ansi(c: Column) -> Column:
     return F.regexp_replace(c, ANSI, "")
 
@@ -62,10 +67,14 @@ def _digits(text: Column) -> Column:
 
 
 def _found(at: Column, digits: Column | None = None) -> Column:
-    return F.when(at.isNotNull(), F.struct(at.alias("at"), (F.lit(0) if digits is None else digits).cast("int").alias("digits")))
+    return let(at, lambda t: F.when(t.isNotNull(), F.struct(t.alias("at"), (F.lit(0) if digits is None else digits).cast("int").alias("digits"))))
 
 
 def _iso(text: Column) -> Column:
+    return let(text, _read_iso)
+
+
+def _read_iso(text: Column) -> Column:
     """ISO text, UTC without a zone; offsets may lack their colon."""
     zoned = F.when(text.rlike(r"(?:[Zz]|[+-]\d{2}(?::?\d{2})?)$") & text.rlike(r":\d{2}(?:[.,]\d+)?(?:[Zz]|[+-])"), text).otherwise(F.concat(text, F.lit("Z")))
     plain = F.regexp_replace(F.regexp_replace(F.translate(zoned, "tz,", "TZ."), r"([+-]\d{2}):?(\d{2})$", "$1:$2"), r"(:\d{2}(?:\.\d+)?)([+-]\d{2})$", "$1$2:00")
@@ -79,40 +88,56 @@ def _month(name: Column) -> Column:
     return at
 
 
+def _fields(c: Column, pattern: str, body: Callable[[Callable[[int], Column]], Column]) -> Column:
+    """``body`` of the groups of a pattern's first match, the expensive search for which is made once."""
+    return let(F.regexp_extract(c, pattern, 0), lambda m: F.when(m != "", body(lambda k: F.regexp_extract(m, pattern, k))))
+
+
 def _clf(c: Column) -> Column:
-    day, month, year, clock, zone = (_pick(c, CLF, k) for k in range(1, 6))
+    return _fields(c, CLF, lambda g: _read_clf(*(g(k) for k in range(1, 6))))
+
+
+def _read_clf(day: Column, month: Column, year: Column, clock: Column, zone: Column) -> Column:
     number = F.when(month.rlike("^[A-Z][a-z]{2}$"), _month(month))
     at = F.try_to_timestamp(F.concat(year, F.lit("-"), F.lpad(number.cast("string"), 2, "0"), F.lit("-"), day, F.lit("T"), clock, F.lit("Z")))
     size = F.substring(zone, 2, 2).cast("int") * 3600 + F.substring(zone, 4, 2).cast("int") * 60
-    return F.when(day != "", _found(_moved(at, F.when(F.substring(zone, 1, 1) == "-", -size).otherwise(size))))
+    return _found(_moved(at, F.when(F.substring(zone, 1, 1) == "-", -size).otherwise(size)))
 
 
 def _date_time(c: Column) -> Column:
-    day, clock = _pick(c, DATE_TIME, 1), _pick(c, DATE_TIME, 2)
-    return F.when(day != "", _iso(F.concat(day, F.lit("T"), clock, F.lit("Z"))))
+    return _fields(c, DATE_TIME, lambda g: _iso(F.concat(g(1), F.lit("T"), g(2), F.lit("Z"))))
 
 
 def _syslog(c: Column, year: Column) -> Column:
-    month, day, clock = (_pick(c, SYSLOG, k) for k in (1, 2, 3))
-    text = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(_month(month).cast("string"), 2, "0"), F.lit("-"), F.lpad(day, 2, "0"), F.lit("T"), clock, F.lit("Z"))
-    return F.when(month != "", _found(F.try_to_timestamp(text)))
+    def read(g: Callable[[int], Column]) -> Column:
+        day = F.concat(F.lpad(year.cast("string"), 4, "0"), F.lit("-"), F.lpad(_month(g(1)).cast("string"), 2, "0"), F.lit("-"), F.lpad(g(2), 2, "0"))
+        return _found(F.try_to_timestamp(F.concat(day, F.lit("T"), g(3), F.lit("Z"))))
+
+    return _fields(c, SYSLOG, read)
 
 
 def on_day_of(seconds: Column, micros: Column, reference: Column) -> Column:
     """A time of day on the reference's day, or the day before if that would be after the reference."""
-    midnight = F.timestamp_micros(F.floor(_micros(reference) / 86_400_000_000).cast("long") * 86_400_000_000 + seconds.cast("long") * 1_000_000 + micros.cast("long"))
-    return F.when(_micros(midnight) > _micros(reference), _moved(midnight, F.lit(86_400))).otherwise(midnight)
+    day = 86_400_000_000
+    at = F.floor(_micros(reference) / day).cast("long") * day + seconds.cast("long") * 1_000_000 + micros.cast("long")
+    return let(at, lambda t: F.timestamp_micros(t - F.when(t > _micros(reference), day).otherwise(0)))
 
 
 def _clock(c: Column, before: str, after: str, reference: Column) -> Column:
-    pattern = before + CLOCK + after
-    text, half = _pick(c, pattern, 1), _pick(c, pattern, 2)
-    parts = F.split(F.regexp_extract(text, r"^[\d:]+", 0), ":")
-    h, m, s = (F.try_element_at(parts, F.lit(k)).try_cast("int") for k in (1, 2, 3))
-    hour = F.when(half == "", h).when(h.between(1, 12), h % 12 + F.when(half == "PM", 12).otherwise(0))
-    micros = F.rpad(F.substring(_pick(text, r"\.(\d+)", 1), 1, 6), 6, "0").try_cast("long")
-    good = (text != "") & hour.between(0, 23) & m.between(0, 59) & s.between(0, 59)
-    return F.when(good, _found(on_day_of(hour * 3600 + m * 60 + s, F.coalesce(micros, F.lit(0)), reference), _digits(text)))
+    def read(g: Callable[[int], Column]) -> Column:
+        half = g(2)
+        parts = F.split(F.regexp_extract(g(1), r"^[\d:]+", 0), ":")
+        part = F.transform(parts, lambda x: x.try_cast("int"))
+        micros = F.coalesce(F.rpad(F.substring(_pick(g(1), r"\.(\d+)", 1), 1, 6), 6, "0").try_cast("long"), F.lit(0))
+
+        def at(p: Column) -> Column:
+            h, m, s = (F.get(p, F.lit(k)) for k in range(3))
+            hour = F.when(half == "", h).when(h.between(1, 12), h % 12 + F.when(half == "PM", 12).otherwise(0))
+            return F.when(hour.between(0, 23) & m.between(0, 59) & s.between(0, 59), _found(on_day_of(hour * 3600 + m * 60 + s, micros, reference), _digits(g(1))))
+
+        return let(part, at)
+
+    return _fields(c, before + CLOCK + after, read)
 
 
 def line_time(c: Column, reference: Column, year: Column | None = None, declared: Column | None = None) -> Column:
@@ -121,18 +146,22 @@ def line_time(c: Column, reference: Column, year: Column | None = None, declared
     ``reference`` (the file's modification time) gives time-only formats their
     day, ``year`` gives syslog dates theirs; by default the reference's.
     """
-    c = strip_source(strip_ansi(c))
     year = F.year(reference) if year is None else year
+    auto = let(strip_source(strip_ansi(c)), lambda x: _recognised(x, reference, year))
+    return auto if declared is None else F.coalesce(declared, auto)
+
+
+def _recognised(c: Column, reference: Column, year: Column) -> Column:
     ways = [
         _iso(_pick(c, rf"\[({ISO})\]", 1)), _iso(_pick(c, f"({ISO})", 1)), _clf(c), _date_time(c), _syslog(c, year),
         _clock(c, r"\[", r"\]", reference), _clock(c, r"^\[[^\]]+\]\s+", r"(?![\d.])", reference), _clock(c, "^", r"(?![\d.])", reference),
     ]
-    return F.coalesce(*([declared] if declared is not None else []), *ways)
+    return F.coalesce(*ways)
 
 
 def entry_time(text: Column, declared: Column | None = None) -> Column:
     """(at, digits) of a JSON entry's timestamp text; without a declared format it must name its zone."""
-    strict = F.when(text.rlike(ZONED_ISO), _iso(text))
+    strict = let(text, lambda x: F.when(x.rlike(ZONED_ISO), _read_iso(x)))
     return strict if declared is None else F.coalesce(declared, strict)
 
 
@@ -143,8 +172,8 @@ def epoch_millis_text(c: Column) -> Column:
 
 def iso_text(time: Column) -> Column:
     """ISO text of (at, digits), with the source's number of fraction digits."""
-    full = F.date_format(time["at"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    return F.when(time.isNotNull(), F.concat(F.when(time["digits"] > 0, F.substring(full, F.lit(1), F.lit(20) + time["digits"])).otherwise(F.substring(full, 1, 19)), F.lit("Z")))
+    shown = F.when(time["digits"] > 0, time["digits"] + 20).otherwise(19)
+    return F.concat(F.substring(F.date_format(time["at"], "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit(1), shown), F.lit("Z"))
 
 
 @dataclass(frozen=True)
@@ -208,7 +237,7 @@ def _strftime(spec: str):
         number = lambda f, default: F.coalesce(part[f].try_cast("int"), F.lit(default)) if f in part else F.lit(default)
         h, m, s = number("H", 0), number("M", 0), number("S", 0)
         micros = F.coalesce(F.rpad(F.substring(part["f"], 1, 6), 6, "0").try_cast("long"), F.lit(0)) if "f" in part else F.lit(0)
-        digits = F.coalesce(F.least(F.length(part["f"]), F.lit(6)), F.lit(0)) if "f" in part else F.lit(0)
+        digits = F.least(F.coalesce(F.length(part["f"]), F.lit(0)), F.lit(6)) if "f" in part else F.lit(0)
         seconds = h * 3600 + m * 60 + s
         if not {"Y", "m", "d", "b"} & set(part):
             at = on_day_of(seconds, micros, reference)

@@ -230,7 +230,7 @@ BOUNDS = dict(window="2d", until="2024-01-15T12:00:00Z", baseline="1d", now=NOW)
 RANGES = E_ + f""", r AS (
   SELECT *, {TEMPLATE.replace('content', 'varied')} AS template, ts IS NULL OR ts BETWEEN {T_SINCE} AND {T_NOW} AS w,
          ts IS NULL OR (ts >= {T_SINCE} - INTERVAL 1 DAY AND ts < {T_SINCE}) AS b
-  FROM (SELECT *, regexp_replace(content, 'k=([0-9]+)$', 'day' || CASE WHEN ts IS NULL THEN 'x' ELSE chr(97 + day(ts) % 20) END || ' k=\\1') AS varied FROM l))
+  FROM (SELECT *, regexp_replace(content, 'k=([0-9]+)$', 'day' || CASE WHEN ts IS NULL THEN 'x' ELSE chr(CAST(97 + day(ts) % 20 AS INTEGER)) END || ' k=\\1') AS varied FROM l))
 """
 
 

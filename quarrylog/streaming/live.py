@@ -57,7 +57,12 @@ def window_counts(spark: SparkSession, sf_dir: str, window: str = "6 hours") ->
     """(start, name, lines): events of each type by window, counted by a stream over the table's files."""
     path = f"{sf_dir}/events.parquet"
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(schema)
+    if p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isFile():  # a stream reads folders
+        stream = reader.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    else:
+        stream = reader.parquet(path)
     counted = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type").withWatermark("ts", "1 day").groupBy(F.window("ts", window).alias("w"), F.col("event_type").alias("name")).agg(F.count("*").alias("lines"))
     base = work_dir(spark)
     run_available(counted, lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out"), "complete", f"{base}/state")
