@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_text, remainder
+from .common import materialize, raw_text, remainder, small_batches
 
 CONTEXT = 3
 DIM = 16
@@ -93,13 +93,17 @@ class LogBilinear:
 
     def log_softmax(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Natural log probability of each symbol after its context, normalised over all symbols."""
-        z = self.predicted(before) @ self.target.T
-        z += self.bias
-        top = z.max(axis=1)
-        own = z[np.arange(len(z)), symbol] - top
-        z -= top[:, None]
+        h = np.ones((len(symbol), DIM + 1), dtype=np.float32)  # the last column meets the biases
+        h[:, :DIM] = self.predicted(before)
+        q = np.column_stack([self.target, self.bias])
+        z = h @ q.T
+        own = z[np.arange(len(z)), symbol]
+        reach = np.sqrt(np.einsum("nd,nd->n", h, h).max() * np.einsum("nd,nd->n", q, q).max()) if len(z) else 0
+        top = z.max(axis=1, keepdims=True) if reach > 60 else np.zeros((1, 1), dtype=np.float32)  # exp can't overflow below
+        if reach > 60:
+            z -= top
         np.exp(z, out=z)
-        return own - np.log(z.sum(axis=1))
+        return own - top[:, 0] - np.log(z @ np.ones(SYMBOLS, dtype=np.float32))
 
     def step(self, before: np.ndarray, symbol: np.ndarray, noise: np.ndarray, log_kq: np.ndarray, squares: np.ndarray) -> None:
         """One Adagrad step of noise-contrastive estimation; the noise is shared by the batch."""
@@ -126,18 +130,23 @@ def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d)
 
 
-def _symbols(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+def _codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
+    """What ``known`` has for each word; other words are learned as -1 - their class."""
+    got = list(map(known.get, words))
+    if None in got:
+        if len(known) > 900_000:
+            for w in [w for w, c in known.items() if c < 0]:
+                del known[w]
+        for k, c in enumerate(got):
+            if c is None:
+                got[k] = known[words[k]] = -1 - word_class(words[k])
+    return np.array(got, dtype=np.int64)
+
+
+def _symbols(codes: np.ndarray, symbol_of: np.ndarray) -> np.ndarray:
     """Symbols of a text's words and its end."""
-    if len(known) > 600_000:
-        for w in [w for w, s in known.items() if s >= HEAD]:
-            del known[w]
-    out = np.empty(len(words) + 1, dtype=np.int64)
-    for k, w in enumerate(words):
-        s = known.get(w)
-        if s is None:
-            s = known[w] = HEAD + word_class(w)
-        out[k] = s
-    out[-1] = END
+    out = np.full(len(codes) + 1, END, dtype=np.int64)
+    out[:-1] = np.where(codes >= 0, symbol_of[np.maximum(codes, 0)], HEAD - 1 - codes)
     return out
 
 
@@ -150,6 +159,7 @@ def _contexts(symbols: np.ndarray) -> np.ndarray:
 def _train(flat: np.ndarray, prior: np.ndarray, head: list[bytes], turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = LogBilinear(flat), {w: k for k, w in enumerate(head)}
+        own = np.arange(max(len(head), 1))
         log_kq = np.log(NOISE * prior).astype(np.float32)
         edges = np.cumsum(prior) / prior.sum()
         rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
@@ -166,7 +176,7 @@ def _train(flat: np.ndarray, prior: np.ndarray, head: list[bytes], turn: int):
 
         for batch in batches:
             for x in batch.column(0):
-                s = _symbols(x.as_py().lower().split(), known)
+                s = _symbols(_codes(x.as_py().lower().split(), known), own)
                 b = _contexts(s)
                 k = turn % STRIDE
                 held_b.append(b[k::STRIDE])
@@ -195,8 +205,10 @@ def train(training: DataFrame, prior: np.ndarray, head: list[bytes]) -> LogBilin
 
 def _score(model_flat: np.ndarray, head: list[bytes], held, log_total: float, log_end: float, log_mass: np.ndarray, end_known: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = LogBilinear(model_flat), {w: k for k, w in enumerate(head)}
-        counts: dict[bytes, float] = held.value
+        model = LogBilinear(model_flat)
+        common, log_of = held.value
+        known = {w: k for k, w in enumerate(common)}
+        symbol_of = np.array([k if k < len(head) else HEAD + word_class(w) for k, w in enumerate(common)] or [END], dtype=np.int64)
         task, index = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
@@ -204,12 +216,12 @@ def _score(model_flat: np.ndarray, head: list[bytes], held, log_total: float, lo
                 n_tokens, n_known, base, extra, words_out, times_out, symbols, befores = [], [], [], [], [], [], [], []
                 for x in part.column(2):
                     words = x.as_py().lower().split()
-                    sym = _symbols(words, known)
-                    got = list(map(counts.get, words))
-                    rare = [w for w, g in zip(words, got) if g is None] if None in got else []
-                    logs = np.array([g for g in got if g is not None], dtype=np.float64)
+                    codes = _codes(words, known)
+                    sym = _symbols(codes, symbol_of)
+                    rare = [words[k] for k in np.flatnonzero(codes < 0).tolist()]
+                    logs = log_of[codes[codes >= 0]]
+                    in_class = log_of[codes[codes >= len(head)]]
                     classes = sym[:-1][sym[:-1] >= HEAD] - HEAD
-                    in_class = np.array([g for g, y in zip(got, sym.tolist()) if g is not None and y >= HEAD], dtype=np.float64)
                     n_tokens.append(len(words) + 1)
                     n_known.append(len(logs) + end_known)
                     base.append(float(logs.sum()) + log_end - (len(words) + 1) * log_total)
@@ -248,6 +260,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, out: int = 2) -> DataFram
     An empty table gives an empty result.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
     base = docs.select("doc_id", (remainder("doc_id", modulus) == out).alias("held_out"), raw_text().alias("body"))
     training = base.where("not held_out").select("body", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(ROUNDS)).alias("part"))
@@ -266,7 +279,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, out: int = 2) -> DataFram
     common = counts.where(fine >= edge).toPandas()
     common = common.assign(word=common["word"].map(bytes)).sort_values(["c", "word"], ascending=[False, True], kind="stable")
     head = common["word"].head(HEAD).tolist()
-    held = spark.sparkContext.broadcast(dict(zip(common["word"], np.log10(common["c"].to_numpy() + 1.0))))
+    held = spark.sparkContext.broadcast((common["word"].tolist(), np.log10(common["c"].to_numpy() + 1.0)))
     suffix = F.when(F.length("word") <= 3, F.col("word")).otherwise(F.substring("word", -3, 3))
     mass = np.ones(CLASSES)
     for r in counts.groupBy((F.crc32(suffix) % CLASSES).alias("class")).agg(F.sum(F.col("c") + 1).alias("m")).collect():
