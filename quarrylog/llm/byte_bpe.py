@@ -20,8 +20,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Pieces remembered in one worker, and the longest piece worth remembering.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 LONGEST = 64
 
 
@@ -100,7 +102,7 @@ class ByteBPE:
     def _fits(self, a: int, b: int) -> bool:
         got = self.fits.get((a, b))
         if got is None:
-            if len(self.fits) > 4 * REMEMBERED:
+            if len(self.fits) > REMEMBERED:
                 self.fits.clear()
             got = self.fits[a, b] = self._adjacent(a, b)
         return got
@@ -196,6 +198,7 @@ def encode(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataF
     have no tokens.  An empty table gives an empty result; other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     text = F.coalesce(F.col("text"), F.lit("")).alias("text")
     return docs.select("doc_id", text).mapInArrow(_run(path, pattern, ids), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * ids)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialize
+from .common import bounded_sample, materialize, small_batches
 from .quality_forest import threshold
 
 BUCKETS = 1 << 14
@@ -29,13 +29,12 @@ SHARPNESS = 60.0
 CLEAN_WORTH = 5.0
 
 _tokens = re.compile(r"\w+|[^\w\s]+").findall
-_codes: dict[str, int] = {}
 
 
-def buckets(text: str) -> np.ndarray:
-    """The hashed words and word pairs of a text, repeats included."""
-    known = _codes
-    if len(known) > 500_000:
+def buckets(text: str, known: dict[str, int] | None = None) -> np.ndarray:
+    """The hashed words and word pairs of a text, repeats included; ``known`` remembers words."""
+    known = {} if known is None else known
+    if len(known) > 200_000:
         known.clear()
     words = _tokens(text)
     code = np.empty(len(words), dtype=np.int64)
@@ -49,10 +48,10 @@ def buckets(text: str) -> np.ndarray:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, BUCKETS), dtype=np.int64)
+    total, known = np.zeros((2, BUCKETS), dtype=np.int64), {}
     for b in batches:
         for x, target in zip(b.column(0), b.column(1).to_pylist()):
-            got = np.bincount(buckets(x.as_py()), minlength=BUCKETS)
+            got = np.bincount(buckets(x.as_py(), known), minlength=BUCKETS)
             total[0] += got
             if target:
                 total[1] += got
@@ -66,16 +65,17 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def weigh(text: str, ratio: np.ndarray, sharpness: float = SHARPNESS) -> float:
+def weigh(text: str, ratio: np.ndarray, known: dict[str, int] | None = None, sharpness: float = SHARPNESS) -> float:
     """Mean log ratio of the text's n-grams, times ``sharpness``; 0 without any."""
-    got = buckets(text)
+    got = buckets(text, known)
     return sharpness * float(ratio[got].mean()) if len(got) else 0.0
 
 
 def _weigh(ratio: np.ndarray, at: int, schema: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for b in batches:
-            w = [weigh(x.as_py() or "", ratio) for x in b.column(at)]
+            w = [weigh(x.as_py() or "", ratio, known) for x in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64())], [*schema, "log_weight"])
 
     return run
@@ -118,6 +118,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 10) -> DataFrame:
     labels of both kinds everything is selected.  A repeated id draws the same
     noise.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
     marked = F.broadcast(bounded_sample(marked, LABELLED, seed, "doc_id").drop("__order"))
     text = F.coalesce("text", F.lit("")).alias("text")
