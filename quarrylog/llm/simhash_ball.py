@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, group_starts, local_components, materialize, raw_text, whole_groups
+from .common import components, group_starts, local_components, materialize, raw_text, small_batches, whole_groups
 
 BITS = 64
 #: Variants unfolded at once in one task.
@@ -137,7 +137,7 @@ def _collide(prefix: int, radius: int):
                     b.append(other[near])
             if a and len(i := np.concatenate(a)):
                 root = local_components(len(fp), i, np.concatenate(b))
-                i = np.unique(i)
+                i = np.unique(np.concatenate([i, *b]))
                 yield pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[root[i]].view(np.int64))], ["a", "b"])
 
     return run
@@ -176,6 +176,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     groups of copies cost one row.  A null doc_id takes part, but names a
     component only if no other id does.  An empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     links = materialize(link_fingerprints(prints, distance), "links")
     groups = components(links)
@@ -188,6 +189,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
 
 def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id (null last), of repeated ids any one."""
+    small_batches(docs.sparkSession)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __fp long, __row long"
     rows = materialize(docs.mapInArrow(_with_fingerprints(docs.columns.index("text"), shingle, seed), schema), "fingerprints")
     links = materialize(link_fingerprints(rows.select(F.col("__fp").alias("fp")), distance), "links")
