@@ -22,6 +22,8 @@ from .common import bounded_sample, components, group_starts, in_order, local_co
 
 #: About how many vectors reference points are taken from (a sample of the index' own rows).
 SAMPLE = 2048
+#: Cosine that two reference points stay below.
+APART = 0.7
 #: Lists longer than this are verified in pairs of blocks, each pair of blocks a group of its own.
 BLOCK = 1024
 
@@ -31,11 +33,19 @@ def pivot_count(n: int) -> int:
     return int(2 ** np.clip(np.round(np.log2(7 * max(n, 1) ** (1 / 3))), 4, 10))
 
 
-def _reference_points(sample: list[list[float]], dim: int, count: int, nearest: int) -> np.ndarray:
-    own = [v for v in sample if len(v) == dim][:count]
-    if len(own) < nearest:  # too few of this length: fixed random directions
-        own = [*own, *np.random.default_rng(dim).normal(size=(max(16, nearest) - len(own), dim))]
-    return unit(own)
+def _reference_points(sample: list[list[float]], dim: int, count: int) -> np.ndarray:
+    """Up to ``count`` vectors of the sample, no two nearer than APART; random directions make up the number.
+
+    A crowd of near copies gives one reference point: more would tell its
+    members apart by noise, and the links between them would be lost.
+    """
+    x = unit([v for v in sample if len(v) == dim] or [[1.0] * dim])
+    chosen = np.zeros((0, dim))
+    for v in x:
+        if len(chosen) < count and (not len(chosen) or (chosen @ v).max() < APART):
+            chosen = np.vstack([chosen, v])
+    rest = np.random.default_rng(dim).normal(size=(count - len(chosen), dim))
+    return np.vstack([chosen, rest / np.linalg.norm(rest, axis=1, keepdims=True)])
 
 
 def unit(rows: list[list[float]]) -> np.ndarray:
@@ -153,7 +163,7 @@ def link_vectors(rows: DataFrame, least: float = 0.93, nearest: int = 8, shared:
             out = [None] * len(v)
             for d in np.unique(dims):
                 if d not in known:
-                    known[d] = _reference_points(sample, int(d), pivots, nearest)
+                    known[d] = _reference_points(sample, int(d), pivots)
                 at = np.flatnonzero(dims == d)
                 for k, q in zip(at, np.sort(nearest_pivots(unit([v[k] for k in at]), known[d], nearest), axis=1).tolist()):
                     out[k] = q
@@ -164,8 +174,11 @@ def link_vectors(rows: DataFrame, least: float = 0.93, nearest: int = 8, shared:
     index = materialize(index, "pivots")
     spots = [list(c) for c in combinations(range(nearest), shared)]
     combos = F.transform(F.array(*[F.array(*[F.lit(x) for x in c]) for c in spots]), lambda c: F.transform(c, lambda k: F.get("pivots", k)))
-    postings = index.select("label", "dim", "rep", F.explode(combos).alias("combo"))
-    lists = postings.groupBy("label", "dim", "combo").agg(F.count("*").alias("n")).where("n > 1")
+    postings = index.select("label", "dim", "rep", F.xxhash64("pivots").alias("kind"), F.slice("pivots", 1, shared).alias("first"), F.explode(combos).alias("combo"))
+    lists = postings.groupBy("label", "dim", "combo").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"), F.max(F.col("first") == F.col("combo")).alias("own"))
+    # Vectors of one and the same pivot set meet in the list of its smallest combination; in the others all pairs would be found again.
+    lists = lists.where("n > 1 and (low != high or own)")
+    postings = postings.drop("kind", "first")
     lists = lists.select("label", "dim", "combo", "n", F.xxhash64("label", "dim", "combo").alias("lid"))
     # Lists beyond BLOCK members go out as pairs of blocks: a member meets each block in one group.
     met = postings.join(lists, ["label", "dim", "combo"])
