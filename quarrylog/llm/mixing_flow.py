@@ -183,15 +183,15 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, most: int = 2, wei
     Sources in order of code points, null last, weigh ``weights`` in turn and
     share ``share`` times all words; a target stops at ``most`` times the words
     of its source, the excess goes to the others.  Returns the documents with
-    doc_id, pattern, size, copies, taken and the ``keep`` columns, and a table
+    doc_id, pattern, size, copies, taken and ``row``, a struct of the ``keep`` columns, and a table
     (source, source_size, target).  A document in no source (a null or empty
     array) is never taken.  A null text has no words.  Rows that repeat an id
     share one place in the order and are taken or left together, except that
     their sizes count one by one.  An empty table gives empty results.
     """
     spark = docs.sparkSession
-    others = [c for c in keep if c != "doc_id"]
-    d = docs.select("doc_id", *[F.col(c).alias(f"__{c}") for c in others], F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("sources"), word_count(F.col("text")).alias("size"))
+    row = F.struct(*[F.col(c) for c in keep]).alias("row") if keep else F.lit(None).cast("string").alias("row")
+    d = docs.select("doc_id", row, F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("sources"), word_count(F.col("text")).alias("size"))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     d = materialize(d.select("*", F.to_json("sources").alias("pattern"), key.alias("key")), "sizes")
     found = d.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("words")).orderBy("pattern").limit(MOST_PATTERNS + 1).collect()
@@ -208,7 +208,7 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, most: int = 2, wei
     flow = route([([spot[s] for s in r["sources"]], r["words"]) for r in found], [round(t) for t in target], most)
     routed = {r["pattern"]: (r["words"], sum(f.values())) for r, f in zip(found, flow)}
     chosen = select(d, routed) if routed else d.withColumn("copies", F.lit(0).cast("long"))
-    chosen = chosen.select("doc_id", *[F.col(f"__{c}").alias(c) for c in others], "pattern", "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    chosen = chosen.select("doc_id", *["row"] * bool(keep), "pattern", "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     table = spark.createDataFrame([(s, int(z), float(t)) for s, z, t in zip(names, sizes, target)], "source string, source_size long, target double")
     return chosen, table
 

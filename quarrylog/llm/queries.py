@@ -49,7 +49,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed, sources = mixing_flow.mix(documents(spark, sf_dir), F.array("source"), share=1.5, most=2, weights=(5, 2, 1), keep=["source"])
     target = F.broadcast(sources.withColumnRenamed("source", "s"))
-    joined = mixed.join(target, F.col("source").eqNullSafe(F.col("s")))
+    joined = mixed.join(target, F.col("row.source").eqNullSafe(F.col("s")))
     return joined.select("doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken")
 
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_text
+from .common import materialize, raw_text, small_batches
 
 GRAM = 8
 CELL = 16
@@ -236,6 +236,7 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, keep_text: bool = Fals
     ``threshold`` is at least 64.
     """
     assert threshold >= 64
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     d = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     keyed = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit("")), d).alias("h"), F.xxhash64(F.lit(7), d, F.coalesce("text", F.lit(""))).alias("d"), raw_text().alias("body"))
