@@ -25,6 +25,18 @@ def zone_map(lines: DataFrame, size: int = BLOCK) -> DataFrame:
     return lines.groupBy("file", block_of(F.col("line_number"), size).alias("block")).agg(F.count("*").alias("rows"), *ways)
 
 
+def extended(zones: DataFrame, lines: DataFrame, size: int = BLOCK) -> DataFrame:
+    """The zone map after lines were appended to its files: the last block of each file, and new ones, are computed anew.
+
+    ``lines`` may hold all lines or, to read less, those from the start of each
+    file's last block on.
+    """
+    last = zones.groupBy("file").agg(F.max("block").alias("last"))
+    fresh = lines.withColumn("block", block_of(F.col("line_number"), size)).join(F.broadcast(last), "file", "left").where("last is null or block >= last").drop("block", "last")
+    kept = zones.join(F.broadcast(last), "file").where("block < last").drop("last")
+    return kept.unionByName(zone_map(fresh, size))
+
+
 def live_blocks(zones: DataFrame, since: datetime | None, until: datetime | None, way: str = "line") -> DataFrame:
     """(file, block) of the blocks that may hold lines within the bounds."""
     outside = F.lit(False)

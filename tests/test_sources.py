@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quarrylog.operators import fields, scan
 from quarrylog.plans.lines import enrich, log_lines, within
-from quarrylog.plans.zone_map import pruned, store, stored, zone_map
+from quarrylog.plans.zone_map import extended, pruned, store, stored, zone_map
 from quarrylog.session import configure
 from quarrylog.sources.files import detect_format, list_files, numbered_lines, remove_old
 from quarrylog.sources.ingest import Backoff, RotatingFile, Worker, parse_sources, tokenize
@@ -80,6 +80,13 @@ def test_zone_maps_change_no_result(spark, tmp_path):
     assert "PushedFilters: [Or(IsNull(ts_line)" in got._jdf.queryExecution().toString()
 
 
+def test_zone_maps_grow(spark):
+    lines = generated(spark, 730)
+    before = zone_map(lines.where("line_number <= 450"), 100)
+    got = sorted(map(tuple, extended(before, lines, 100).collect()), key=lambda r: r[1])
+    assert got == sorted(map(tuple, zone_map(lines, 100).select(before.columns).collect()), key=lambda r: r[1]) and len(got) == 8
+
+
 def test_results_do_not_depend_on_partitions(spark):
     lines = generated(spark, 600)
     for frame in (lines.repartition(1), lines.repartition(8)):
