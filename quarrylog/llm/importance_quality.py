@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -71,12 +71,14 @@ def weigh(text: str, ratio: np.ndarray, known: dict[str, int] | None = None, sha
     return sharpness * float(ratio[got].mean()) if len(got) else 0.0
 
 
-def _weigh(ratio: np.ndarray, at: int, schema: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def log_weight(ratio: np.ndarray) -> Callable[[Column], Column]:
+    """``weigh`` of a column: only the text goes to Python, only the weight comes back."""
+
+    @F.arrow_udf("double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, int] = {}
         for b in batches:
-            w = [weigh(x.as_py() or "", ratio, known) for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(w, pa.float64())], [*schema, "log_weight"])
+            yield pa.array([weigh(x.as_py() or "", ratio, known) for x in b], pa.float64())
 
     return run
 
@@ -128,8 +130,7 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = 10) -> DataFrame:
     for r in counts:
         model[r["model"], r["bucket"]] = r["n"]
     ratio = log_ratio(model[0], model[1])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", log_weight double"
-    weighed = docs.mapInArrow(_weigh(ratio, docs.columns.index("text"), docs.columns), schema)
+    weighed = docs.withColumn("log_weight", log_weight(ratio)(F.col("text")))
     u = (F.xxhash64(F.lit(seed), F.lit("gumbel"), "doc_id") / F.lit(2.0**64)) + 0.5
     u = F.greatest(F.least(u, F.lit(1 - 1e-12)), F.lit(1e-12))
     weighed = materialize(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "weighed")

@@ -10,14 +10,13 @@ meet, which moves about a thirtieth of the rows and loses none.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, group_starts, local_components, materialize, raw_text, small_batches, whole_groups
@@ -46,16 +45,12 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
 
-def _with_fingerprints(at: int, shingle: int, seed: int):
-    """All columns, the fingerprint of the text in column ``at``, and a number for each row."""
+def fingerprint_column(shingle: int, seed: int = 42) -> Callable[[Column], Column]:
+    """Fingerprints of a column of bytes; the other columns of its rows don't go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, index = TaskContext.get().partitionId() << 40, 0
-        for b in batches:
-            got = np.array([fingerprint((x.as_py() or "").encode("utf-8"), shingle, seed) for x in b.column(at)], dtype=np.uint64)
-            row = task + index + np.arange(b.num_rows)
-            index += b.num_rows
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got.view(np.int64)), pa.array(row)], [*b.schema.names, "__fp", "__row"])
+    @F.arrow_udf("long")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(x.as_py(), shingle, seed) for x in text], dtype=np.uint64).view(np.int64))
 
     return run
 
@@ -190,8 +185,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
 def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id (null last), of repeated ids any one."""
     small_batches(docs.sparkSession)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __fp long, __row long"
-    rows = materialize(docs.mapInArrow(_with_fingerprints(docs.columns.index("text"), shingle, seed), schema), "fingerprints")
+    rows = materialize(docs.withColumns({"__fp": fingerprint_column(shingle, seed)(raw_text()), "__row": F.monotonically_increasing_id()}), "fingerprints")
     links = materialize(link_fingerprints(rows.select(F.col("__fp").alias("fp")), distance), "links")
     groups = components(links)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
