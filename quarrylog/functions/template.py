@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .timestamps import ANSI, MONTHS, SOURCE_TAG
+from .timestamps import ANSI, MONTHS, SOURCE_TAG, let
 
 # Volatile tokens in order of precedence.  Word boundaries are of ASCII words only.
 B, E = "(?<![0-9A-Za-z_])", "(?![0-9A-Za-z_])"
@@ -20,18 +20,20 @@ TOKENS = (
     rf"{B}\d{{1,2}}:\d{{2}}:\d{{2}}(?:\.\d+)?(?: ?[AP]M)?{E}",
     rf"{B}\d+(?:\.\d+)?",
 )
+MARK = "\x01"
 QUOTED = "\"[^\"]*\"|'[^']*'"
 
 
-def _placeholder(t: Column) -> Column:
-    """What stands for a token: its shape tells."""
+def _placeholder(t: Column, quoted: bool) -> Column:
+    """What stands for a token: its shape tells.  The commonest shapes come first."""
+    got = F.when(t.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), "<N>")
+    if quoted:
+        got = got.when(t.startswith("'") | t.startswith('"'), "<STR>")
     return (
-        F.when(t.rlike("^[\"']"), "<STR>")
-        .when(t.rlike("^.{8}-.{4}-.{4}-.{4}-.{12}$") & ~t.rlike(":.*:"), "<UUID>")
-        .when(t.rlike("^0[xX]"), "<HEX>")
-        .when(t.rlike("(?s):.*:"), "<TS>")
+        got.when(t.rlike("(?s):.*:"), "<TS>")
+        .when(t.rlike("^.{8}-.{4}-.{4}-.{4}-.{12}$"), "<UUID>")
+        .when(t.startswith("0x") | t.startswith("0X"), "<HEX>")
         .when(t.contains(":"), "<IP>")
-        .when(t.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), "<N>")
         .when(t.rlike(r"^[0-9.]+$"), "<IP>")
         .when(t.rlike("[0-9]"), "<HEX>")
         .otherwise(t)
@@ -42,9 +44,16 @@ def template(c: Column, quoted: bool = False) -> Column:
     """The line with timestamps, UUIDs, addresses, hex ids and numbers replaced; quoted strings too on request."""
     c = F.regexp_replace(F.regexp_replace(c, ANSI, ""), SOURCE_TAG, "")
     pattern = "|".join(((QUOTED,) if quoted else ()) + TOKENS)
-    between = F.split(c, pattern, -1)
+    return let(c, lambda x: _filled(x, pattern, quoted))
+
+
+def _filled(c: Column, pattern: str, quoted: bool) -> Column:
+    # Splitting at a pattern compiles it for every row, replacing and extracting do so once: tokens become a
+    # mark first, and the text is split at that.  Lines that hold the mark are split at the pattern.
+    marked = F.split(F.regexp_replace(c, pattern, MARK), MARK, -1)
+    between = F.when(c.contains(MARK), F.split(c, pattern, -1)).otherwise(marked)
     tokens = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
-    filled = F.concat(F.transform(tokens, _placeholder), F.array(F.lit("")))
+    filled = F.concat(F.transform(tokens, lambda t: _placeholder(t, quoted)), F.array(F.lit("")))
     return F.trim(F.regexp_replace(F.array_join(F.zip_with(between, filled, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""), r"(?U)^\s+|\s+$", ""))
 
 

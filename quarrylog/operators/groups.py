@@ -111,17 +111,19 @@ def correlate(lines: DataFrame, value: str, field: str | None = None, limit: int
 def sections(anchors: DataFrame, around: Around) -> DataFrame:
     """(from_ts, to_ts, anchor_count): the windows around ``anchors.ts``, merged where they overlap or touch.
 
-    Anchors of one instant are counted before they are put in order, and the
-    running end of the windows is just the latest anchor before: all windows
-    have one length.
+    Anchors in one bucket as wide as a window always share a section, so they
+    are aggregated by bucket first; what is put in order has a row for each
+    bucket of time, however many anchors there are.
     """
-    at = anchors.where("ts is not null").groupBy("ts").agg(F.count("*").alias("n"))
-    w = Window.orderBy("ts")
-    gap = (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(w))) > (around.before + around.after) * 1_000_000
-    island = at.withColumn("fresh", F.coalesce(gap, F.lit(True)).cast("int")).withColumn("k", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    got = island.groupBy("k").agg(F.min("ts").alias("a"), F.max("ts").alias("z"), F.sum("n").alias("anchor_count"))
-    moved = lambda c, s: F.timestamp_micros(F.unix_micros(c) + s * 1_000_000)
-    return got.select(moved("a", -around.before).alias("from_ts"), moved("z", around.after).alias("to_ts"), "anchor_count")
+    width = (around.before + around.after) * 1_000_000
+    micros = F.unix_micros("ts")
+    bucket = F.floor(micros / width) if width else micros
+    at = anchors.where("ts is not null").groupBy(bucket.alias("bucket")).agg(F.min(micros).alias("a"), F.max(micros).alias("z"), F.count("*").alias("n"))
+    w = Window.orderBy("bucket")
+    apart = F.col("a") - F.lag("z").over(w) > width
+    island = at.withColumn("fresh", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("k", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    got = island.groupBy("k").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.sum("n").alias("anchor_count"))
+    return got.select(F.timestamp_micros(F.col("a") - around.before * 1_000_000).alias("from_ts"), F.timestamp_micros(F.col("z") + around.after * 1_000_000).alias("to_ts"), "anchor_count")
 
 
 @dataclass(frozen=True)

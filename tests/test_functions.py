@@ -104,6 +104,7 @@ TEMPLATES = [
     ("[src:fly-a] conn 4f9a12cd lost after 30s", "conn <HEX> lost after <N>s"),
     ("12026-07-17T10:00:00 x", "<N>-<N>-<N>T10:<N>:<N> x"),
     ("", ""),
+    ("a \x01 mark 5 and 10.0.0.7 \x01", "a \x01 mark <N> and <IP> \x01"),
     ("café1 took 5", "café<N> took <N>"),
 ]
 

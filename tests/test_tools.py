@@ -123,6 +123,8 @@ def test_correlation_around_an_anchor(make):
     assert [s["anchor_count"] for s in t.correlate(anchor={"pattern": "boot loop", "window": "±30m"})[0]["sections"]] == [2]
     after = t.correlate(anchor={"pattern": "boot loop", "before": "0s", "after": "10s"})[0]
     assert after["window"] == "-0s/+10s" and [e["content"][-5:] for e in after["sections"][0]["entries"]][-1] == "later"
+    exact = t.correlate(anchor={"pattern": "boot loop", "before": "0s", "after": "0s"})[0]
+    assert [(s["from"], s["to"]) for s in exact["sections"]] == [("2026-03-20T10:00:00Z",) * 2, ("2026-03-20T10:05:00Z",) * 2]
     one = t.correlate(anchor={"pattern": "boot loop", "window": "±5s"}, max_sections=1)[0]
     assert one["omissions"]["sections"] == {"omitted": 1, "showing": "first 1 by time"}
     assert t.correlate(anchor={"pattern": "absent"})[0]["sections"] == []
@@ -228,3 +230,16 @@ def test_rpc(make):
 def test_tables():
     assert respond({"matches": [{"b": "x|y\nz", "a": None}, {"c": 1}], "n": 2}) == '# {"n":2}\n[a|b|c]\n|x\\|y\\nz|\n||1'
     assert respond({"matches": []}) == '{"matches":[]}' and respond({"entries": [{"a": 1}]}, "json") == '{"entries":[{"a":1}]}'
+
+
+def test_sections_merge_when_they_touch(spark):
+    from quarrylog.functions.timeargs import Around
+    from quarrylog.operators.groups import sections
+    from quarrylog.session import configure
+
+    configure(spark)
+    made = lambda *s: spark.createDataFrame([(datetime(2026, 1, 1, 10, 0, x, tzinfo=timezone.utc),) for x in s] + [(None,)], "ts timestamp")
+    got = lambda df, a: [(r.f, r.t, r.anchor_count) for r in sections(df, a).selectExpr("cast(second(from_ts) as int) f", "cast(second(to_ts) as int) t", "anchor_count", "from_ts").orderBy("from_ts").collect()]
+    assert got(made(0, 8, 12), Around(10, 10)) == [(50, 22, 3)]
+    assert got(made(0, 20), Around(10, 10)) == [(50, 30, 2)] and got(made(0, 21), Around(10, 10)) == [(50, 10, 1), (11, 31, 1)]
+    assert got(made(0, 0, 5), Around(1, 1)) == [(59, 1, 2), (4, 6, 1)] and got(made(), Around()) == []
