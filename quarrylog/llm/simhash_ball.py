@@ -45,12 +45,38 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
     return int(sum(1 << b for b in np.flatnonzero(2 * ones > n).tolist()))
 
 
-def fingerprint_column(shingle: int, seed: int = 42) -> Callable[[Column], Column]:
-    """Fingerprints of a column of bytes; the other columns of its rows don't go to Python."""
+def bare_words(text: bytes) -> list[bytes]:
+    """Lower-cased words without punctuation at their ends."""
+    return [w.strip(b".,;:!?\"'()") or w for w in text.lower().split()]
+
+
+def _print_of(hashes: np.ndarray) -> int:
+    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(sum(1 << b for b in np.flatnonzero(2 * ones > len(hashes)).tolist())) if len(hashes) else 0
+
+
+def word_prints(seed: int = 42) -> Callable[[Column], Column]:
+    """Fingerprints over the distinct words of a column of bytes; the other columns of its rows don't go to Python."""
 
     @F.arrow_udf("long")
     def run(text: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(x.as_py(), shingle, seed) for x in text], dtype=np.uint64).view(np.int64))
+        one = lambda t: _print_of(np.array([xxhash.xxh64_intdigest(w, seed) for w in set(bare_words(t))], dtype=np.uint64))
+        return pa.array(np.array([one(x.as_py()) for x in text], dtype=np.uint64).view(np.int64))
+
+    return run
+
+
+def shingle_sets(shingle: int, seed: int = 42) -> Callable[[Column], Column]:
+    """Hashes of the distinct word shingles of a column of bytes; of fewer words the whole sequence."""
+
+    def one(text: bytes) -> np.ndarray:
+        w = text.lower().split()
+        grams = {b" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))}
+        return np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], dtype=np.uint64).view(np.int64)
+
+    @F.arrow_udf("array<long>")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array([one(x.as_py()) for x in text], pa.list_(pa.int64()))
 
     return run
 
@@ -85,8 +111,11 @@ def _spread(prefix: int, radius: int):
     return run
 
 
-def _collide(prefix: int, radius: int):
-    """Unfold the variants of each prefix, and link the owners of equal ones to the smallest of them."""
+def _collide(prefix: int, radius: int, compress: bool):
+    """Unfold the variants of each prefix, and link the owners of equal ones to the smallest of them.
+
+    ``compress`` leaves one link for each fingerprint of a batch, to its component there.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = [flips(range(BITS - prefix), k) for k in range(radius + 1)]
@@ -131,9 +160,13 @@ def _collide(prefix: int, radius: int):
                     a.append(own[near])
                     b.append(other[near])
             if a and len(i := np.concatenate(a)):
-                root = local_components(len(fp), i, np.concatenate(b))
-                i = np.unique(np.concatenate([i, *b]))
-                yield pa.RecordBatch.from_arrays([pa.array(fp[i].view(np.int64)), pa.array(fp[root[i]].view(np.int64))], ["a", "b"])
+                j = np.concatenate(b)
+                if compress:
+                    root = local_components(len(fp), i, j)
+                    i = np.unique(np.concatenate([i, j]))
+                    j = root[i]
+                pairs = np.unique(np.column_stack([fp[i], fp[j]]).view(np.int64), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     return run
 
@@ -144,7 +177,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return docs.select("doc_id", raw_text()).mapInArrow(_fingerprints(shingle, seed), f"doc_id {kind}, fp long")
 
 
-def link_fingerprints(prints: DataFrame, distance: int = 4) -> DataFrame:
+def link_fingerprints(prints: DataFrame, distance: int = 4, compress: bool = True) -> DataFrame:
     """Links (a, b) among the distinct values of ``prints.fp`` that connect all at ``distance`` or fewer differing bits.
 
     ``distance`` is even.  Fingerprints that collide are joined to one of their
@@ -157,7 +190,7 @@ def link_fingerprints(prints: DataFrame, distance: int = 4) -> DataFrame:
     prefix = int(np.clip(np.ceil(np.log2(max(n, 1) / 64)), 8, 26))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = distinct.mapInArrow(_spread(prefix, radius), "at long, left int, fp long")
-    return spread.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_collide(prefix, radius), "a long, b long")
+    return spread.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_collide(prefix, radius, compress), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
@@ -182,14 +215,35 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the smallest doc_id (null last), of repeated ids any one."""
+def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the smallest doc_id (null last), of repeated ids any one.
+
+    Texts are brought together by fingerprints over their distinct words, which
+    change less under edits than those over shingles.  Each collision, of a
+    variant's owners with the smallest of them and of unlike texts with one
+    fingerprint, is verified: the texts share at least ``similarity`` of their
+    distinct ``shingle``-word shingles.  Equal texts, null and empty among
+    them, link without that.  An empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
-    rows = materialize(docs.withColumns({"__fp": fingerprint_column(shingle, seed)(raw_text()), "__row": F.monotonically_increasing_id()}), "fingerprints")
-    links = materialize(link_fingerprints(rows.select(F.col("__fp").alias("fp")), distance), "links")
-    groups = components(links)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row")))
-    lowest = rows.groupBy(F.col("__fp").alias("fp")).agg(first.alias("low"))
-    named = lowest.join(groups.withColumnRenamed("node", "fp"), "fp", "left")
-    kept = named.groupBy(F.coalesce("component", "fp").alias("root")).agg(F.min("low").alias("low"))
-    return rows.join(kept.select(F.col("low.row").alias("__row")), "__row", "left_semi").drop("__fp", "__row")
+    text = F.coalesce("text", F.lit(""))
+    made = {"__fp": word_prints()(raw_text()), "__same": F.xxhash64(text, F.length(text)), "__row": F.monotonically_increasing_id()}
+    rows = materialize(docs.withColumns(made), "fingerprints", [])
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"), F.col("__same").alias("same"))
+    lead = rows.groupBy("__fp").agg(F.min(place).alias("l")).select("__fp", F.col("l.row").alias("lead"), F.col("l.same").alias("lead_same"))
+    lead = materialize(lead, "leads")
+    member = rows.select("__fp", "__same", "__row").join(lead, "__fp").where("__row != lead").select(F.col("__row").alias("a"), F.col("lead").alias("b"), (F.col("__same") == F.col("lead_same")).alias("equal"))
+    met = link_fingerprints(lead.select(F.col("__fp").alias("fp")), distance, compress=False).distinct()
+    ends = lead.select(F.col("__fp").alias("fp"), "lead")
+    met = met.join(ends.select(F.col("fp").alias("a"), F.col("lead").alias("row_a")), "a").join(ends.select(F.col("fp").alias("b"), F.col("lead").alias("row_b")), "b")
+    pairs = materialize(met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), F.lit(False).alias("equal")).unionByName(member), "pairs", [])
+    asked = pairs.where("not equal")
+    wanted = asked.select(F.col("a").alias("__row")).unionByName(asked.select(F.col("b").alias("__row"))).distinct()
+    sets = materialize(rows.select("__row", "text").join(wanted, "__row").select("__row", shingle_sets(shingle)(raw_text()).alias("s")), "shingles", [])
+    side = lambda c: sets.select(F.col("__row").alias(c), F.col("s").alias(f"s_{c}"))
+    both = asked.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+    near = both.where(F.col("common") >= similarity * (F.size("s_a") + F.size("s_b") - F.col("common"))).select("a", "b")
+    groups = components(pairs.where("equal").select("a", "b").unionByName(near)).withColumnRenamed("node", "__row")
+    first = rows.select("__row", "__same", "doc_id").join(groups, "__row").groupBy("component").agg(F.min(place).alias("l")).select("component", F.col("l.row").alias("kept"))
+    gone = materialize(groups.join(first, "component").where("__row != kept").select("__row"), "copies", [])
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)

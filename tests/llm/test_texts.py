@@ -50,9 +50,25 @@ def test_simhash(docs):
             low[find(k)] = min(low.get(find(k), i), i)
     want = [(i, f"{prints[k]:016x}", low.get(find(k))) for k, (i, _) in enumerate(rows)]
     same(simhash_ball.near_duplicates(docs).collect(), want)
+
+
+def test_near_dedup(docs, spark):
+    rows = rows_of(docs)
     kept = simhash_ball.deduplicate(docs)
     assert kept.columns == docs.columns
-    same([(r.doc_id,) for r in kept.collect()], [(low[find(k)],) for k in {find(k) for k in range(len(rows))}])
+    left = rows_of(kept)
+    first = {}
+    for i, t in rows:  # equal texts leave the smallest id, null last
+        k = (i is None, i or 0)
+        first[t or ""] = min(first.get(t or "", k), k)
+    assert len({t or "" for _, t in left}) == len(left) and all(first[t or ""] == (i is None, i or 0) for i, t in left)
+    rng = np.random.default_rng(10)
+    base = [" ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) for _ in range(40)]
+    close = [" ".join("new" if k == 77 else w for k, w in enumerate(t.split())) for t in base]
+    far = [" ".join("new" if k % 9 == 0 else w for k, w in enumerate(t.split())) for t in base[:10]]
+    df = spark.createDataFrame(list(enumerate(base + close + far)), "doc_id long, text string")
+    ids = {r.doc_id for r in simhash_ball.deduplicate(df).collect()}
+    assert set(range(40)) <= ids and len(ids & set(range(40, 80))) <= 4 and ids >= set(range(80, 90))
 
 
 def test_balls_meet_exactly_within_the_distance(spark):
