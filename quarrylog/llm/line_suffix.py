@@ -36,7 +36,8 @@ def _rank(pairs: DataFrame, by: list[str]) -> DataFrame:
     """Suffixes of equal ``by`` get their first member as ``rank``; suffixes alone in their interval go."""
     suffix = F.struct("doc", "k")
     intervals = pairs.groupBy(*by).agg(F.min(suffix).alias("rank"), F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return pairs.join(intervals, by).drop(*by)
+    # Written first: over an aggregation in its own stage Spark can't split the rows of a hot line among tasks.
+    return pairs.join(materialize(intervals, "intervals"), by).drop(*by)
 
 
 def repeated_runs(ids: DataFrame) -> DataFrame:
