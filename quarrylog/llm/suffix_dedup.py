@@ -156,7 +156,8 @@ def repeated(ranked: DataFrame, by: list[str]) -> DataFrame:
     """Rows of ``ranked`` whose rank ``by`` occurs at least twice; null ranks are unique."""
     known = ranked.where(" and ".join(f"{c} is not null" for c in by))
     twice = known.groupBy(*by).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    return ranked.join(twice, by, "left_semi")
+    # Written first: over an aggregation in its own stage Spark can't split the rows of a hot rank among tasks.
+    return ranked.join(materialize(twice, "repeated"), by, "left_semi")
 
 
 def repeated_starts(docs: DataFrame, threshold: int = 400) -> DataFrame:
@@ -188,7 +189,7 @@ def _decide(ranked: DataFrame, by: list[str]) -> DataFrame:
     """Whether the string that spans all starts of a row occurs twice: then each of them repeats."""
     known = ranked.where(" and ".join(f"{c} is not null" for c in by))
     twice = known.groupBy(*by).agg(F.count("*").alias("__n")).where("__n > 1").select(*by, F.lit(True).alias("whole"))
-    return ranked.join(twice, by, "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
+    return ranked.join(materialize(twice, "decided"), by, "left").withColumn("whole", F.coalesce("whole", F.lit(False)))
 
 
 def _asked(ranked: DataFrame, share: list[str], span: list[str], keep: list[str]) -> DataFrame:
