@@ -10,7 +10,9 @@ meet, which moves about a thirtieth of the rows and loses none.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +24,10 @@ from pyspark.sql import functions as F
 from .common import components, group_starts, local_components, materialize, raw_text, small_batches, whole_groups
 
 BITS = 64
+#: Fingerprints of each text in the near-dedup stage, each with other hashes: pairs within the distance in any of them are candidates.
+PRINTS = 1
+#: Longs of a text's shingle sketch.
+SKETCH = 4
 #: Variants unfolded at once in one task.
 AT_ONCE = 1 << 21
 
@@ -50,37 +56,59 @@ def bare_words(text: bytes) -> list[bytes]:
     return [w.strip(b".,;:!?\"'()") or w for w in text.lower().split()]
 
 
-def _print_of(hashes: np.ndarray) -> int:
-    ones = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(sum(1 << b for b in np.flatnonzero(2 * ones > len(hashes)).tolist())) if len(hashes) else 0
+def _prints_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """``n`` fingerprints of one set of hashes: the first of the hashes themselves, the others of mixtures of them."""
+    ones = np.zeros(n * BITS, dtype=np.int64)
+    for k in range(0, len(hashes), 8192):
+        first = hashes[k : k + 8192, None]
+        x = first + np.arange(n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        x[:, :1] = first
+        ones += np.unpackbits(x.astype("<u8").view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")
 
 
-def word_prints(seed: int = 42) -> Callable[[Column], Column]:
-    """Fingerprints over the distinct words of a column of bytes; the other columns of its rows don't go to Python."""
+def word_prints(n: int, seed: int = 42) -> Callable[[Column], Column]:
+    """``n`` fingerprints over the distinct words of a column of bytes; the other columns of its rows don't go to Python."""
 
-    @F.arrow_udf("long")
+    @F.arrow_udf("array<long>")
     def run(text: pa.Array) -> pa.Array:
-        one = lambda t: _print_of(np.array([xxhash.xxh64_intdigest(w, seed) for w in set(bare_words(t))], dtype=np.uint64))
-        return pa.array(np.array([one(x.as_py()) for x in text], dtype=np.uint64).view(np.int64))
+        one = lambda t: _prints_of(np.array([xxhash.xxh64_intdigest(w, seed) for w in set(bare_words(t))], dtype=np.uint64), n)
+        return pa.array([one(x.as_py()) for x in text], pa.list_(pa.int64()))
 
     return run
 
 
 def shingle_sets(shingle: int, seed: int = 42) -> Callable[[Column], Column]:
-    """Hashes of the distinct word shingles of a column of bytes; of fewer words the whole sequence."""
+    """Hashes of the distinct word shingles of a column of bytes (of fewer words the whole sequence), and their sketch."""
 
     def one(text: bytes) -> np.ndarray:
         w = text.lower().split()
         grams = {b" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))}
-        return np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], dtype=np.uint64).view(np.int64)
+        return np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], dtype=np.uint64)
 
-    @F.arrow_udf("array<long>")
+    @F.arrow_udf("struct<s: array<long>, sketch: array<long>>")
     def run(text: pa.Array) -> pa.Array:
-        return pa.array([one(x.as_py()) for x in text], pa.list_(pa.int64()))
+        got = [one(x.as_py()) for x in text]
+        sets = pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64()))
+        return pa.StructArray.from_arrays([sets, pa.array([_prints_of(g, SKETCH) for g in got], pa.list_(pa.int64()))], ["s", "sketch"])
 
     return run
 
 
+def sketch_limit(similarity: float) -> int:
+    """Differing bits of two sketches above which sets don't reach ``similarity``.
+
+    Each bit differs by the angle of the sets, by up to a quarter more in small
+    sets whose majorities tie; the limit is six standard deviations above that.
+    """
+    p = 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    n = SKETCH * BITS
+    return math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p)))
+
+
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -112,11 +140,32 @@ def _spread(prefix: int, radius: int):
 
 
 def _collide(prefix: int, radius: int, compress: bool):
-    """Unfold the variants of each prefix, and link the owners of equal ones to the smallest of them.
+    """Unfold the variants of each prefix, and bring the owners of equal ones together.
 
-    ``compress`` leaves one link for each fingerprint of a batch, to its component there.
+    ``compress`` leaves one link for each fingerprint of a batch, to its
+    component there.  Without it every pair is given, once: at the variant that
+    takes its lowest ``radius`` differing bits from the larger fingerprint.
     """
 
+    def every(spot: np.ndarray, own: np.ndarray, twice: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(spot, kind="stable")
+        spot, own = spot[order], own[order]
+        end = np.searchsorted(spot, spot, side="right")
+        for c in range(0, len(own), AT_ONCE):
+            left, step = np.arange(c, min(c + AT_ONCE, len(own))), 1
+            while len(left := left[left + step < end[left]]):
+                x, y = fp[own[left]], fp[own[left + step]]
+                lower, rest = np.minimum(x, y), x ^ y
+                for _ in range(radius):
+                    bit = rest & (~rest + np.uint64(1))
+                    lower, rest = lower ^ bit, rest ^ bit
+                here = lower == twice[spot[left]]
+                yield x[here], y[here]
+                step += 1
+
+    def record(pairs: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = [flips(range(BITS - prefix), k) for k in range(radius + 1)]
         for t in whole_groups(batches, ["at"], 1):
@@ -124,7 +173,7 @@ def _collide(prefix: int, radius: int, compress: bool):
             tail_bits = np.uint64(BITS - prefix)
             flipped = (at.astype(np.uint64) << tail_bits) | (fp & ((np.uint64(1) << tail_bits) - np.uint64(1)))
             starts = np.append(group_starts(at), len(at))
-            a, b = [], []
+            a, b, held, waiting = [], [], [], 0
             for s, e in zip(starts[:-1], starts[1:]):
                 if e - s < 2:
                     continue
@@ -152,6 +201,14 @@ def _collide(prefix: int, radius: int, compress: bool):
                     spot = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
                     hit = twice[spot] == v
                     spot, own = spot[hit], own[hit]
+                    if not compress:
+                        for x, y in every(spot, own, twice, fp):
+                            held.append(np.column_stack([x, y]).view(np.int64))
+                            waiting += len(x)
+                            if waiting >= AT_ONCE:
+                                yield record(np.concatenate(held))
+                                held, waiting = [], 0
+                        continue
                     low = np.full(len(twice), np.iinfo(np.int64).max)
                     np.minimum.at(low, spot, own)
                     other = low[spot]
@@ -161,12 +218,12 @@ def _collide(prefix: int, radius: int, compress: bool):
                     b.append(other[near])
             if a and len(i := np.concatenate(a)):
                 j = np.concatenate(b)
-                if compress:
-                    root = local_components(len(fp), i, j)
-                    i = np.unique(np.concatenate([i, j]))
-                    j = root[i]
-                pairs = np.unique(np.column_stack([fp[i], fp[j]]).view(np.int64), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+                root = local_components(len(fp), i, j)
+                i = np.unique(np.concatenate([i, j]))
+                j = root[i]
+                yield record(np.unique(np.column_stack([fp[i], fp[j]]).view(np.int64), axis=0))
+            if waiting:
+                yield record(np.concatenate(held))
 
     return run
 
@@ -181,7 +238,8 @@ def link_fingerprints(prints: DataFrame, distance: int = 4, compress: bool = Tru
     """Links (a, b) among the distinct values of ``prints.fp`` that connect all at ``distance`` or fewer differing bits.
 
     ``distance`` is even.  Fingerprints that collide are joined to one of their
-    number, so the links have the components of all pairs without listing them.
+    number, so the links have the components of all pairs without listing them;
+    without ``compress`` all pairs are listed, each once.
     """
     radius = distance // 2
     assert distance == 2 * radius and radius >= 1, "the distance is twice the radius of the balls"
@@ -218,32 +276,53 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
 def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id (null last), of repeated ids any one.
 
-    Texts are brought together by fingerprints over their distinct words, which
-    change less under edits than those over shingles.  Each collision, of a
-    variant's owners with the smallest of them and of unlike texts with one
-    fingerprint, is verified: the texts share at least ``similarity`` of their
-    distinct ``shingle``-word shingles.  Equal texts, null and empty among
-    them, link without that.  An empty table gives an empty result.
+    Texts are brought together by PRINTS fingerprints over their distinct words,
+    which change less under edits than those over shingles.  Unlike texts that
+    are within ``distance`` bits in any of them are verified: they share at
+    least ``similarity`` of their distinct ``shingle``-word shingles.  Sizes and
+    sketches settle most of the others without their shingles.  First each text
+    is compared with its smallest partner, then all pairs that this has left in
+    unlike groups.  Equal texts, null and empty among them, are one from the
+    start.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    made = {"__fp": word_prints()(raw_text()), "__same": F.xxhash64(text, F.length(text)), "__row": F.monotonically_increasing_id()}
+    made = {"__prints": word_prints(PRINTS)(raw_text()), "__same": F.xxhash64(text, F.length(text)), "__row": F.monotonically_increasing_id()}
     rows = materialize(docs.withColumns(made), "fingerprints", [])
-    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"), F.col("__same").alias("same"))
-    lead = rows.groupBy("__fp").agg(F.min(place).alias("l")).select("__fp", F.col("l.row").alias("lead"), F.col("l.same").alias("lead_same"))
-    lead = materialize(lead, "leads")
-    member = rows.select("__fp", "__same", "__row").join(lead, "__fp").where("__row != lead").select(F.col("__row").alias("a"), F.col("lead").alias("b"), (F.col("__same") == F.col("lead_same")).alias("equal"))
-    met = link_fingerprints(lead.select(F.col("__fp").alias("fp")), distance, compress=False).distinct()
-    ends = lead.select(F.col("__fp").alias("fp"), "lead")
-    met = met.join(ends.select(F.col("fp").alias("a"), F.col("lead").alias("row_a")), "a").join(ends.select(F.col("fp").alias("b"), F.col("lead").alias("row_b")), "b")
-    pairs = materialize(met.select(F.col("row_a").alias("a"), F.col("row_b").alias("b"), F.lit(False).alias("equal")).unionByName(member), "pairs", [])
-    asked = pairs.where("not equal")
-    wanted = asked.select(F.col("a").alias("__row")).unionByName(asked.select(F.col("b").alias("__row"))).distinct()
-    sets = materialize(rows.select("__row", "text").join(wanted, "__row").select("__row", shingle_sets(shingle)(raw_text()).alias("s")), "shingles", [])
-    side = lambda c: sets.select(F.col("__row").alias(c), F.col("s").alias(f"s_{c}"))
-    both = asked.select("a", "b").join(side("a"), "a").join(side("b"), "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
-    near = both.where(F.col("common") >= similarity * (F.size("s_a") + F.size("s_b") - F.col("common"))).select("a", "b")
-    groups = components(pairs.where("equal").select("a", "b").unionByName(near)).withColumnRenamed("node", "__row")
-    first = rows.select("__row", "__same", "doc_id").join(groups, "__row").groupBy("component").agg(F.min(place).alias("l")).select("component", F.col("l.row").alias("kept"))
-    gone = materialize(groups.join(first, "component").where("__row != kept").select("__row"), "copies", [])
-    return rows.join(gone, "__row", "left_anti").select(docs.columns)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
+    lead = rows.groupBy(F.col("__prints")[0], "__same").agg(F.min(place).alias("l")).select(F.col("l.row").alias("__row"))
+    leads = materialize(rows.select("__row", "doc_id", "__prints").join(lead, "__row", "left_semi"), "leads", [])
+    found = []
+    for k in range(PRINTS):
+        ends = leads.select("__row", F.col("__prints")[k].alias("fp"))
+        one = lambda c: ends.select(F.col("fp").alias(c), F.col("__row").alias(f"row_{c}"))  # noqa: B023, E731
+        met = link_fingerprints(ends, distance, compress=False).join(one("a"), "a").join(one("b"), "b").select("row_a", "row_b")
+        alike = one("fp").join(ends, "fp").where("row_fp < __row").select(F.col("row_fp").alias("row_a"), F.col("__row").alias("row_b"))
+        pairs = met.unionByName(alike).select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+        found.append(materialize(pairs, "pairs", []))
+    pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "pairs", found)
+    wanted = pairs.select(F.col("a").alias("__row")).unionByName(pairs.select(F.col("b").alias("__row"))).distinct()
+    shingles = rows.select("__row", "text").join(wanted, "__row").select("__row", shingle_sets(shingle)(raw_text()).alias("x"))
+    sets = materialize(shingles.select("__row", "x.s", F.size("x.s").alias("n"), "x.sketch"), "shingles", [])
+    side = lambda c, *what: sets.select(F.col("__row").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
+    unlike = sum(F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH))
+    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
+    close = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").where(sized & (unlike <= sketch_limit(similarity)))
+    close = materialize(close.select("a", "b"), "pairs", [pairs])
+
+    def verified(asked: DataFrame) -> DataFrame:
+        both = asked.join(side("a", "s"), "a").join(side("b", "s"), "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
+        near = both.where(F.col("common") >= similarity * (F.size("s_a") + F.size("s_b") - F.col("common")))
+        return materialize(near.select("a", "b"), "near", [])
+
+    star = materialize(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    near = verified(star)
+    group = components(near)
+    of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
+    rest = close.join(star, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+    rest = rest.where(F.coalesce(F.col("in_a") != F.col("in_b"), F.lit(True))).select("a", "b")
+    groups = components(near.unionByName(verified(rest))).withColumnRenamed("node", "__row")
+    first = leads.join(groups, "__row").groupBy("component").agg(F.min(place).alias("l")).select("component", F.col("l.row").alias("kept"))
+    gone = groups.join(first, "component").where("__row != kept").select("__row")
+    kept = materialize(leads.select("__row").join(gone, "__row", "left_anti"), "kept", [])
+    return rows.join(kept, "__row", "left_semi").select(docs.columns)

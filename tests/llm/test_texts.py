@@ -71,6 +71,54 @@ def test_near_dedup(docs, spark):
     assert set(range(40)) <= ids and len(ids & set(range(40, 80))) <= 4 and ids >= set(range(80, 90))
 
 
+def plain_groups(texts, least=0.8):
+    """Smallest index of each text's group: all pairs that share ``least`` of their five-word shingles."""
+    grams = []
+    for t in texts:
+        w = t.lower().split()
+        grams.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    root = list(range(len(texts)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for b in range(len(texts)):
+        for a in range(b):
+            common = len(grams[a] & grams[b])
+            if common >= least * (len(grams[a]) + len(grams[b]) - common):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return [find(k) for k in range(len(texts))]
+
+
+def test_near_copies_that_meet_in_unlike_company(spark):
+    rng = np.random.default_rng(12)
+    texts = []
+    for _ in range(6):  # one set of words in other orders: one fingerprint, and 0.8 only between some
+        words = [f"u{x}" for x in rng.choice(90_000, 120, replace=False)]
+        turned = [list(rng.permutation(words)) for _ in range(4)]
+        for w in turned + [turned[3], turned[2], turned[1]]:
+            at = int(rng.integers(0, 119))
+            w[at], w[at + 1] = w[at + 1], w[at]
+            texts.append(" ".join(w))
+        texts.append(" ".join([*rng.permutation(turned[1]), "added"]))
+        texts.append(" ".join([*turned[2], "added"]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash_ball.deduplicate(df).collect()} == set(plain_groups(texts))
+
+
+def test_all_pairs_within_the_distance(spark):
+    rng = np.random.default_rng(13)
+    values = [int(x) ^ sum(1 << int(b) for b in rng.choice(64, d, replace=False)) for x in rng.integers(0, 1 << 63, 8) for d in (0, 1, 1, 2, 2, 3, 4, 5)]
+    signed = [(int(np.uint64(v).astype(np.int64)),) for v in values]
+    got = [frozenset(r) for r in simhash_ball.link_fingerprints(spark.createDataFrame(signed, "fp long"), compress=False).collect()]
+    distinct = sorted(set(values))
+    want = {frozenset(int(np.uint64(v).astype(np.int64)) for v in (a, b)) for k, a in enumerate(distinct) for b in distinct[:k] if (a ^ b).bit_count() <= 4}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_balls_meet_exactly_within_the_distance(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
