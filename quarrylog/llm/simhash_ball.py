@@ -25,7 +25,7 @@ from .common import components, group_starts, local_components, materialize, raw
 
 BITS = 64
 #: Fingerprints of each text in the near-dedup stage, each with other hashes: pairs within the distance in any of them are candidates.
-PRINTS = 1
+PRINTS = 8
 #: Longs of a text's shingle sketch.
 SKETCH = 4
 #: Variants unfolded at once in one task.

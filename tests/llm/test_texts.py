@@ -109,6 +109,21 @@ def test_near_copies_that_meet_in_unlike_company(spark):
     assert {r.doc_id for r in simhash_ball.deduplicate(df).collect()} == set(plain_groups(texts))
 
 
+def test_recall_of_near_copies_at_the_threshold(spark):
+    rng = np.random.default_rng(14)
+    texts = []
+    for k in range(150):
+        base = [f"w{x}" for x in rng.integers(0, 3000, 60 + 8 * k)]
+        copy = list(base)
+        for at in rng.choice(len(base), max(1, round(len(base) * (0.014, 0.018, 0.021)[k % 3])), replace=False):
+            copy[at] = f"w{rng.integers(0, 3000)}"
+        texts += [" ".join(base), " ".join(copy)]
+    want = set(plain_groups(texts))
+    assert len(want) <= 170  # most pairs share 0.8 or more
+    got = {r.doc_id for r in simhash_ball.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert want <= got and len(got - want) <= 0.02 * (len(texts) - len(want))
+
+
 def test_all_pairs_within_the_distance(spark):
     rng = np.random.default_rng(13)
     values = [int(x) ^ sum(1 << int(b) for b in rng.choice(64, d, replace=False)) for x in rng.integers(0, 1 << 63, 8) for d in (0, 1, 1, 2, 2, 3, 4, 5)]
