@@ -36,9 +36,8 @@ SYMBOLS = HEAD + CLASSES + 1
 END = SYMBOLS - 1
 NOISE = 64
 BATCH = 2048
-#: Each round takes another one of ROUNDS parts of the training documents, and every STRIDE-th position of them.
+#: Each round takes another one of ROUNDS parts of the training documents, and every position of them.
 ROUNDS = 4
-STRIDE = 2
 RATE = 0.15
 #: Words whose counts every worker holds, at most: the commonest.  Counts of the others are joined.
 HELD = 300_000
@@ -177,11 +176,9 @@ def _train(flat: np.ndarray, prior: np.ndarray, head: list[bytes], turn: int):
         for batch in batches:
             for x in batch.column(0):
                 s = _symbols(_codes(x.as_py().lower().split(), known), own)
-                b = _contexts(s)
-                k = turn % STRIDE
-                held_b.append(b[k::STRIDE])
-                held_s.append(s[k::STRIDE])
-                waiting += len(held_s[-1])
+                held_b.append(_contexts(s))
+                held_s.append(s)
+                waiting += len(s)
                 if waiting >= 16 * BATCH:
                     learn()
         if waiting:

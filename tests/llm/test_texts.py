@@ -302,6 +302,16 @@ def test_model_learns():
     assert model.log_softmax(before[:500], symbols[:500]).mean() > first + 2
 
 
+def test_model_sees_every_position(spark):
+    prior = np.full(nce_lm.SYMBOLS, 1 / nce_lm.SYMBOLS)
+    bodies = [" ".join(f"w{k}" for k in range(n)).encode() for n in (0, 1, 2, 7, 40, 333)]
+    df = spark.createDataFrame([(b,) for b in bodies], "body binary").repartition(2)
+    for turn in range(nce_lm.ROUNDS):
+        run = nce_lm._train(nce_lm.LogBilinear.fresh(prior).flat, prior, [b"w1", b"w2"], turn)
+        seen = df.mapInArrow(run, "k int, v double, n long").where("k = 0").toPandas()["n"].sum()
+        assert seen == sum(len(b.split()) + 1 for b in bodies)
+
+
 def plain_targets(sizes, share=1.5, most=2, weights=(5, 2, 1)):
     target, fixed, total = {}, {}, share * sum(sizes.values())
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
