@@ -176,8 +176,9 @@ def repeated_starts(docs: DataFrame, threshold: int = 400) -> DataFrame:
     cells = cells.mapInArrow(_cells(threshold), "h long, d long, cell int, first int, last int, need boolean, c1 long, c2 long, w1 long, w2 long")
     cells = materialize(cells, "cells", [asked])
     kept = materialize(repeated(cells, ["cell", "c1", "c2"]), "live-cells", [cells])
-    kept = materialize(_decide(kept, ["w1", "w2"]), "split-cells", [kept])
-    asked = _asked(kept, ["cell", "c1", "c2"], ["w1", "w2"], spans)
+    # With the cell in the key: cells of two anchors may span one and the same bytes, which then stand there once.
+    kept = materialize(_decide(kept, ["cell", "w1", "w2"]), "split-cells", [kept])
+    asked = _asked(kept, ["cell", "c1", "c2"], ["cell", "w1", "w2"], spans)
     asked = materialize(asked.groupBy("h", "d").agg(F.collect_set(F.struct("first", "last", "need")).alias("cells")), "asked", [])
     starts = docs.join(asked, ["h", "d"]).select("h", "d", "body", "cells")
     starts = materialize(starts.mapInArrow(_starts(threshold), "h long, d long, first int, need boolean, r1 long, r2 long"), "starts", [asked])
@@ -236,7 +237,8 @@ def remove_repeats(docs: DataFrame, threshold: int = 400, keep_text: bool = Fals
     text are copies of each other.  An empty table gives an empty result.
     ``threshold`` is at least 64.
     """
-    assert threshold >= 64
+    if threshold < 64:
+        raise ValueError("the threshold is at least 64 bytes")
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     d = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))

@@ -265,6 +265,21 @@ def test_repeats_whose_ends_differ(spark):
     same(suffix_dedup.remove_repeats(df, 400).collect(), plain_repeats(rows_of(df), 400))
 
 
+def test_repeats_of_many_lengths(spark):
+    """Pieces a little longer than the threshold: two anchors' cells can span one and the same bytes, which is no repeat."""
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(chr(97 + x) for x in rng.integers(0, 26, n))
+    pieces = [letters(n) for n in rng.integers(40, 300, 300)]
+    texts = []
+    for p in pieces:
+        for _ in range(2):
+            s, e = rng.integers(0, 8), len(p) - rng.integers(0, 8)
+            texts.append(letters(int(rng.integers(0, 60))) + p[s:e] + letters(int(rng.integers(0, 60))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for size in (64, 80):
+        same(suffix_dedup.remove_repeats(df, size).collect(), plain_repeats(rows_of(df), size))
+
+
 def test_language_model(docs):
     rows = rows_of(docs)
     held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
