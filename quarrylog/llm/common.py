@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,14 +17,20 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
-_written: list[tuple[SparkSession, str]] = []
-_paths: dict[int, str] = {}
+#: Whether Spark removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_written: dict[str, SparkSession] = {}
+_paths: dict[int, tuple[DataFrame, str]] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set."""
+    """The folder that driver and executors share; a temporary one where none is set and there is one process only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quarrylog-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -42,23 +47,38 @@ def materialize(df: DataFrame, name: str, instead: list[DataFrame] | None = None
     """Write ``df`` once to the shared folder and read it back: cuts the lineage and survives lost executors.
 
     Tables in ``instead`` (materialized before, and needed no more) are deleted.
-    With it, even if empty, the driver's garbage is collected, so that Spark
-    removes the shuffle files of what has been written.
+    The shuffle files of the write go with its end: nothing reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/quarrylog-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    _written[path] = spark
     table = spark.read.schema(df.schema).parquet(path)
-    _paths[id(table)] = path
-    if instead is not None:
-        for old in instead:
-            _delete(spark, _paths.pop(id(old)))
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+    _paths[id(table)] = (table, path)
+    drop(*instead or [])
     return table
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for table in tables:
+        _, path = _paths.pop(id(table))
+        _delete(_written.pop(path), path)
+
+
+def free(name: str, columns: Iterable[str]) -> str:
+    """``name``, with underscores behind it until no column has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -66,7 +86,7 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _forget() -> None:
-    for spark, path in _written:
+    for path, spark in _written.items():
         try:
             _delete(spark, path)
         except Exception:  # the JVM may have ended before
@@ -166,18 +186,17 @@ def components(edges: DataFrame) -> DataFrame:
     shuffled by node, with the labels written to the shared folder.  Nodes
     without a link don't appear.
     """
-    spark = edges.sparkSession
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
     both = materialize(both, "links")
     label = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("component"))
     label = materialize(label, "labels")
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
-        step = label.join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("to"))
-        step = materialize(step, "labels")
+        near = both.join(label.select(F.col("node").alias("b"), "component"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("m"))
+        step = label.select("node", "component").join(near, "node").select("node", F.col("component").alias("was"), F.least("component", "m").alias("to"))
+        step = materialize(step, "labels", [label])
         jump = step.select(F.col("node").alias("to"), F.col("to").alias("further"))
         new = step.join(jump, "to").select("node", F.least("to", "further").alias("component"), (F.least("to", "further") != F.col("was")).alias("moved"))
-        new = materialize(new, "labels")
-        label = new.select("node", "component")
-        if new.where("moved").isEmpty():
-            return label
+        label = materialize(new, "labels", [step])
+        if label.where("moved").isEmpty():
+            drop(both)
+            return label.select("node", "component")

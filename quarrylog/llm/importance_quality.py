@@ -1,9 +1,11 @@
 """Quality by importance resampling.
 
 Two generative models over hashed word n-grams, one of target text and one of
-the raw corpus, give each document the log ratio of its likelihoods.  Adding
-seeded Gumbel noise and keeping the k largest keys samples k documents
-without replacement in proportion to their weights.
+the raw corpus, give each document the log ratio of its likelihoods: the sum
+over its n-grams, tempered by TEMPER.  Adding seeded Gumbel noise and keeping
+the k largest keys samples k documents without replacement in proportion to
+their weights: a document's chance of being drawn next is exp(log weight) over
+the sum of those not yet drawn.
 """
 
 from __future__ import annotations
@@ -18,14 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, materialize, small_batches
+from .common import bounded_sample, free, materialize, small_batches
 from .quality_forest import threshold
 
 BUCKETS = 1 << 14
 #: About how many labelled rows the target model and the size of the sample are taken from.
 LABELLED = 16_384
-#: What the mean log ratio of a text's n-grams is multiplied by before the noise (of scale 1) is added.
-SHARPNESS = 60.0
+#: The power of the likelihood ratio that documents are drawn by.  Words of a text aren't independent, so that its full
+#: ratio is overconfident; at a quarter the noise (of scale 1) matters wherever the ratio is within about e^8 of the edge.
+TEMPER = 0.25
 CLEAN_WORTH = 5.0
 
 _tokens = re.compile(r"\w+|[^\w\s]+").findall
@@ -65,10 +68,9 @@ def log_ratio(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     return np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((raw + 1) / (raw.sum() + BUCKETS))
 
 
-def weigh(text: str, ratio: np.ndarray, known: dict[str, int] | None = None, sharpness: float = SHARPNESS) -> float:
-    """Mean log ratio of the text's n-grams, times ``sharpness``; 0 without any."""
-    got = buckets(text, known)
-    return sharpness * float(ratio[got].mean()) if len(got) else 0.0
+def weigh(text: str, ratio: np.ndarray, known: dict[str, int] | None = None, temper: float = TEMPER) -> float:
+    """log p_target - log p_raw of the text's n-grams together, times ``temper``; 0 without any."""
+    return temper * float(ratio[buckets(text, known)].sum())
 
 
 def log_weight(ratio: np.ndarray) -> Callable[[Column], Column]:
@@ -108,37 +110,52 @@ def kth_largest(values: DataFrame, c: str, k: int) -> int | None:
     return low
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = 10) -> DataFrame:
-    """``docs`` with log_weight, gumbel_key and selected, by weight against the labelled good texts.
+def gumbel_key(weight: Column, seed: Column, doc_id: Column) -> Column:
+    """The log weight plus standard Gumbel noise, which the seed and the id determine."""
+    u = F.xxhash64(seed, F.lit("gumbel"), doc_id) / F.lit(2.0**64) + 0.5
+    u = F.greatest(F.least(u, F.lit(1 - 1e-12)), F.lit(1e-12))
+    return weight - F.log(-F.log(u))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = 10) -> DataFrame:
+    """``docs`` with log_weight, gumbel_key and selected: ``k`` documents sampled by weight against the labelled good texts.
 
     The raw model counts all of ``docs(doc_id, text)``; the target model counts
     texts labelled good in ``labels(doc_id, quality)``, of about LABELLED labelled
-    rows drawn by a hash.  k is the number of all documents whose weight
-    reaches the threshold that best separates those labelled rows.  selected
-    marks the k largest keys; ties at the edge are all selected.  All other
-    columns are returned as they are.  Null and empty texts weigh 0.  Without
-    labels of both kinds everything is selected.  A repeated id draws the same
-    noise.  An empty table gives an empty result.
+    rows drawn by a hash.  Without ``k`` the sample is as large as the number of
+    documents whose weight reaches the value that best separates those labelled
+    rows.  selected marks the k largest keys; ties at the edge are all selected.
+    All columns of ``docs`` are returned as they are: a result whose name one of
+    them has gets an underscore behind it.  Null and empty texts weigh 0.
+    Without labels of both kinds, and without ``k``, everything is selected.  A
+    repeated id draws the same noise.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("__quality"))
+    weight, key, selected = (free(c, docs.columns) for c in ("log_weight", "gumbel_key", "selected"))
+    marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     marked = F.broadcast(bounded_sample(marked, LABELLED, seed, "doc_id").drop("__order"))
     text = F.coalesce("text", F.lit("")).alias("text")
-    counted = docs.select("doc_id", text).join(marked, "doc_id", "left").select("text", F.coalesce(F.col("__quality") > 0, F.lit(False)).alias("target"))
+    counted = docs.select("doc_id", text).join(marked, "doc_id", "left").select("text", F.coalesce(F.col("quality") > 0, F.lit(False)).alias("target"))
     counts = counted.mapInArrow(_count, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).collect()
     model = np.zeros((2, BUCKETS))
     for r in counts:
         model[r["model"], r["bucket"]] = r["n"]
     ratio = log_ratio(model[0], model[1])
-    weighed = docs.withColumn("log_weight", log_weight(ratio)(F.col("text")))
-    u = (F.xxhash64(F.lit(seed), F.lit("gumbel"), "doc_id") / F.lit(2.0**64)) + 0.5
-    u = F.greatest(F.least(u, F.lit(1 - 1e-12)), F.lit(1e-12))
-    weighed = materialize(weighed.withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(u))), "weighed")
-    rows = weighed.select("doc_id", "log_weight").join(marked, "doc_id").collect()
-    good = np.array([r["__quality"] > 0 for r in rows], dtype=bool)
-    edge = -threshold(-np.array([r["log_weight"] for r in rows]), good, CLEAN_WORTH) if len(rows) else -math.inf
-    if edge == -math.inf:
-        return weighed.withColumn("selected", F.lit(True))
-    k = weighed.where(F.col("log_weight") >= edge).count()
-    last = kth_largest(weighed.select(ordered(F.col("gumbel_key")).alias("key")), "key", k) if k else None
-    return weighed.withColumn("selected", F.lit(False) if last is None else ordered(F.col("gumbel_key")) >= F.lit(last))
+    weighed = docs.withColumn(weight, log_weight(ratio)(F.col("text")))
+    weighed = materialize(weighed.withColumn(key, gumbel_key(F.col(weight), F.lit(seed), F.col("doc_id"))), "weighed")
+    if k is None:
+        # One weight for each labelled id, so that repeated ids can't swell what is collected.
+        known = weighed.select("doc_id", F.col(weight).alias("weight")).join(marked, "doc_id").groupBy("doc_id").agg(F.min("weight").alias("weight"), F.min("quality").alias("quality"))
+        rows = known.collect()
+        good = np.array([r["quality"] > 0 for r in rows], dtype=bool)
+        edge = -threshold(-np.array([r["weight"] for r in rows]), good, CLEAN_WORTH) if len(rows) else -math.inf
+        if edge == -math.inf:
+            return weighed.withColumn(selected, F.lit(True))
+        k = weighed.where(F.col(weight) >= edge).count()
+    last = kth_largest(weighed.select(ordered(F.col(key)).alias("key")), "key", k) if k else None
+    return weighed.withColumn(selected, F.lit(False) if last is None else ordered(F.col(key)) >= F.lit(last))
+
+
+def keep_selected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``resample`` selects, with their own columns."""
+    return resample(docs, labels).where(F.col(free("selected", docs.columns))).select(docs.columns)

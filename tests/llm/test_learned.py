@@ -1,11 +1,16 @@
 """Classifiers: exact statistics, held-out accuracy, and that odd input has a defined result."""
 
+import itertools
 import math
 import random
+import re
+import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarrylog.llm import importance_quality, quality_forest, toxicity_cnn
@@ -85,6 +90,61 @@ def test_importance(corpus):
     assert [s for _, s in keys] == sorted(s for _, s in keys)  # the k largest keys, whatever k is
 
 
+def plain_grams(text):
+    w = re.findall(r"\w+|[^\w\s]+", text or "")
+    code = [zlib.crc32(x.encode()) for x in w]
+    pairs = [(a * 0x9E3779B1 + b * 0x85EBCA6B) % 2**32 for a, b in zip(code, code[1:])]
+    return [c % 16384 for c in code] + [(p ^ p >> 15) % 16384 for p in pairs]
+
+
+def plain_noise(seed, doc_id):
+    h = xxhash.xxh64_intdigest(struct.pack("<i", seed), 42)
+    h = xxhash.xxh64_intdigest(struct.pack("<q", doc_id), xxhash.xxh64_intdigest(b"gumbel", h))
+    return -math.log(-math.log((h - 2**64 * (h >> 63)) / 2**64 + 0.5))
+
+
+def test_importance_by_brute_force(corpus):
+    docs, labels = corpus
+    got = {r.doc_id: r for r in importance_quality.resample(docs, labels, k=300).collect()}
+    grams = {r.doc_id: plain_grams(r.text) for r in docs.collect()}
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and r.doc_id in grams}
+    raw, target = Counter(g for x in grams.values() for g in x), Counter(g for i in good for g in grams[i])
+    n_raw, n_target = sum(raw.values()) + 16384, sum(target.values()) + 16384
+    keys = {}
+    for i, x in grams.items():
+        weight = 0.25 * sum(math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw) for g in x)
+        keys[i] = weight + plain_noise(10, i)
+        assert abs(got[i].log_weight - weight) < 1e-6 and abs(got[i].gumbel_key - keys[i]) < 1e-6
+    assert {i for i, r in got.items() if r.selected} == set(sorted(keys, key=keys.get)[-300:])
+    by_weight = sorted(got.values(), key=lambda r: r.log_weight)[-300:]
+    assert any(not r.selected for r in by_weight)  # a sample, and no cut
+
+
+def test_draws_follow_the_weights(spark):
+    """Over many seeds the first, and the first three, of six documents are drawn as sampling without replacement draws them."""
+    weight = [0.0, 0.3, 0.7, 1.1, 1.5, 2.0]
+    rows = spark.createDataFrame(list(enumerate(weight)), "doc_id long, w double").crossJoin(spark.range(20_000).select(F.col("id").cast("int").alias("seed")))
+    keyed = rows.select("seed", "doc_id", importance_quality.gumbel_key(F.col("w"), F.col("seed"), F.col("doc_id")).alias("key"))
+    order = keyed.groupBy("seed").agg(F.transform(F.sort_array(F.collect_list(F.struct("key", "doc_id")), False), lambda x: x["doc_id"]).alias("o")).select("o").collect()
+    one = Counter(r.o[0] for r in order)
+    three = Counter(i for r in order for i in r.o[:3])
+    p = np.exp(weight)
+    want = np.zeros(6)
+    for a, b, c in itertools.permutations(range(6), 3):
+        chance = p[a] / p.sum() * p[b] / (p.sum() - p[a]) * p[c] / (p.sum() - p[a] - p[b])
+        want[[a, b, c]] += chance
+    for i in range(6):
+        assert abs(one[i] / 20_000 - p[i] / p.sum()) < 0.015 and abs(three[i] / 20_000 - want[i]) < 0.015
+
+
+def test_importance_keeps_columns_of_its_own_names(corpus):
+    docs, labels = corpus
+    named = docs.withColumns({"selected": F.lit("mine"), "Log_Weight": F.lit(7), "quality": F.lit(3)})
+    got = importance_quality.resample(named, labels)
+    assert got.columns == [*named.columns, "log_weight_", "gumbel_key", "selected_"]
+    assert got.where("selected = 'mine' and Log_Weight = 7 and quality = 3").count() == 900 and 0 < got.where("selected_").count() < 900
+
+
 def test_importance_on_odd_texts(docs, no_labels, spark):
     got = importance_quality.resample(docs, no_labels)
     assert got.columns == [*docs.columns, "log_weight", "gumbel_key", "selected"] and got.where("not selected").count() == 0
