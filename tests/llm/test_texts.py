@@ -9,9 +9,10 @@ import numpy as np
 import public_tokenizers
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 
 from quarrylog.llm import byte_bpe, line_suffix, mixing_flow, nce_lm, simhash_ball, suffix_dedup
-from quarrylog.llm.common import components
+from quarrylog.llm.common import components, materialize
 
 rows_of = lambda df: [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
 key = lambda x: tuple((v is not None, v) for v in x)
@@ -174,15 +175,18 @@ def test_components_of_chains_and_stars(spark):
 
 
 def plain_lines(rows, most=10):
-    """Later copies of runs of two lines, or of one long line: (doc, line) places to delete."""
+    """Later copies of runs of two lines, or of one line that is long or in two documents: (doc, line) places to delete."""
     docs = sorted({(i is not None, i if i is not None else 0, t) for i, t in rows if t is not None}, key=lambda x: (x[0], x[1], x[2]))
     assert len({d[:2] for d in docs}) == len(docs)
     seq = [[(n, line) for n, line in enumerate(t.split("\n")) if line.encode().split()] for *_, t in docs]
-    gone, seen = [set() for _ in docs], set()
+    gone, seen, home = [set() for _ in docs], set(), {}
+    for d, lines in enumerate(seq):
+        for _, line in lines:
+            home.setdefault(line, set()).add(d)
     for d, lines in enumerate(seq):
         for k, (n, line) in enumerate(lines):
             for run in ([line], [line, lines[k + 1][1]] if k + 1 < len(lines) else None):
-                if run is None or len(run) == 1 and len(line.encode().split()) < most:
+                if run is None or len(run) == 1 and len(line.encode().split()) < most and len(home[line]) == 1:
                     continue
                 if tuple(run) in seen:
                     gone[d] |= {m for m, _ in lines[k : k + len(run)]}
@@ -206,6 +210,27 @@ def test_lines(docs):
     assert any(w[3] for w in want)
 
 
+def test_short_lines(spark):
+    """A short line that two documents have is cut from the later one; one that a single document repeats is left."""
+    texts = ["Refrain\nfirst verse\nRefrain\nlast verse\nRefrain", "Share this page\nwords of one", "words of two\nShare this page"]
+    out = line_suffix.remove_repeated_lines(spark.createDataFrame([(k, t, f"n{k}", k) for k, t in enumerate(texts)], "doc_id long, text string, n_lines string, __gone long"))
+    assert out.columns == ["doc_id", "text", "n_lines", "__gone", "n_lines_", "n_removed"]
+    same(out.collect(), [(0, texts[0], "n0", 0, 5, 0), (1, texts[1], "n1", 1, 2, 0), (2, "words of two", "n2", 2, 2, 1)])
+
+
+def test_long_runs_stay_linear(spark):
+    """One document of 20,000 lines twice: doubling and the stretches have a few rows a line, not the square."""
+    text, n = "\n".join(f"line {k}" for k in range(20_000)), 20_000
+    docs = spark.createDataFrame([(1, text), (2, text + "\nits own end")], "doc_id long, text string")
+    ids = materialize(line_suffix.line_ids(docs.select(F.struct(F.col("doc_id").alias("id"), F.lit(0).alias("h")).alias("doc"), "text")), "lines")
+    runs = line_suffix.repeated_runs(ids)
+    covered = line_suffix.stretches(runs)
+    assert runs.count() == n and covered.count() <= n
+    assert covered.agg(F.sum(F.col("e") - F.col("s"))).first()[0] == n
+    got = {r.doc_id: tuple(r)[1:] for r in line_suffix.remove_repeated_lines(docs).collect()}
+    assert got == {1: (text, n, 0), 2: ("its own end", n + 1, n)}
+
+
 def test_bpe(docs):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     bpe = byte_bpe.tokenizer(path, public_tokenizers.PATTERN)
