@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, components, group_starts, in_order, local_components, materialize, whole_groups
 
-#: About how many vectors reference points are taken from (a sample of the index' own rows).
-SAMPLE = 2048
+#: About how many vectors for each reference point these are taken from (a sample of the index' own rows).
+SAMPLE = 2
 #: Cosine that two reference points stay below.
 APART = 0.7
 #: Lists longer than this are verified in pairs of blocks, each pair of blocks a group of its own.
@@ -29,23 +29,29 @@ BLOCK = 1024
 
 
 def pivot_count(n: int) -> int:
-    """A power of two near 7 times the cube root of ``n``, so that lists of three pivots stay short; 16 to 1024."""
-    return int(2 ** np.clip(np.round(np.log2(7 * max(n, 1) ** (1 / 3))), 4, 10))
+    """A power of two near 7 times the cube root of ``n``, so that lists of three pivots stay short; 16 to 16,384 (12 billion vectors)."""
+    return int(2 ** np.clip(np.round(np.log2(7 * max(n, 1) ** (1 / 3))), 4, 14))
 
 
-def _reference_points(sample: list[list[float]], dim: int, count: int) -> np.ndarray:
+def nearest_count(pivots: int) -> int:
+    """How many pivots describe a vector: 8, and one more for each doubling beyond 256, where near vectors share fewer."""
+    return 8 + max(0, int(np.log2(pivots)) - 8)
+
+
+def reference_points(sample: list[list[float]], dim: int, count: int) -> np.ndarray:
     """Up to ``count`` vectors of the sample, no two nearer than APART; random directions make up the number.
 
     A crowd of near copies gives one reference point: more would tell its
     members apart by noise, and the links between them would be lost.
     """
     x = unit([v for v in sample if len(v) == dim] or [[1.0] * dim])
-    chosen = np.zeros((0, dim))
+    chosen, n = np.empty((count, dim)), 0
     for v in x:
-        if len(chosen) < count and (not len(chosen) or (chosen @ v).max() < APART):
-            chosen = np.vstack([chosen, v])
-    rest = np.random.default_rng(dim).normal(size=(count - len(chosen), dim))
-    return np.vstack([chosen, rest / np.linalg.norm(rest, axis=1, keepdims=True)])
+        if n < count and (not n or (chosen[:n] @ v).max() < APART):
+            chosen[n], n = v, n + 1
+    rest = np.random.default_rng(dim).normal(size=(count - n, dim))
+    chosen[n:] = rest / np.linalg.norm(rest, axis=1, keepdims=True)
+    return chosen
 
 
 def unit(rows: list[list[float]]) -> np.ndarray:
@@ -57,7 +63,13 @@ def unit(rows: list[list[float]]) -> np.ndarray:
 
 def nearest_pivots(x: np.ndarray, pivots: np.ndarray, nearest: int) -> np.ndarray:
     """Ids of the closest pivots of each row of ``x``, nearest first."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
+    out, step = [], max(1, (1 << 22) // len(pivots))
+    for k in range(0, len(x), step):
+        far = -(x[k : k + step] @ pivots.T)
+        some = np.sort(np.argpartition(far, min(nearest, len(pivots)) - 1, axis=1)[:, :nearest], axis=1)
+        order = np.argsort(np.take_along_axis(far, some, axis=1), axis=1, kind="stable")
+        out.append(np.take_along_axis(some, order, axis=1).astype(np.int32))
+    return np.concatenate(out) if out else np.zeros((0, nearest), dtype=np.int32)
 
 
 def _verify(x: np.ndarray, p: np.ndarray, combo: np.ndarray, i: np.ndarray, j: np.ndarray, least: float) -> np.ndarray:
@@ -74,19 +86,19 @@ def _verify(x: np.ndarray, p: np.ndarray, combo: np.ndarray, i: np.ndarray, j: n
 def _link_lists(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, ["lid", "block"]):
-            rep = t.column("rep").to_numpy()
+            cid = t.column("cid").to_numpy()
             weight = t.column("weight").to_numpy()
             lid, block = t.column("lid").to_numpy(), t.column("block").to_numpy()
             half = t.column("half").to_numpy()
             combo = np.array(t.column("combo").to_pylist(), dtype=np.int32)
-            starts = np.append(group_starts(lid, block), len(rep))
+            starts = np.append(group_starts(lid, block), len(cid))
             sizes = np.diff(starts)
             dims = t.column("dim").to_numpy()
-            links = np.zeros(len(rep), dtype=np.int64)
+            links = np.zeros(len(cid), dtype=np.int64)
             ea, eb = [], []
             for d in np.unique(dims):
                 rows = np.flatnonzero(dims == d)
-                at = np.full(len(rep), -1)
+                at = np.full(len(cid), -1)
                 at[rows] = np.arange(len(rows))
                 x = unit(t.column("v").take(rows).to_pylist())
                 p = np.array(t.column("pivots").take(rows).to_pylist(), dtype=np.int32)
@@ -126,14 +138,14 @@ def _link_lists(least: float):
                     eb.append(b)
             if not ea or not links.any():
                 continue
-            root = local_components(len(rep), np.concatenate(ea), np.concatenate(eb))
+            root = local_components(len(cid), np.concatenate(ea), np.concatenate(eb))
             hit = np.flatnonzero(links)
-            yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(links[hit]), pa.array(rep[root[hit]])], ["rep", "links", "to"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid[hit]), pa.array(links[hit]), pa.array(cid[root[hit]])], ["cid", "links", "to"])
 
     return run
 
 
-def link_vectors(rows: DataFrame, least: float = 0.93, nearest: int = 8, shared: int = 3) -> DataFrame:
+def link_vectors(rows: DataFrame, least: float = 0.93, nearest: int | None = None, shared: int = 3, pivots: int | None = None) -> DataFrame:
     """Links and classes of ``rows(vec_id, embedding, label)``; one row for each input row.
 
     Returns vec_id, n_links, component_id, kept.  A vector that is null,
@@ -141,8 +153,9 @@ def link_vectors(rows: DataFrame, least: float = 0.93, nearest: int = 8, shared:
     is null, links with nothing: 0 links, its own component, kept.  Vectors of
     different lengths never link.  Equal vectors of a label are one class: the
     search sees one of them, so groups of copies of any size cost one row.
-    Rows that repeat a vec_id count as vectors of their own.  Further columns
-    are ignored.  An empty table gives an empty result.
+    Rows that repeat a vec_id, with like or unlike vectors, count as vectors of
+    their own.  Further columns are ignored.  An empty table gives an empty
+    result.  ``pivots`` and ``nearest`` follow from the number of classes.
     """
     spark = rows.sparkSession
     r = rows.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
@@ -150,31 +163,34 @@ def link_vectors(rows: DataFrame, least: float = 0.93, nearest: int = 8, shared:
     peak = F.aggregate("v", F.lit(0.0), lambda a, c: a + F.abs(c))
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))), F.lit(False)) & F.coalesce(peak > 0, F.lit(False))
     r = r.withColumn("fine", fine)
-    classes = materialize(r.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
-    n = classes.count()
-    pivots = pivot_count(n)
-    sample = [list(r["v"]) for r in in_order(bounded_sample(classes.select("v"), SAMPLE, 11, "v").collect())]
+    # Classes go by a number that is written with them: ids can repeat with unlike vectors.
+    classes = r.where("fine").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    pivots = pivots or pivot_count(classes.count())
+    nearest = nearest or nearest_count(pivots)
+    sample = [list(r["v"]) for r in in_order(bounded_sample(classes.select("v"), SAMPLE * pivots, 11, "v").collect())]
+    points = spark.sparkContext.broadcast({d: reference_points(sample, d, pivots) for d in {len(v) for v in sample}})
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
+        known: dict[int, np.ndarray] = dict(points.value)
         for b in batches:
             v = b.column(3).to_pylist()
             dims = np.array([len(x) for x in v], dtype=np.int64)
             out = [None] * len(v)
             for d in np.unique(dims):
-                if d not in known:
-                    known[d] = _reference_points(sample, int(d), pivots)
+                if d not in known:  # a length that the sample hasn't
+                    known[d] = reference_points([], int(d), pivots)
                 at = np.flatnonzero(dims == d)
                 for k, q in zip(at, np.sort(nearest_pivots(unit([v[k] for k in at]), known[d], nearest), axis=1).tolist()):
                     out[k] = q
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(dims, pa.int64()), pa.array(out, pa.list_(pa.int32())), b.column(3)], ["label", "rep", "weight", "dim", "pivots", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(dims, pa.int64()), pa.array(out, pa.list_(pa.int32())), b.column(3)], ["label", "cid", "weight", "dim", "pivots", "v"])
 
     kinds = dict(classes.dtypes)
-    index = classes.select("label", "rep", "weight", "v").mapInArrow(describe, f"label {kinds['label']}, rep {kinds['rep']}, weight long, dim long, pivots array<int>, v array<double>")
+    index = classes.select("label", "cid", "weight", "v").mapInArrow(describe, f"label {kinds['label']}, cid long, weight long, dim long, pivots array<int>, v array<double>")
     index = materialize(index, "pivots")
     spots = [list(c) for c in combinations(range(nearest), shared)]
     combos = F.transform(F.array(*[F.array(*[F.lit(x) for x in c]) for c in spots]), lambda c: F.transform(c, lambda k: F.get("pivots", k)))
-    postings = index.select("label", "dim", "rep", F.xxhash64("pivots").alias("kind"), F.slice("pivots", 1, shared).alias("first"), F.explode(combos).alias("combo"))
+    postings = index.select("label", "dim", "cid", F.xxhash64("pivots").alias("kind"), F.slice("pivots", 1, shared).alias("first"), F.explode(combos).alias("combo"))
     lists = postings.groupBy("label", "dim", "combo").agg(F.count("*").alias("n"), F.min("kind").alias("low"), F.max("kind").alias("high"), F.max(F.col("first") == F.col("combo")).alias("own"))
     # Vectors of one and the same pivot set meet in the list of its smallest combination; in the others all pairs would be found again.
     lists = lists.where("n > 1 and (low != high or own)")
@@ -183,21 +199,23 @@ def link_vectors(rows: DataFrame, least: float = 0.93, nearest: int = 8, shared:
     # Lists beyond BLOCK members go out as pairs of blocks: a member meets each block in one group.
     met = postings.join(lists, ["label", "dim", "combo"])
     b = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("rep", F.lit(5)), b).cast("int")
+    own = F.pmod(F.xxhash64("cid", F.lit(5)), b).cast("int")
     met = met.withColumn("blocks", b).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("own", "other"), F.greatest("own", "other")
-    met = met.select("rep", "label", "dim", "combo", "lid", (low * F.col("blocks") + high).alias("block"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("half"))
-    full = met.join(index.select("label", "rep", "weight", "pivots", "v"), ["label", "rep"])
-    full = full.select("lid", "block", "half", "rep", "weight", "dim", "combo", "pivots", "v")
+    met = met.select("cid", "combo", "lid", (low * F.col("blocks") + high).alias("block"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("half"))
+    full = met.join(index.select("cid", "weight", "dim", "pivots", "v"), "cid")
+    full = full.select("lid", "block", "half", "cid", "weight", "dim", "combo", "pivots", "v")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = full.repartition(parts, "lid", "block").sortWithinPartitions("lid", "block")
-    found = materialize(full.mapInArrow(_link_lists(least), f"rep {kinds['rep']}, links long, to {kinds['rep']}"), "links")
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    groups = components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")))
+    found = materialize(full.mapInArrow(_link_lists(least), "cid long, links long, to long"), "links", [index])
+    counts = found.groupBy("cid").agg(F.sum("links").alias("links"))
+    groups = components(found.select(F.col("cid").alias("a"), F.col("to").alias("b"))).withColumnRenamed("node", "cid")
+    lowest = classes.select("cid", "rep").join(groups, "cid").groupBy("component").agg(F.min("rep").alias("low"))
+    named = groups.join(lowest, "component").select("cid", "low")
     per_class = (
-        classes.join(counts, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+        classes.join(counts, "cid", "left").join(named, "cid", "left")
+        .select("label", "v", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("low", "rep").alias("component_id"))
     )
-    linked = r.where("fine").join(per_class, ["label", "v"]).select("vec_id", "n_links", F.col("component").alias("component_id"))
+    linked = r.where("fine").join(per_class, ["label", "v"]).select("vec_id", "n_links", "component_id")
     alone = r.where("not fine").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -242,7 +242,8 @@ def link_fingerprints(prints: DataFrame, distance: int = 4, compress: bool = Tru
     without ``compress`` all pairs are listed, each once.
     """
     radius = distance // 2
-    assert distance == 2 * radius and radius >= 1, "the distance is twice the radius of the balls"
+    if distance != 2 * radius or radius < 1:
+        raise ValueError("the distance is twice the radius of the balls, which is one bit at least")
     distinct = materialize(prints.select("fp").distinct(), "prints")
     n = distinct.count()
     prefix = int(np.clip(np.ceil(np.log2(max(n, 1) / 64)), 8, 26))
