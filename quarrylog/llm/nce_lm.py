@@ -1,16 +1,22 @@
 """Language-model scores from a log-bilinear model trained by noise-contrastive estimation.
 
 The model predicts a symbol from the vectors of the CONTEXT symbols before it:
-position-wise matrices map them to one predicted vector, whose products with
-all target vectors, through a softmax, give a normalised distribution.  Symbols
-are the commonest words, classes of the other words by their last bytes, and
-the end of a text; within its class a word has its share of the smoothed
-counts, and every class keeps one outcome for words never seen.
-
-Counts cover every training document.  The vectors are trained on the
-executors: in each of ROUNDS rounds every partition takes its share of the
-training documents, starting from the same parameters, and the results are
-averaged by the number of positions seen.
+position-wise matrices map them to one predicted vector h.  Symbols are the
+commonest words, classes of the other words by their last bytes, and the end
+of a text; within its class a word has its share of the smoothed counts, and
+every class keeps one outcome for words never seen.
+
+Symbols are dealt into GROUPS groups by the words they stand beside.  The
+products of h with the vectors of the groups, and with those of the symbols of
+one group, go through a softmax each, so a token costs the square root of what
+one softmax over all symbols would, and the distribution is normalised.
+
+Counts cover every training document.  Both sets of vectors are trained by
+noise-contrastive estimation on the executors.  Documents are dealt by hash
+into shards and sorted within them; each of ROUNDS rounds takes its share of
+the documents of every shard, starts all shards from the same parameters, and
+averages the results as integers.  Shards, order and noise depend on the
+documents alone, so the model is the same however the table is partitioned.
 """
 
 from __future__ import annotations
@@ -26,21 +32,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, raw_text, remainder, small_batches
+from .common import drop, materialize, raw_text, remainder, small_batches
 
 CONTEXT = 3
-DIM = 16
-HEAD = 255
-CLASSES = 256
+DIM = 24
+HEAD = 3071
+CLASSES = 1024
 SYMBOLS = HEAD + CLASSES + 1
 END = SYMBOLS - 1
+GROUPS = 64
+#: Noise samples of a batch, among symbols and among groups.
 NOISE = 64
+GROUP_NOISE = 32
 BATCH = 2048
 #: Each round takes another one of ROUNDS parts of the training documents, and every position of them.
 ROUNDS = 4
 RATE = 0.15
+#: Training tokens in a shard, about, and the most shards: with more tokens shards grow.
+SHARD = 4_000_000
+MOST_SHARDS = 4096
+#: Neighbours that tell symbols apart: the commonest, and one for all others.
+BESIDE = 65
+#: Positions handled at once.
+AT_ONCE = 16_384
 #: Words whose counts every worker holds, at most: the commonest.  Counts of the others are joined.
 HELD = 300_000
+#: Parameters are summed over shards as multiples of this.
+UNIT = 2.0**-30
 
 
 def word_class(word: bytes) -> int:
@@ -67,66 +85,123 @@ def word_counts(training: DataFrame) -> DataFrame:
     return training.select("body").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).astype(np.float32)
+
+
+def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    d = values.shape[1]
+    return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d)
+
+
+def _draw(edges: np.ndarray, rng: np.random.Generator, n: int) -> np.ndarray:
+    return np.minimum(np.searchsorted(edges, rng.random(n), side="right"), len(edges) - 1)
+
+
 class LogBilinear:
-    """Context vectors, position matrices, target vectors and biases, as one flat float32 array."""
+    """Context vectors, position matrices, vectors and biases of symbols and of groups, as one flat float32 array."""
+
+    SHAPES = ((SYMBOLS, DIM), (CONTEXT, DIM, DIM), (SYMBOLS, DIM), (SYMBOLS,), (GROUPS, DIM), (GROUPS,))
 
-    SHAPES = ((SYMBOLS, DIM), (CONTEXT, DIM, DIM), (SYMBOLS, DIM), (SYMBOLS,))
+    def __init__(self, flat: np.ndarray, group: np.ndarray) -> None:
+        self.flat, self.group = flat.astype(np.float32), group
+        self.context, self.position, self.target, self.bias, self.group_target, self.group_bias = self._parts(self.flat)
 
-    def __init__(self, flat: np.ndarray) -> None:
-        self.flat = flat.astype(np.float32)
+    @classmethod
+    def _parts(cls, flat: np.ndarray) -> list[np.ndarray]:
         at, parts = 0, []
-        for shape in self.SHAPES:
+        for shape in cls.SHAPES:
             n = math.prod(shape)
-            parts.append(self.flat[at : at + n].reshape(shape))
+            parts.append(flat[at : at + n].reshape(shape))
             at += n
-        self.context, self.position, self.target, self.bias = parts
+        return parts
 
     @classmethod
-    def fresh(cls, prior: np.ndarray, seed: int = 3) -> LogBilinear:
+    def fresh(cls, prior: np.ndarray, group: np.ndarray, seed: int = 3) -> LogBilinear:
         rng = np.random.default_rng(seed)
-        parts = [rng.normal(0, 0.3, (SYMBOLS, DIM)), np.stack([np.eye(DIM)] * CONTEXT) / CONTEXT + rng.normal(0, 0.05, (CONTEXT, DIM, DIM)), rng.normal(0, 0.05, (SYMBOLS, DIM)), np.log(prior)]
-        return cls(np.concatenate([p.ravel() for p in parts]))
+        turn = np.stack([np.eye(DIM)] * CONTEXT) / CONTEXT + rng.normal(0, 0.05, (CONTEXT, DIM, DIM))
+        near = lambda n: rng.normal(0, 0.05, (n, DIM))
+        parts = [rng.normal(0, 0.3, (SYMBOLS, DIM)), turn, near(SYMBOLS), np.log(prior), near(GROUPS), np.log(np.bincount(group, prior, GROUPS) + 1e-12)]
+        return cls(np.concatenate([p.ravel() for p in parts]), group)
 
     def predicted(self, before: np.ndarray) -> np.ndarray:
         return sum(self.context[before[:, j]] @ self.position[j] for j in range(CONTEXT))
 
-    def log_softmax(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Natural log probability of each symbol after its context, normalised over all symbols."""
-        h = np.ones((len(symbol), DIM + 1), dtype=np.float32)  # the last column meets the biases
-        h[:, :DIM] = self.predicted(before)
-        q = np.column_stack([self.target, self.bias])
-        z = h @ q.T
-        own = z[np.arange(len(z)), symbol]
-        reach = np.sqrt(np.einsum("nd,nd->n", h, h).max() * np.einsum("nd,nd->n", q, q).max()) if len(z) else 0
-        top = z.max(axis=1, keepdims=True) if reach > 60 else np.zeros((1, 1), dtype=np.float32)  # exp can't overflow below
-        if reach > 60:
-            z -= top
+    @staticmethod
+    def _log_softmax(h: np.ndarray, target: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+        z = h @ target.T
+        z += bias
+        z -= z.max(axis=1, keepdims=True)
+        got = z[np.arange(len(z)), own]
         np.exp(z, out=z)
-        return own - top[:, 0] - np.log(z @ np.ones(SYMBOLS, dtype=np.float32))
-
-    def step(self, before: np.ndarray, symbol: np.ndarray, noise: np.ndarray, log_kq: np.ndarray, squares: np.ndarray) -> None:
-        """One Adagrad step of noise-contrastive estimation; the noise is shared by the batch."""
-        n = len(symbol)
-        r = [self.context[before[:, j]] for j in range(CONTEXT)]
-        h = sum(r[j] @ self.position[j] for j in range(CONTEXT))
-        q, qn = self.target[symbol], self.target[noise]
-        real = np.einsum("nd,nd->n", h, q) + self.bias[symbol] - log_kq[symbol]
-        fake = h @ qn.T + (self.bias[noise] - log_kq[noise])
-        g = (1 / (1 + np.exp(-np.clip(real, -30, 30))) - 1).astype(np.float32) / n
-        gn = (1 / (1 + np.exp(-np.clip(fake, -30, 30)))).astype(np.float32) / n
-        dh = g[:, None] * q + gn @ qn
-        d_target = _scatter(symbol, g[:, None] * h, SYMBOLS) + _scatter(noise, gn.T @ h, SYMBOLS)
-        d_bias = np.bincount(symbol, g, SYMBOLS) + np.bincount(noise, gn.sum(axis=0), SYMBOLS)
-        d_position = np.stack([r[j].T @ dh for j in range(CONTEXT)])
-        d_context = sum(_scatter(before[:, j], dh @ self.position[j].T, SYMBOLS) for j in range(CONTEXT))
-        grad = np.concatenate([d_context.ravel(), d_position.ravel(), d_target.ravel(), d_bias.ravel()]).astype(np.float32)
-        squares += grad * grad
-        self.flat -= RATE * grad / np.sqrt(squares + 1e-8)
-
-
-def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    d = values.shape[1]
-    return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d)
+        return got - np.log(z @ np.ones(z.shape[1], dtype=np.float32))
+
+    def log_prob(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Natural log probability of each symbol after its context: of its group, and of it within the group."""
+        h, own = self.predicted(before), self.group[symbol]
+        out = self._log_softmax(h, self.group_target, self.group_bias, own)
+        members = np.argsort(self.group, kind="stable")
+        first = np.searchsorted(self.group[members], np.arange(GROUPS + 1))
+        place = np.empty(SYMBOLS, dtype=np.int64)
+        place[members] = np.arange(SYMBOLS) - first[self.group[members]]
+        order = np.argsort(own, kind="stable")
+        cut = np.searchsorted(own[order], np.arange(GROUPS + 1))
+        for g in range(GROUPS):
+            rows, of = order[cut[g] : cut[g + 1]], members[first[g] : first[g + 1]]
+            if len(rows):
+                out[rows] += self._log_softmax(h[rows], self.target[of], self.bias[of], place[symbol[rows]])
+        return out
+
+
+class Training:
+    """Adagrad steps of noise-contrastive estimation from given parameters; the noise is shared by a batch."""
+
+    def __init__(self, flat: np.ndarray, prior: np.ndarray, group: np.ndarray, seed: list[int]) -> None:
+        self.model = LogBilinear(flat, group)
+        self.rng = np.random.default_rng(seed)
+        shares = np.bincount(group, prior, GROUPS) + 1e-12
+        self.edges, self.group_edges = np.cumsum(prior) / prior.sum(), np.cumsum(shares) / shares.sum()
+        self.log_kq, self.group_log_kq = np.log(NOISE * prior).astype(np.float32), np.log(GROUP_NOISE * shares).astype(np.float32)
+        self.squares = np.full(len(flat), 1e-4, dtype=np.float32)
+        self.grad = np.zeros(len(flat), dtype=np.float32)
+        self.parts = LogBilinear._parts(self.grad)
+        self.seen, self.held, self.waiting = 0, [], 0
+
+    @staticmethod
+    def _contrast(h, target, bias, symbol, noise, log_kq, d_target, d_bias) -> np.ndarray:
+        """Fills the gradients of vectors and biases; returns that of ``h``."""
+        n, q, qn = len(symbol), target[symbol], target[noise]
+        real = (_sigmoid(np.einsum("nd,nd->n", h, q) + bias[symbol] - log_kq[symbol]) - 1) / np.float32(n)
+        fake = _sigmoid(h @ qn.T + (bias[noise] - log_kq[noise])) / np.float32(n)
+        d_target[:] = _scatter(symbol, real[:, None] * h, len(target))
+        np.add.at(d_target, noise, fake.T @ h)
+        d_bias[:] = np.bincount(symbol, real, len(target))
+        np.add.at(d_bias, noise, fake.sum(axis=0))
+        return real[:, None] * q + fake @ qn
+
+    def step(self, before: np.ndarray, symbol: np.ndarray) -> None:
+        m, (d_context, d_position, d_target, d_bias, d_group, d_group_bias) = self.model, self.parts
+        r = [m.context[before[:, j]] for j in range(CONTEXT)]
+        h = sum(r[j] @ m.position[j] for j in range(CONTEXT))
+        dh = self._contrast(h, m.target, m.bias, symbol, _draw(self.edges, self.rng, NOISE), self.log_kq, d_target, d_bias)
+        dh = dh + self._contrast(h, m.group_target, m.group_bias, m.group[symbol], _draw(self.group_edges, self.rng, GROUP_NOISE), self.group_log_kq, d_group, d_group_bias)
+        for j in range(CONTEXT):
+            d_position[j] = r[j].T @ dh
+        d_context[:] = sum(_scatter(before[:, j], dh @ m.position[j].T, SYMBOLS) for j in range(CONTEXT))
+        self.squares += self.grad * self.grad
+        m.flat -= RATE * self.grad / np.sqrt(self.squares + 1e-8)
+
+    def take(self, symbols: np.ndarray) -> None:
+        """One text's symbols; what is learned depends on the sequence of texts only."""
+        self.held.append(symbols)
+        self.waiting += len(symbols)
+        if self.waiting >= AT_ONCE:
+            self.learn()
+
+    def learn(self) -> None:
+        for before, symbol in positions(self.held, BATCH):
+            self.step(before, symbol)
+        self.seen, self.held, self.waiting = self.seen + self.waiting, [], 0
 
 
 def _codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -144,65 +219,120 @@ def _codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
 
 def _symbols(codes: np.ndarray, symbol_of: np.ndarray) -> np.ndarray:
     """Symbols of a text's words and its end."""
-    out = np.full(len(codes) + 1, END, dtype=np.int64)
+    out = np.full(len(codes) + 1, END, dtype=np.uint16)
     out[:-1] = np.where(codes >= 0, symbol_of[np.maximum(codes, 0)], HEAD - 1 - codes)
     return out
 
 
-def _contexts(symbols: np.ndarray) -> np.ndarray:
-    """The CONTEXT symbols before each position, nearest first; END before the beginning."""
-    padded = np.concatenate([np.full(CONTEXT, END), symbols])
-    return np.column_stack([padded[CONTEXT - 1 - j : len(padded) - 1 - j] for j in range(CONTEXT)])
+def positions(texts: list[np.ndarray], most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(the CONTEXT symbols before, nearest first; symbol) of every position of the texts, up to ``most`` at once.
+
+    Before a text's first symbol stands the end.
+    """
+    if not texts:
+        return
+    lead = np.full(CONTEXT, END, dtype=np.uint16)
+    joined = np.concatenate([x for t in texts for x in (lead, t)])
+    size = np.array([len(t) for t in texts])
+    at = np.arange(size.sum()) + np.repeat(np.arange(1, len(texts) + 1) * CONTEXT, size)
+    for k in range(0, len(at), most):
+        p = at[k : k + most]
+        yield np.column_stack([joined[p - 1 - j] for j in range(CONTEXT)]).astype(np.int64), joined[p].astype(np.int64)
+
 
+def _encode(head: list[bytes]):
+    """(part, shard, key, body) to (part, shard, key, symbols as two bytes each)."""
 
-def _train(flat: np.ndarray, prior: np.ndarray, head: list[bytes], turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, known = LogBilinear(flat), {w: k for k, w in enumerate(head)}
-        own = np.arange(max(len(head), 1))
-        log_kq = np.log(NOISE * prior).astype(np.float32)
-        edges = np.cumsum(prior) / prior.sum()
-        rng = np.random.default_rng([turn, TaskContext.get().partitionId()])
-        squares = np.full(len(flat), 1e-4, dtype=np.float32)
-        seen, held_b, held_s, waiting = 0, [], [], 0
-
-        def learn() -> None:
-            nonlocal seen, held_b, held_s, waiting
-            b, s = np.concatenate(held_b), np.concatenate(held_s)
-            for k in range(0, len(s), BATCH):
-                noise = np.minimum(np.searchsorted(edges, rng.random(NOISE), side="right"), SYMBOLS - 1)
-                model.step(b[k : k + BATCH], s[k : k + BATCH], noise, log_kq, squares)
-            seen, held_b, held_s, waiting = seen + len(s), [], [], 0
+        known, own = {w: k for k, w in enumerate(head)}, np.arange(max(len(head), 1))
+        for b in batches:
+            codes = [_symbols(_codes(x.as_py().lower().split(), known), own).astype("<u2").tobytes() for x in b.column(3)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(codes, pa.binary())], ["part", "shard", "key", "codes"])
+
+    return run
 
-        for batch in batches:
-            for x in batch.column(0):
-                s = _symbols(_codes(x.as_py().lower().split(), known), own)
-                held_b.append(_contexts(s))
-                held_s.append(s)
-                waiting += len(s)
-                if waiting >= 16 * BATCH:
-                    learn()
-        if waiting:
-            learn()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(model.flat.astype(np.float64) * seen), pa.array(np.full(len(flat), seen, dtype=np.int64))], ["k", "v", "n"])
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each symbol stands after, and before, each of the BESIDE commonest and the rest: (cell, n)."""
+    total = np.zeros(2 * SYMBOLS * BESIDE, dtype=np.int64)
+    for b in batches:
+        for x in b.column(0):
+            s = np.frombuffer(x.as_py(), dtype="<u2").astype(np.int64)
+            round_ = np.concatenate([[END], s, [END]])
+            of = np.where(round_ == END, BESIDE - 1, np.minimum(round_, BESIDE - 1))
+            for side, c in enumerate((of[:-2], of[2:])):
+                np.add(total, np.bincount((s * 2 + side) * BESIDE + c, minlength=len(total)), out=total) if len(s) > 50_000 else np.add.at(total, (s * 2 + side) * BESIDE + c, 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["cell", "n"])
+
+
+def grouped(cells: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    """Groups of equal size of symbols that stand beside alike ones: halves along the main axis of their vectors, again and again."""
+    m = cells.reshape(SYMBOLS, 2 * BESIDE) + 0.1
+    ppmi = np.maximum(np.log(m * m.sum() / m.sum(axis=1, keepdims=True) / m.sum(axis=0, keepdims=True)), 0)
+    _, axes = np.linalg.eigh(ppmi.T @ ppmi)
+    x = ppmi @ axes[:, -DIM:]
+    group = np.zeros(SYMBOLS, dtype=np.int64)
+    parts = [np.arange(SYMBOLS)]
+    while len(parts) < GROUPS:
+        halves = []
+        for ids in parts:
+            weight = prior[ids] ** 0.5
+            y = x[ids] - np.average(x[ids], axis=0, weights=weight)
+            along = np.linalg.eigh((y * weight[:, None]).T @ y)[1][:, -1]
+            order = ids[np.argsort(np.round(y @ along, 9), kind="stable")]
+            halves += [order[: len(order) // 2], order[len(order) // 2 :]]
+        parts = halves
+    for g, ids in enumerate(parts):
+        group[ids] = g
+    return group
+
+
+def _train(flat: np.ndarray, prior: np.ndarray, group: np.ndarray, turn: int):
+    """Train each shard's texts, which come one after another in order; give the sum of the parameters, and at -1 of the shards."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, shards, at, now = np.zeros(len(flat), dtype=np.int64), 0, None, None
+
+        def finish() -> None:
+            nonlocal total, shards
+            if now is not None:
+                now.learn()
+                total += np.rint(np.clip(now.model.flat.astype(np.float64), -(2.0**20), 2.0**20) / UNIT).astype(np.int64)
+                shards += 1
+
+        for b in batches:
+            for shard, x in zip(b.column(0).to_pylist(), b.column(1)):
+                if shard != at:
+                    finish()
+                    at, now = shard, Training(flat, prior, group, [turn, shard])
+                now.take(np.frombuffer(x.as_py(), dtype="<u2"))
+        finish()
+        if shards:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(flat), dtype=np.int32)), pa.array(np.concatenate([[shards], total]))], ["k", "v"])
 
     return run
 
 
-def train(training: DataFrame, prior: np.ndarray, head: list[bytes]) -> LogBilinear:
-    """Parameters averaged over the partitions of ``training(body, part)``, round by round."""
-    model = LogBilinear.fresh(prior)
-    for turn in range(ROUNDS):
-        trained = training.where(F.col("part") == turn).select("body").mapInArrow(_train(model.flat.copy(), prior, head, turn), "k int, v double, n long")
-        rows = trained.groupBy("k").agg((F.sum("v") / F.sum("n")).alias("v")).toPandas()
+def shard_count(tokens: int) -> int:
+    return int(np.clip(-(-tokens // SHARD), 1, MOST_SHARDS))
+
+
+def train(coded: DataFrame, shards: int, prior: np.ndarray, group: np.ndarray, rounds: int = ROUNDS) -> LogBilinear:
+    """Parameters averaged over the shards of ``coded(part, shard, key, codes)``, round by round."""
+    model = LogBilinear.fresh(prior, group)
+    for turn in range(rounds):
+        dealt = coded.where(F.col("part") == turn).repartition(shards, "shard").sortWithinPartitions("shard", "key").select("shard", "codes")
+        rows = dealt.mapInArrow(_train(model.flat.copy(), prior, group, turn), "k int, v long").groupBy("k").agg(F.sum("v").alias("v")).toPandas()
         if len(rows):
-            model.flat[rows["k"].to_numpy()] = rows["v"].to_numpy().astype(np.float32)
+            v = rows.sort_values("k")["v"].to_numpy()
+            model.flat[:] = v[1:] * UNIT / v[0]
     return model
 
 
-def _score(model_flat: np.ndarray, head: list[bytes], held, log_total: float, log_end: float, log_mass: np.ndarray, end_known: int):
+def _score(flat: np.ndarray, group: np.ndarray, head: list[bytes], held, log_total: float, log_end: float, log_mass: np.ndarray, end_known: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBilinear(model_flat)
+        model = LogBilinear(flat, group)
         common, log_of = held.value
         known = {w: k for k, w in enumerate(common)}
         symbol_of = np.array([k if k < len(head) else HEAD + word_class(w) for k, w in enumerate(common)] or [END], dtype=np.int64)
@@ -210,7 +340,7 @@ def _score(model_flat: np.ndarray, head: list[bytes], held, log_total: float, lo
         for batch in batches:
             for s in range(0, batch.num_rows, 500):
                 part = batch.slice(s, 500)
-                n_tokens, n_known, base, extra, words_out, times_out, symbols, befores = [], [], [], [], [], [], [], []
+                n_tokens, n_known, base, extra, words_out, times_out, symbols = [], [], [], [], [], [], []
                 for x in part.column(2):
                     words = x.as_py().lower().split()
                     codes = _codes(words, known)
@@ -227,11 +357,9 @@ def _score(model_flat: np.ndarray, head: list[bytes], held, log_total: float, lo
                     words_out.append(list(times.keys()))
                     times_out.append(list(times.values()))
                     symbols.append(sym)
-                    befores.append(_contexts(sym))
                 score = np.array(extra)
                 if symbols:
-                    sym, before = np.concatenate(symbols), np.concatenate(befores)
-                    lp = np.concatenate([model.log_softmax(before[k : k + 1024], sym[k : k + 1024]) for k in range(0, len(sym), 1024)]).astype(np.float64)
+                    lp = np.concatenate([model.log_prob(*p) for p in positions(symbols, AT_ONCE)]).astype(np.float64)
                     score = score + np.add.reduceat(lp, np.cumsum([0, *map(len, symbols[:-1])])) / math.log(10)
                 rid = task + index + np.arange(part.num_rows)
                 index += part.num_rows
@@ -253,15 +381,17 @@ def score_documents(docs: DataFrame, modulus: int = 7, out: int = 2) -> DataFram
     probability) and score (log10 probability under the model, normalised over
     the symbols, and within a class over its words and one unseen word).  An
     empty text scores its end.  Rows that repeat an id are scored one by one.
-    Without any training document all counts are 0 and the model is uniform.
-    An empty table gives an empty result.
+    Without any training document all counts are 0 and the model knows nothing.
+    An empty table gives an empty result.  The scores don't depend on how the
+    table is partitioned, but for the last digits of sums (1e-6 at most), and
+    between machines for what their matrix products round differently.
     """
     spark = docs.sparkSession
     small_batches(spark)
     kind = dict(docs.dtypes)["doc_id"]
     base = docs.select("doc_id", (remainder("doc_id", modulus) == out).alias("held_out"), raw_text().alias("body"))
-    training = base.where("not held_out").select("body", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(ROUNDS)).alias("part"))
-    counts = materialize(word_counts(training), "word-counts", [])
+    training = base.where("not held_out")
+    counts = materialize(word_counts(training), "word-counts")
     n_docs = training.count()
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     total, distinct = int(sums[0]) + n_docs, int(sums[1]) + (n_docs > 0)
@@ -285,10 +415,19 @@ def score_documents(docs: DataFrame, modulus: int = 7, out: int = 2) -> DataFram
         mass[word_class(w)] -= c + 1
     prior = np.concatenate([common["c"].head(HEAD), np.zeros(HEAD - len(head)), mass - 1, [n_docs]]).astype(np.float64) + 1
     prior /= prior.sum()
-    model = train(training, prior, head)
-    run = _score(model.flat, head, held, math.log10(total + distinct + 1), math.log10(n_docs + 1), np.log10(mass), int(n_docs > 0))
+    shards = shard_count(total)
+    place = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "body")
+    parted = training.select(F.pmod(place(3), F.lit(ROUNDS)).cast("int").alias("part"), F.pmod(place(5), F.lit(shards)).cast("int").alias("shard"), place(7).alias("key"), "body")
+    coded = materialize(parted.mapInArrow(_encode(head), "part int, shard int, key long, codes binary"), "coded")
+    cells = np.zeros(2 * SYMBOLS * BESIDE)
+    beside = coded.select("codes").mapInArrow(_neighbours, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells[beside["cell"].to_numpy()] = beside["n"].to_numpy()
+    group = grouped(cells, prior)
+    model = train(coded, shards, prior, group)
+    drop(coded)
+    run = _score(model.flat, group, head, held, math.log10(total + distinct + 1), math.log10(n_docs + 1), np.log10(mass), int(n_docs > 0))
     schema = f"rid long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, words array<binary>, times array<long>"
-    scored = materialize(base.mapInArrow(run, schema), "scored", [])
+    scored = materialize(base.mapInArrow(run, schema), "scored")
     rare = scored.select("rid", F.explode(F.arrays_zip("words", "times")).alias("x")).select("rid", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     rare = rare.join(counts.where(fine < edge), "word")
     rare = rare.groupBy("rid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("c") + 1.0)).alias("logs"))

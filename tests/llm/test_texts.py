@@ -319,37 +319,72 @@ def test_language_model(docs):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
-def test_model_is_normalised():
+def uniform_model():
     prior = np.full(nce_lm.SYMBOLS, 1 / nce_lm.SYMBOLS)
-    model = nce_lm.LogBilinear.fresh(prior)
+    group = np.arange(nce_lm.SYMBOLS) * 7 % nce_lm.GROUPS
+    return prior, group, nce_lm.LogBilinear.fresh(prior, group)
+
+
+def test_model_is_normalised():
+    _, _, model = uniform_model()
     for scale in (1, 400):  # the second can't do without the shift
         model.target *= scale
+        model.group_target *= scale
         before = np.random.default_rng(8).integers(0, nce_lm.SYMBOLS, (5, nce_lm.CONTEXT))
-        p = np.stack([np.exp(model.log_softmax(before, np.full(5, s)).astype(np.float64)) for s in range(nce_lm.SYMBOLS)])
+        p = np.stack([np.exp(model.log_prob(before, np.full(5, s)).astype(np.float64)) for s in range(nce_lm.SYMBOLS)])
         assert np.allclose(p.sum(axis=0), 1, atol=1e-3)
+    # Against the plain formula, for one context.
+    h = model.predicted(before[:1]).astype(np.float64)[0]
+    z, zg = model.target @ h + model.bias, model.group_target @ h + model.group_bias
+    for s in (0, 17, nce_lm.END):
+        g = model.group[s]
+        want = zg[g] - np.logaddexp.reduce(zg) + z[s] - np.logaddexp.reduce(z[model.group == g])
+        assert abs(float(model.log_prob(before[:1], np.array([s]))[0]) - want) < 1e-3 * max(1, abs(want))
 
 
 def test_model_learns():
-    prior = np.full(nce_lm.SYMBOLS, 1 / nce_lm.SYMBOLS)
-    model, squares = nce_lm.LogBilinear.fresh(prior), None
-    rng, log_kq = np.random.default_rng(9), np.log(nce_lm.NOISE * prior).astype(np.float32)
-    squares = np.full(len(model.flat), 1e-4, dtype=np.float32)
-    symbols = np.tile(np.arange(8), 2000)
-    before = nce_lm._contexts(symbols)
-    first = model.log_softmax(before[:500], symbols[:500]).mean()
-    for k in range(0, len(symbols), 256):
-        model.step(before[k : k + 256], symbols[k : k + 256], rng.integers(0, nce_lm.SYMBOLS, nce_lm.NOISE), log_kq, squares)
-    assert model.log_softmax(before[:500], symbols[:500]).mean() > first + 2
-
-
-def test_model_sees_every_position(spark):
-    prior = np.full(nce_lm.SYMBOLS, 1 / nce_lm.SYMBOLS)
-    bodies = [" ".join(f"w{k}" for k in range(n)).encode() for n in (0, 1, 2, 7, 40, 333)]
-    df = spark.createDataFrame([(b,) for b in bodies], "body binary").repartition(2)
-    for turn in range(nce_lm.ROUNDS):
-        run = nce_lm._train(nce_lm.LogBilinear.fresh(prior).flat, prior, [b"w1", b"w2"], turn)
-        seen = df.mapInArrow(run, "k int, v double, n long").where("k = 0").toPandas()["n"].sum()
-        assert seen == sum(len(b.split()) + 1 for b in bodies)
+    prior, group, model = uniform_model()
+    symbols = np.tile(np.arange(8, dtype=np.uint16), 2000)
+    (before, symbol), *_ = nce_lm.positions([symbols], 500)
+    first = model.log_prob(before, symbol).mean()
+    training = nce_lm.Training(model.flat, prior, group, [1])
+    for _ in range(4):
+        training.take(symbols)
+    training.learn()
+    assert training.seen == 4 * len(symbols) and training.model.log_prob(before, symbol).mean() > first + 2
+
+
+def test_every_position_has_its_context():
+    texts = [np.arange(n, dtype=np.uint16) + 100 * n for n in (1, 2, 7, 40)]
+    want = []
+    for t in texts:
+        padded = [nce_lm.END] * nce_lm.CONTEXT + t.tolist()
+        want += [(padded[k - 1 : k - 1 - nce_lm.CONTEXT : -1] if k > nce_lm.CONTEXT else padded[:k][::-1][: nce_lm.CONTEXT], padded[k]) for k in range(nce_lm.CONTEXT, len(padded))]
+    for most in (1, 3, 1000):
+        got = [(list(b), s) for before, symbol in nce_lm.positions(texts, most) for b, s in zip(before.tolist(), symbol.tolist())]
+        assert got == want
+
+
+def test_scores_do_not_depend_on_the_layout(docs, monkeypatch):
+    monkeypatch.setattr(nce_lm, "SHARD", 12_000)  # several shards of this small table
+    runs = [{(r.doc_id, r.n_tokens, r.base_score): r.score for r in nce_lm.score_documents(docs.repartition(n)).collect()} for n in (1, 7, 50)]
+    for other in runs[1:]:
+        assert other.keys() == runs[0].keys() and all(abs(other[k] - v) < 1e-6 for k, v in runs[0].items())
+
+
+def test_held_out_text_gains(spark):
+    """Words that follow each other by a rule: held-out texts score far better than by their counts alone."""
+    rng = np.random.default_rng(15)
+    rule = rng.integers(0, 300, (300, 3))
+    texts = []
+    for _ in range(400):
+        w = [int(rng.integers(0, 300))]
+        for _ in range(200):
+            w.append(int(rule[w[-1], rng.integers(0, 3)]))
+        texts.append(" ".join(f"w{x}" for x in w))
+    got = nce_lm.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("held_out").collect()
+    gain = sum(r.score - r.base_score for r in got) / sum(r.n_tokens for r in got)
+    assert gain > 0.5
 
 
 def plain_targets(sizes, share=1.5, most=2, weights=(5, 2, 1)):
