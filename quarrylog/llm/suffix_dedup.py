@@ -202,10 +202,12 @@ def _asked(ranked: DataFrame, share: list[str], span: list[str], keep: list[str]
     """
     need = F.col("need") if "need" in ranked.columns else F.lit(True)
     ranked = ranked.withColumn("need", need & ~F.col("whole"))
-    wanted = ranked.where("need").select(*share).distinct()
+    # Both sides written first, as in ``repeated``: then Spark can split the rows of what many undecided rows share.
+    wanted = materialize(ranked.where("need").select(*share).distinct(), "wanted")
     whole = ranked.where("whole").groupBy(*span).agg(F.min(F.struct(*share, *keep)).alias("r")).select("r.*")
     others = ranked.where("not whole and not need").select(*share, *keep)
-    witness = whole.unionByName(others).join(wanted, share, "left_semi").select(*keep, F.lit(False).alias("need"))
+    decided = materialize(whole.unionByName(others), "witnesses")
+    witness = decided.join(wanted, share, "left_semi").select(*keep, F.lit(False).alias("need"))
     return ranked.where("need").select(*keep, "need").unionByName(witness)
 
 
