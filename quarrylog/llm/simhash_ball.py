@@ -248,7 +248,8 @@ def link_fingerprints(prints: DataFrame, distance: int = 4, compress: bool = Tru
     n = distinct.count()
     prefix = int(np.clip(np.ceil(np.log2(max(n, 1) / 64)), 8, 26))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = distinct.mapInArrow(_spread(prefix, radius), "at long, left int, fp long")
+    # Dealt out first: the table of fingerprints has few splits, and each fingerprint makes hundreds of rows.
+    spread = distinct.repartition(parts).mapInArrow(_spread(prefix, radius), "at long, left int, fp long")
     return spread.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_collide(prefix, radius, compress), "a long, b long")
 
 
