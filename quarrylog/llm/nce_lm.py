@@ -35,15 +35,15 @@ from pyspark.sql import functions as F
 from .common import drop, materialize, raw_text, remainder, small_batches
 
 CONTEXT = 3
-DIM = 24
-HEAD = 3071
-CLASSES = 1024
+DIM = 16
+HEAD = 2047
+CLASSES = 2048
 SYMBOLS = HEAD + CLASSES + 1
 END = SYMBOLS - 1
 GROUPS = 64
 #: Noise samples of a batch, among symbols and among groups.
-NOISE = 64
-GROUP_NOISE = 32
+NOISE = 32
+GROUP_NOISE = 16
 BATCH = 2048
 #: Each round takes another one of ROUNDS parts of the training documents, and every position of them.
 ROUNDS = 4
@@ -89,9 +89,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).astype(np.float32)
 
 
-def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    d = values.shape[1]
-    return np.bincount((rows[:, None] * d + np.arange(d)).ravel(), values.ravel(), n * d).reshape(n, d)
+def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows`` and the sums of their values."""
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # by radix
+    found = rows[order]
+    first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+    return found[first], np.add.reduceat(values[order], first, axis=0)
 
 
 def _draw(edges: np.ndarray, rng: np.random.Generator, n: int) -> np.ndarray:
@@ -128,28 +131,36 @@ class LogBilinear:
         return sum(self.context[before[:, j]] @ self.position[j] for j in range(CONTEXT))
 
     @staticmethod
-    def _log_softmax(h: np.ndarray, target: np.ndarray, bias: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def _log_softmax(h: np.ndarray, target: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """``h`` ends in ones, which meet the biases at the end of ``target``."""
         z = h @ target.T
-        z += bias
-        z -= z.max(axis=1, keepdims=True)
         got = z[np.arange(len(z)), own]
+        reach = np.sqrt(np.einsum("nd,nd->n", h, h).max() * np.einsum("nd,nd->n", target, target).max())
+        top = z.max(axis=1, keepdims=True) if reach > 60 else np.zeros((1, 1), dtype=np.float32)  # exp can't overflow below
+        if reach > 60:
+            z -= top
         np.exp(z, out=z)
-        return got - np.log(z @ np.ones(z.shape[1], dtype=np.float32))
+        return got - top[:, 0] - np.log(z @ np.ones(z.shape[1], dtype=np.float32))
 
     def log_prob(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
         """Natural log probability of each symbol after its context: of its group, and of it within the group."""
-        h, own = self.predicted(before), self.group[symbol]
-        out = self._log_softmax(h, self.group_target, self.group_bias, own)
+        own = self.group[symbol]
+        h = np.ones((len(symbol), DIM + 1), dtype=np.float32)
+        h[:, :DIM] = self.predicted(before)
+        out = self._log_softmax(h, np.column_stack([self.group_target, self.group_bias]), own)
         members = np.argsort(self.group, kind="stable")
         first = np.searchsorted(self.group[members], np.arange(GROUPS + 1))
         place = np.empty(SYMBOLS, dtype=np.int64)
         place[members] = np.arange(SYMBOLS) - first[self.group[members]]
-        order = np.argsort(own, kind="stable")
+        target = np.column_stack([self.target, self.bias])[members]
+        order = np.argsort(own.astype(np.uint16), kind="stable")
         cut = np.searchsorted(own[order], np.arange(GROUPS + 1))
+        h, at, inside = h[order], place[symbol[order]], np.empty(len(symbol), dtype=np.float32)
         for g in range(GROUPS):
-            rows, of = order[cut[g] : cut[g + 1]], members[first[g] : first[g + 1]]
-            if len(rows):
-                out[rows] += self._log_softmax(h[rows], self.target[of], self.bias[of], place[symbol[rows]])
+            rows = slice(cut[g], cut[g + 1])
+            if cut[g] < cut[g + 1]:
+                inside[rows] = self._log_softmax(h[rows], target[first[g] : first[g + 1]], at[rows])
+        out[order] += inside
         return out
 
 
@@ -162,34 +173,43 @@ class Training:
         shares = np.bincount(group, prior, GROUPS) + 1e-12
         self.edges, self.group_edges = np.cumsum(prior) / prior.sum(), np.cumsum(shares) / shares.sum()
         self.log_kq, self.group_log_kq = np.log(NOISE * prior).astype(np.float32), np.log(GROUP_NOISE * shares).astype(np.float32)
-        self.squares = np.full(len(flat), 1e-4, dtype=np.float32)
-        self.grad = np.zeros(len(flat), dtype=np.float32)
-        self.parts = LogBilinear._parts(self.grad)
+        self.squares = LogBilinear._parts(np.full(len(flat), 1e-4, dtype=np.float32))
         self.seen, self.held, self.waiting = 0, [], 0
 
     @staticmethod
-    def _contrast(h, target, bias, symbol, noise, log_kq, d_target, d_bias) -> np.ndarray:
-        """Fills the gradients of vectors and biases; returns that of ``h``."""
+    def _move(part: np.ndarray, squares: np.ndarray, at: np.ndarray | slice, grad: np.ndarray) -> None:
+        """Adagrad on the rows ``at``."""
+        total = squares[at] + grad * grad
+        squares[at] = total
+        part[at] -= RATE * grad / np.sqrt(total + 1e-8)
+
+    @staticmethod
+    def _contrast(h: np.ndarray, target: np.ndarray, bias: np.ndarray, symbol: np.ndarray, noise: np.ndarray, log_kq: np.ndarray) -> tuple:
+        """Gradients: of ``h``, and of vectors and biases at the rows that real and noise samples name."""
         n, q, qn = len(symbol), target[symbol], target[noise]
         real = (_sigmoid(np.einsum("nd,nd->n", h, q) + bias[symbol] - log_kq[symbol]) - 1) / np.float32(n)
         fake = _sigmoid(h @ qn.T + (bias[noise] - log_kq[noise])) / np.float32(n)
-        d_target[:] = _scatter(symbol, real[:, None] * h, len(target))
-        np.add.at(d_target, noise, fake.T @ h)
-        d_bias[:] = np.bincount(symbol, real, len(target))
-        np.add.at(d_bias, noise, fake.sum(axis=0))
-        return real[:, None] * q + fake @ qn
+        values = np.empty((n + len(noise), DIM + 1), dtype=np.float32)
+        values[:n, :DIM], values[:n, DIM] = real[:, None] * h, real
+        values[n:, :DIM], values[n:, DIM] = fake.T @ h, fake.sum(axis=0)
+        at, sums = _sums(np.concatenate([symbol, noise]), values)
+        return real[:, None] * q + fake @ qn, at, sums[:, :DIM], sums[:, DIM]
 
     def step(self, before: np.ndarray, symbol: np.ndarray) -> None:
-        m, (d_context, d_position, d_target, d_bias, d_group, d_group_bias) = self.model, self.parts
+        m, (s_context, s_position, s_target, s_bias, s_group, s_group_bias) = self.model, self.squares
         r = [m.context[before[:, j]] for j in range(CONTEXT)]
         h = sum(r[j] @ m.position[j] for j in range(CONTEXT))
-        dh = self._contrast(h, m.target, m.bias, symbol, _draw(self.edges, self.rng, NOISE), self.log_kq, d_target, d_bias)
-        dh = dh + self._contrast(h, m.group_target, m.group_bias, m.group[symbol], _draw(self.group_edges, self.rng, GROUP_NOISE), self.group_log_kq, d_group, d_group_bias)
-        for j in range(CONTEXT):
-            d_position[j] = r[j].T @ dh
-        d_context[:] = sum(_scatter(before[:, j], dh @ m.position[j].T, SYMBOLS) for j in range(CONTEXT))
-        self.squares += self.grad * self.grad
-        m.flat -= RATE * self.grad / np.sqrt(self.squares + 1e-8)
+        dh, at, d_target, d_bias = self._contrast(h, m.target, m.bias, symbol, _draw(self.edges, self.rng, NOISE), self.log_kq)
+        more, groups, d_group, d_group_bias = self._contrast(h, m.group_target, m.group_bias, m.group[symbol], _draw(self.group_edges, self.rng, GROUP_NOISE), self.group_log_kq)
+        dh += more
+        seen, d_context = _sums(before.T.ravel(), np.concatenate([dh @ m.position[j].T for j in range(CONTEXT)]))
+        d_position = np.stack([r[j].T @ dh for j in range(CONTEXT)])
+        self._move(m.context, s_context, seen, d_context)
+        self._move(m.position, s_position, slice(None), d_position)
+        self._move(m.target, s_target, at, d_target)
+        self._move(m.bias, s_bias, at, d_bias)
+        self._move(m.group_target, s_group, groups, d_group)
+        self._move(m.group_bias, s_group_bias, groups, d_group_bias)
 
     def take(self, symbols: np.ndarray) -> None:
         """One text's symbols; what is learned depends on the sequence of texts only."""
