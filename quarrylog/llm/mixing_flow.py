@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize
 
-#: More membership patterns than this are refused: the flow is solved on the driver.
+#: Overlapping membership patterns beyond this are refused, and patterns of any kind beyond the second: the driver solves
+#: the flow of the former, and holds a row for each of the latter.
 MOST_PATTERNS = 50_000
+MOST_SOURCES = 2_000_000
+#: Plans of up to so many patterns are sent to every task.
+FEW = 20_000
 BINS = 3  # hex digits of the seeded key in one histogram level: 4096 bins
 
 
@@ -42,7 +46,8 @@ def capped_targets(sizes: Sequence[int], weights: Sequence[float], total: float,
         for k in above:
             target[k] = float(most * sizes[k])
             left -= target[k]
-        open_ = [k for k in open_ if k not in set(above)]
+        gone = set(above)
+        open_ = [k for k in open_ if k not in gone]
     return target
 
 
@@ -127,6 +132,26 @@ def route(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[int],
     return flow
 
 
+def routed_words(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[int], copies: int = 2) -> list[int]:
+    """Words taken of each pattern.  A source that one pattern alone belongs to, and to no other source, needs no flow: it gets all it can of its quota."""
+    uses = [0] * len(quotas)
+    for members, _ in patterns:
+        for s in members:
+            uses[s] += 1
+    alone = [len(members) == 1 and uses[members[0]] == 1 for members, _ in patterns]
+    rest = [p for p, a in zip(patterns, alone) if not a]
+    if len(rest) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} overlapping membership patterns")
+    known = sorted({s for members, _ in rest for s in members})
+    spot = {s: k for k, s in enumerate(known)}
+    flow = iter(route([([spot[s] for s in members], words) for members, words in rest], [quotas[s] for s in known], copies))
+    return [min(copies * words, quotas[members[0]]) if a else sum(next(flow).values()) for (members, words), a in zip(patterns, alone)]
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= FEW else table
+
+
 def _edges(spark, keyed: DataFrame, need: dict[str, int]) -> dict[str, tuple[str, int]]:
     """For each pattern the two-level bin of the key where the running size passes ``need``, and the size before it."""
     level = materialize(keyed.groupBy("pattern", F.substring("key", 1, BINS).alias("bin")).agg(F.sum("size").alias("s")), "bins")
@@ -134,13 +159,13 @@ def _edges(spark, keyed: DataFrame, need: dict[str, int]) -> dict[str, tuple[str
     def passing(level: DataFrame, need: dict[str, int]) -> dict[str, tuple[str, int]]:
         wanted = spark.createDataFrame([(p, n) for p, n in need.items()], "pattern string, need long")
         run = level.withColumn("upto", F.sum("s").over(Window.partitionBy("pattern").orderBy("bin")))
-        run = run.join(F.broadcast(wanted), "pattern").where("upto > need and upto - s <= need")
+        run = run.join(_small(wanted, len(need)), "pattern").where("upto > need and upto - s <= need")
         return {r["pattern"]: (r["bin"], r["before"]) for r in run.select("pattern", "bin", (F.col("upto") - F.col("s")).alias("before")).collect()}
 
     first = passing(level, need)
     if not first:
         return {}
-    inside = F.broadcast(spark.createDataFrame([(p, b) for p, (b, _) in first.items()], "pattern string, bin string"))
+    inside = _small(spark.createDataFrame([(p, b) for p, (b, _) in first.items()], "pattern string, bin string"), len(first))
     finer = keyed.withColumn("bin", F.substring("key", 1, BINS)).join(inside, ["pattern", "bin"]).groupBy("pattern", F.substring("key", 1, 2 * BINS).alias("bin")).agg(F.sum("size").alias("s"))
     second = passing(finer, {p: need[p] - before for p, (_, before) in first.items()})
     return {p: (b, first[p][1] + before) for p, (b, before) in second.items()}
@@ -160,7 +185,7 @@ def select(docs: DataFrame, routed: dict[str, tuple[int, int]]) -> DataFrame:
     part = {p: n for p, n in need.items() if n > 0}
     edge = _edges(spark, docs.where("size > 0"), part)
     plan = spark.createDataFrame([(p, int(whole[p]), int(need[p]), *(edge.get(p) or (None, None))) for p in routed], "pattern string, whole long, need long, edge string, before long")
-    d = docs.join(F.broadcast(plan), "pattern")
+    d = docs.join(_small(plan, len(routed)), "pattern")
     bin_ = F.substring("key", 1, 2 * BINS)
     below = d.where("size > 0 and need > 0").withColumn("bin", bin_)
     run = F.sum("size").over(Window.partitionBy("pattern").orderBy("key").rangeBetween(Window.unboundedPreceding, Window.currentRow))
@@ -168,11 +193,11 @@ def select(docs: DataFrame, routed: dict[str, tuple[int, int]]) -> DataFrame:
     last = at_edge.where("upto <= need").groupBy("pattern").agg(F.max("key").alias("last"), F.max("upto").alias("reached"))
     filled = plan.select("pattern", "need", "before").where("need > 0 and before is not null").join(last, "pattern", "left")
     left = filled.select("pattern", F.col("last"), (F.col("need") - F.coalesce("reached", "before")).alias("left"))
-    rest = below.join(F.broadcast(left), "pattern").where("left > 0 and (bin > edge or (bin = edge and (last is null or key > last)))")
+    rest = below.join(_small(left, len(routed)), "pattern").where("left > 0 and (bin > edge or (bin = edge and (last is null or key > last)))")
     filler = rest.groupBy("pattern").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("off"), "key", "size", "left")).alias("f"))
     filler = filler.where("f.size < 2 * f.left").select("pattern", F.col("f.key").alias("filler"))
     ends = left.join(filler, "pattern", "left").select("pattern", "last", "filler")
-    d = d.join(F.broadcast(ends), "pattern", "left")
+    d = d.join(_small(ends, len(routed)), "pattern", "left")
     more = (F.col("size") > 0) & (F.col("need") > 0) & ((bin_ < F.col("edge")) | ((bin_ == F.col("edge")) & (F.col("key") <= F.col("last"))) | (F.col("key") == F.col("filler")))
     return d.withColumn("copies", F.col("whole") + F.coalesce(more, F.lit(False)).cast("long"))
 
@@ -187,16 +212,17 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, most: int = 2, wei
     (source, source_size, target).  A document in no source (a null or empty
     array) is never taken.  A null text has no words.  Rows that repeat an id
     share one place in the order and are taken or left together, except that
-    their sizes count one by one.  An empty table gives empty results.
+    their sizes count one by one.  An empty table gives empty results.  Over
+    MOST_PATTERNS patterns that share sources, or MOST_SOURCES in all, raise.
     """
     spark = docs.sparkSession
     row = F.struct(*[F.col(c) for c in keep]).alias("row") if keep else F.lit(None).cast("string").alias("row")
     d = docs.select("doc_id", row, F.array_sort(F.array_distinct(F.coalesce(sources, F.array().cast("array<string>")))).alias("sources"), word_count(F.col("text")).alias("size"))
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     d = materialize(d.select("*", F.to_json("sources").alias("pattern"), key.alias("key")), "sizes")
-    found = d.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("words")).orderBy("pattern").limit(MOST_PATTERNS + 1).collect()
-    if len(found) > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} membership patterns")
+    found = d.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("words")).orderBy("pattern").limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} membership patterns")
     names = sorted({s for r in found for s in r["sources"]}, key=lambda s: (s is None, (s or "").encode("utf-8")))
     spot = {s: k for k, s in enumerate(names)}
     sizes = [0] * len(names)
@@ -205,8 +231,8 @@ def mix(docs: DataFrame, sources: Column, share: float = 1.5, most: int = 2, wei
             sizes[spot[s]] += r["words"]
     total = share * sum(r["words"] for r in found)
     target = capped_targets(sizes, [weights[k % len(weights)] for k in range(len(names))], total, most)
-    flow = route([([spot[s] for s in r["sources"]], r["words"]) for r in found], [round(t) for t in target], most)
-    routed = {r["pattern"]: (r["words"], sum(f.values())) for r, f in zip(found, flow)}
+    taken = routed_words([([spot[s] for s in r["sources"]], r["words"]) for r in found], [round(t) for t in target], most)
+    routed = {r["pattern"]: (r["words"], n) for r, n in zip(found, taken)}
     chosen = select(d, routed) if routed else d.withColumn("copies", F.lit(0).cast("long"))
     chosen = chosen.select("doc_id", *["row"] * bool(keep), "pattern", "size", "copies", (F.col("size") * F.col("copies")).alias("taken"))
     table = spark.createDataFrame([(s, int(z), float(t)) for s, z, t in zip(names, sizes, target)], "source string, source_size long, target double")

@@ -401,6 +401,20 @@ def plain_targets(sizes, share=1.5, most=2, weights=(5, 2, 1)):
         fixed |= {s: most * sizes[s] for s in over}
 
 
+def test_sources_on_their_own_need_no_flow(spark):
+    rng = np.random.default_rng(16)
+    for _ in range(30):
+        quotas = [int(x) for x in rng.integers(0, 60, 7)]
+        patterns = [([s], int(rng.integers(0, 40))) for s in range(4)] + [(sorted({int(x) for x in rng.integers(3, 7, 2)}), int(rng.integers(0, 40))) for _ in range(3)]
+        got, whole = mixing_flow.routed_words(patterns, quotas), [sum(f.values()) for f in mixing_flow.route(patterns, quotas)]
+        assert got[:3] == whole[:3] and sum(got) == sum(whole)
+    many = 70_000  # more patterns than the flow is solved for
+    assert mixing_flow.routed_words([([s], 10) for s in range(many)], [15] * many) == [15] * many
+    df = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit("two words").alias("text"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("source"))
+    mixed, table = mixing_flow.mix(df, F.array("source"))
+    assert table.count() == 30_000 and mixed.where("taken > 4").count() == 0 and abs(mixed.agg(F.sum("taken")).first()[0] - 90_000) < 30_000
+
+
 def test_mixing(docs):
     from pyspark.sql import functions as F
 
