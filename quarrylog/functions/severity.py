@@ -48,6 +48,21 @@ def line_level(c: Column, patterns: Patterns = Patterns()) -> Column:
     return got
 
 
+def line_at_least(c: Column, level: str, patterns: Patterns = Patterns()) -> Column:
+    """Whether a line's level is ``level`` or a higher one: one pattern of all that count."""
+    words = [rf"(?<![0-9A-Za-z_]){name}(?![0-9A-Za-z_])" for name in ("info", "debug", "trace")]
+    by_level = dict(zip(("fatal", "error", "warn", "info", "debug", "trace"), [patterns.fatal, patterns.error, patterns.warn, *words]))
+    found = [p for name, p in by_level.items() if ordinal(name) >= ordinal(level)]
+    if patterns.extra and ordinal("error") >= ordinal(level):
+        found.append(patterns.extra)
+    if any(re.search(r"\\[1-9k]|\(\?[a-zA-Z]", p) for p in found):  # groups or flags of their own: one by one
+        hit = c.rlike(f"(?i)({found[0]})")
+        for p in found[1:]:
+            hit = hit | c.rlike(f"(?i)({p})")
+        return hit
+    return c.rlike("(?i)" + "|".join(f"(?:{p})" for p in found))
+
+
 def entry_level(severity: Column) -> Column:
     """The level that a JSON entry's severity names, or null."""
     got = F.when(severity == "fatal", "fatal")

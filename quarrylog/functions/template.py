@@ -1,4 +1,4 @@
-"""Message templates: volatile tokens of a line become placeholders, in one pass."""
+"""Message templates: volatile tokens of a line become placeholders."""
 
 from __future__ import annotations
 
@@ -20,41 +20,65 @@ TOKENS = (
     rf"{B}\d{{1,2}}:\d{{2}}:\d{{2}}(?:\.\d+)?(?: ?[AP]M)?{E}",
     rf"{B}\d+(?:\.\d+)?",
 )
-MARK = "\x01"
 QUOTED = "\"[^\"]*\"|'[^']*'"
+#: What stands around a token while its kind is sought; a line that has one of them is marked with the next pair.
+MARKS = (("\x01", "\x02"), ("\x03", "\x04"), ("", ""), ("﷐", "﷑"))
 
 
-def _placeholder(t: Column, quoted: bool) -> Column:
-    """What stands for a token: its shape tells.  The commonest shapes come first."""
-    got = F.when(t.rlike(r"^[0-9]+(?:\.[0-9]+)?$"), "<N>")
-    if quoted:
-        got = got.when(t.startswith("'") | t.startswith('"'), "<STR>")
-    return (
-        got.when(t.rlike("(?s):.*:"), "<TS>")
-        .when(t.rlike("^.{8}-.{4}-.{4}-.{4}-.{12}$"), "<UUID>")
-        .when(t.startswith("0x") | t.startswith("0X"), "<HEX>")
-        .when(t.contains(":"), "<IP>")
-        .when(t.rlike(r"^[0-9.]+$"), "<IP>")
-        .when(t.rlike("[0-9]"), "<HEX>")
-        .otherwise(t)
-    )
+def _any_token(quoted: bool) -> str:
+    """The tokens as one pattern.  What a token can start with is looked at before its alternatives: most places have none."""
+    stamps, month, words = TOKENS[:2], TOKENS[2], [t.replace(B, "") for t in TOKENS[3:]]
+    letters = "".join(sorted({m[0] for m in MONTHS} | set("ABCDEFabcdef")))
+    of_letters = [words[0], rf"[0-9a-fA-F]{{8,}}+{E}"]  # what can start with a letter
+    starts = [rf"(?=[0-9])(?:{'|'.join(stamps)}|{B}(?:{'|'.join(words)}))", rf"(?=[{letters}])(?:{month}|{B}(?:{'|'.join(of_letters)}))"]
+    return "|".join(([QUOTED] if quoted else []) + starts)
+
+
+def _kinds(mark: str, end: str, quoted: bool) -> list[tuple[str, str]]:
+    """(pattern of a marked token, what stands for it), to be tried in order; a token of no kind stays."""
+    one = lambda inner: f"{mark}{inner}{end}"
+    rest = f"[^{end}]*"
+    return [
+        (one(r"[0-9]+(?:\.[0-9]+)?"), "<N>"),
+        *([(one(f"[\"']{rest}"), "<STR>")] if quoted else []),
+        (one(f"{rest}:{rest}:{rest}"), "<TS>"),
+        (one(f"[^{end}]{{8}}-[^{end}]{{4}}-[^{end}]{{4}}-[^{end}]{{4}}-[^{end}]{{12}}"), "<UUID>"),
+        (one(f"0[xX]{rest}"), "<HEX>"),
+        (one(f"(?:{rest}:{rest}|[0-9.]+)"), "<IP>"),
+        (one(f"{rest}[0-9]{rest}"), "<HEX>"),
+    ]
 
 
 def template(c: Column, quoted: bool = False) -> Column:
-    """The line with timestamps, UUIDs, addresses, hex ids and numbers replaced; quoted strings too on request."""
-    c = F.regexp_replace(F.regexp_replace(c, ANSI, ""), SOURCE_TAG, "")
-    pattern = "|".join(((QUOTED,) if quoted else ()) + TOKENS)
-    return let(c, lambda x: _filled(x, pattern, quoted))
-
-
-def _filled(c: Column, pattern: str, quoted: bool) -> Column:
-    # Splitting at a pattern compiles it for every row, replacing and extracting do so once: tokens become a
-    # mark first, and the text is split at that.  Lines that hold the mark are split at the pattern.
-    marked = F.split(F.regexp_replace(c, pattern, MARK), MARK, -1)
-    between = F.when(c.contains(MARK), F.split(c, pattern, -1)).otherwise(marked)
-    tokens = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1))
-    filled = F.concat(F.transform(tokens, lambda t: _placeholder(t, quoted)), F.array(F.lit("")))
-    return F.trim(F.regexp_replace(F.array_join(F.zip_with(between, filled, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), ""), r"(?U)^\s+|\s+$", ""))
+    """The line with timestamps, UUIDs, addresses, hex ids and numbers replaced; quoted strings too on request.
+
+    One pass marks the tokens, short ones name them by their shape: generated
+    code throughout, and the long pattern runs once.  A line that holds all of
+    the MARKS keeps its tokens.
+    """
+    c = F.when(c.contains("\x1b"), F.regexp_replace(c, ANSI, "")).otherwise(c)
+    c = F.when(c.startswith("[src:"), F.regexp_replace(c, SOURCE_TAG, "")).otherwise(c)
+    out = c
+    for mark, end in reversed(MARKS[1:]):
+        out = F.when(~c.contains(mark) & ~c.contains(end), _filled(c, mark, end, quoted)).otherwise(out)
+    mark, end = MARKS[0]
+    got = F.when(~c.contains(mark) & ~c.contains(end), _filled(c, mark, end, quoted)).otherwise(out)
+    return F.trim(F.regexp_replace(got, r"(?U)^\s+|\s+$", ""))
+
+
+def _filled(c: Column, mark: str, end: str, quoted: bool) -> Column:
+    x = F.regexp_replace(c, f"({_any_token(quoted)})", f"{mark}$1{end}")
+    kinds = _kinds(mark, end, quoted)
+    for pattern, name in kinds[:-4]:
+        x = F.regexp_replace(x, pattern, name)
+
+    def rest(x: Column) -> Column:
+        y = x
+        for pattern, name in kinds[-4:]:
+            y = F.regexp_replace(y, pattern, name)
+        return F.when(x.contains(mark), F.translate(y, mark + end, "")).otherwise(x)
+
+    return let(x, rest)  # most lines have numbers and timestamps only
 
 
 def template_hash(t: Column) -> Column:

@@ -25,14 +25,13 @@ def scanned(lines: DataFrame, pattern: str | None = None, since: datetime | None
 
 
 def exists(lines: DataFrame, field: str, pattern: str | None = None, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
-    """One row: lines with and without the field, lines that are no entries, and the first line that has it."""
+    """One row: lines with and without the field, lines that are no entries, and the first line that has it, with its place."""
     got = entries.value(F.col("v"), field)
     rows = scanned(lines, pattern, since, until)
-    place = F.when(got.isNotNull(), F.struct("file_ord", "file", "line_number"))
     return rows.agg(
         F.count_if(got.isNotNull()).alias("lines_with"), F.count_if(F.col("is_entry") & got.isNull()).alias("lines_without"), F.count_if(~F.col("is_entry")).alias("non_json"),
-        F.min_by(F.col("content"), place).alias("__c"),
-    ).withColumn("sample", F.when(F.col("lines_with") > 0, F.col("__c"))).drop("__c")
+        F.min(F.when(got.isNotNull(), F.struct("file_ord", "file", "line_number", "content"))).alias("__s"),
+    ).select("lines_with", "lines_without", "non_json", F.col("__s.content").alias("sample"), F.col("__s.file").alias("sample_file"), F.col("__s.line_number").alias("sample_line"))
 
 
 def count(lines: DataFrame, field: str, pattern: str | None = None, since: datetime | None = None, until: datetime | None = None) -> DataFrame:

@@ -16,6 +16,8 @@ from ..functions.timeargs import Around, DiffBounds
 from .result import Result
 from .scan import entries_only
 
+#: Seconds of time whose anchors one task merges.
+SPAN = 6 * 3600
 
 
 def _place() -> Column:
@@ -108,21 +110,29 @@ def correlate(lines: DataFrame, value: str, field: str | None = None, limit: int
     return Result(rows, facts)
 
 
+def _islands(stretches: DataFrame, width: int, *by: str) -> DataFrame:
+    """(by, k, a, z, anchor_count): stretches of time no more than ``width`` apart, merged and numbered."""
+    w = Window.partitionBy(*by).orderBy("a")
+    apart = F.col("a") - F.lag("z").over(w) > width
+    island = stretches.withColumn("fresh", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("k", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return island.groupBy(*by, "k").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.sum("anchor_count").alias("anchor_count"))
+
+
 def sections(anchors: DataFrame, around: Around) -> DataFrame:
     """(from_ts, to_ts, anchor_count): the windows around ``anchors.ts``, merged where they overlap or touch.
 
-    Anchors in one bucket as wide as a window always share a section, so they
-    are aggregated by bucket first; what is put in order has a row for each
-    bucket of time, however many anchors there are.
+    Three levels: anchors in one bucket as wide as a window always share a
+    section; islands are made of those within a SPAN of time, in parallel; and
+    only a span's first and last island can touch another span's, so that two
+    rows for each span are put in order at the end.
     """
     width = (around.before + around.after) * 1_000_000
     micros = F.unix_micros("ts")
     bucket = F.floor(micros / width) if width else micros
-    at = anchors.where("ts is not null").groupBy(bucket.alias("bucket")).agg(F.min(micros).alias("a"), F.max(micros).alias("z"), F.count("*").alias("n"))
-    w = Window.orderBy("bucket")
-    apart = F.col("a") - F.lag("z").over(w) > width
-    island = at.withColumn("fresh", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("k", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    got = island.groupBy("k").agg(F.min("a").alias("a"), F.max("z").alias("z"), F.sum("n").alias("anchor_count"))
+    at = anchors.where("ts is not null").groupBy(bucket.alias("bucket")).agg(F.min(micros).alias("a"), F.max(micros).alias("z"), F.count("*").alias("anchor_count"))
+    here = _islands(at.withColumn("span", F.floor(F.col("a") / (SPAN * 1_000_000))), width, "span")
+    here = here.withColumn("edge", (F.col("k") == 1) | (F.col("k") == F.max("k").over(Window.partitionBy("span")))).select("edge", "a", "z", "anchor_count")
+    got = _islands(here.where("edge").drop("edge"), width).drop("k").unionByName(here.where("not edge").drop("edge"))
     return got.select(F.timestamp_micros(F.col("a") - around.before * 1_000_000).alias("from_ts"), F.timestamp_micros(F.col("z") + around.after * 1_000_000).alias("to_ts"), "anchor_count")
 
 

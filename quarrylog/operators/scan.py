@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import entries
-from ..functions.severity import ordinal
+from ..functions.severity import Patterns, line_at_least, ordinal
 from ..functions.text import any_case, human_span
-from ..plans.lines import within
+from ..plans.lines import RAW, LineOptions, enrich, within
 from .result import Result
 
 PLACE = ("file_ord", "file", "line_number")
@@ -62,6 +62,16 @@ def search(lines: DataFrame, pattern: str, limit: int = 50, field: str | None =
     return Result(rows, facts)
 
 
+def search_first(lines: DataFrame, pattern: str, limit: int, field: str) -> DataFrame:
+    """The first ``limit`` + 1 entries of one file whose field matches, without reading on: one too many tells that there are more.
+
+    The file's splits come in order, so Spark takes them from the first on and
+    stops; nothing is sorted and no total is known.
+    """
+    hit = entries.scalar_text(F.col("v"), field).rlike(any_case(pattern))
+    return entries_only(lines).where(F.coalesce(hit, F.lit(False))).limit(limit + 1).select(*_as_row())
+
+
 def with_context(lines: DataFrame, hits: DataFrame, context: int) -> DataFrame:
     """``hits(file, line_number)`` with the ``context`` lines before and after each, as one text with its own marked out.
 
@@ -75,9 +85,10 @@ def with_context(lines: DataFrame, hits: DataFrame, context: int) -> DataFrame:
     return hits.join(got, ["file", "line_number"], "left").withColumn("context", F.array_join(F.transform("p", lambda x: x["content"]), "\n")).drop("p")
 
 
-def error_hits(level: str, exclude: str | None) -> Column:
+def error_hits(level: str, exclude: str | None, patterns: Patterns = Patterns()) -> Column:
     """At or above a level, and not excluded (case counts); unknown severities never match."""
-    hit = F.coalesce(F.col("level") >= ordinal(level), F.lit(False))
+    entry = F.coalesce(F.col("level") >= ordinal(level), F.lit(False))
+    hit = F.when(F.col("format") == "json", entry).otherwise(F.coalesce(line_at_least(F.col("content"), level, patterns), F.lit(False)))
     if exclude:
         any_case(exclude)
         hit = hit & ~F.when(F.col("format") == "json", F.coalesce("message", F.lit(""))).otherwise(F.col("content")).rlike(exclude)
@@ -92,11 +103,16 @@ def newest(matching: DataFrame, limit: int, per_file: bool = True) -> DataFrame:
     return matching.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= limit).drop("__n")
 
 
-def errors(lines: DataFrame, level: str = "warn", limit: int = 100, exclude: str | None = None, since: datetime | None = None, until: datetime | None = None) -> Result:
-    """The newest errors of each file in their order.  Facts by file: error_count, omitted, unparsed_ts."""
+def errors(lines: DataFrame, level: str = "warn", limit: int = 100, exclude: str | None = None, since: datetime | None = None, until: datetime | None = None, options: LineOptions = LineOptions()) -> Result:
+    """The newest errors of each file in their order.  Facts by file: error_count, omitted, unparsed_ts.
+
+    Severity, time and text are made of the lines that the limit leaves;
+    ``options`` are those that ``lines`` were made with.
+    """
     lines = entries_only(lines)
-    hit = within(F.col("ts"), since, until) & error_hits(level, exclude)
-    rows = newest(lines.where(hit), limit).orderBy(*PLACE).select(*_as_row())
+    hit = within(F.col("ts"), since, until) & error_hits(level, exclude, options.patterns)
+    last = newest(lines.where(hit).select(*RAW), limit)
+    rows = enrich(last, options).orderBy(*PLACE).select(*_as_row())
     bounded = since is not None or until is not None
     counted = lines.groupBy("file").agg(F.count_if(hit).alias("total"), unparsed(F.col("ts"), bounded))
     facts = counted.select("file", F.least("total", F.lit(limit)).cast("long").alias("error_count"), F.greatest(F.col("total") - limit, F.lit(0)).cast("long").alias("omitted"), "unparsed_ts")

@@ -12,7 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import entries
 from ..functions.severity import Patterns, entry_level, level_ordinal, line_level
 from ..functions.timestamps import Declared, declared_time, entry_time, iso_text, line_time, source_of
-from ..sources.files import LogFile, array_entries, formats, numbered_lines, per_file
+from ..sources.files import LogFile, array_entries, few, formats, numbered_lines
+
+
+#: Columns that ``enrich`` makes the others from.
+RAW = ("file", "file_ord", "line_number", "content", "format", "mtime")
 
 
 @dataclass(frozen=True)
@@ -67,15 +71,12 @@ def log_lines(spark: SparkSession, files: Sequence[LogFile], options: LineOption
     numbered = numbered_lines(spark, [f for f in files if f not in arrays])
     if arrays:
         numbered = numbered.unionByName(array_entries(spark, arrays))
-    raw = numbered.select(
-        "file",
-        per_file(files, {f.name: k for k, f in enumerate(files)}, "int").alias("file_ord"),
-        "line_number",
-        "content",
-        F.lit("plain").alias("format") if as_lines else per_file(files, {n: "plain" if k == "plain" else "json" for n, k in kinds.items()}, "string").alias("format"),
-        per_file(files, {f.name: f.modified for f in files}, "timestamp").alias("mtime"),
+    known = spark.createDataFrame(
+        [(f.name, k, "plain" if as_lines or kinds[f.name] == "plain" else "json", f.modified) for k, f in enumerate(files)],
+        "file string, file_ord int, format string, mtime timestamp",
     )
-    return enrich(raw, options)
+    # A row for each file: a table that Spark can size, and that keeps the plan small however many files there are.
+    return enrich(numbered.join(few(known, len(files)), "file").select(*RAW), options)
 
 
 def within(ts: Column, since: datetime | None, until: datetime | None) -> Column:

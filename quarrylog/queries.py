@@ -13,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.template import template
-from .functions.text import human_bytes, human_span
-from .functions.timeargs import Around, diff_bounds
-from .functions.timestamps import Declared, declared_time, line_time
+from .functions.text import human_bytes, human_span, literal
+from .functions.timeargs import Around, around, diff_bounds, instant
+from .functions.timestamps import Declared, declared_time, epoch_millis_text, line_time, source_of, strip_ansi, strip_source
 from .operators import fields, groups, scan
-from .plans.lines import enrich, within
-from .plans.zone_map import pruned, zone_map
+from .plans.lines import enrich
+from .plans.zone_map import store, stored
 from .session import configure
+from .shared import fresh
 from .sources.listings import parse_listing
 from .streaming.live import window_counts
 
@@ -69,6 +70,11 @@ def event_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich(events(spark, sf_dir).select("file", "file_ord", "line_number", F.to_json(fields_).alias("content"), F.lit("json").alias("format"), "mtime"))
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """An operator's limited rows with their places: sorted rows with a limit come as one partition, in order."""
+    return rows.withColumn("place", F.monotonically_increasing_id() + 1)
+
+
 def iso(c: str) -> F.Column:
     return F.date_format(c, STAMP).alias(c)
 
@@ -215,16 +221,12 @@ def rollup_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(E_ + "SELECT count(*) FILTER (WHERE event_type = 'purchase') AS lines_with, count(*) FILTER (WHERE event_type <> 'purchase') AS lines_without, CAST(0 AS BIGINT) AS non_json, (SELECT line_number FROM l WHERE event_type = 'purchase' ORDER BY file_ord, line_number LIMIT 1) AS sample_line FROM l")
 def aggregate_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries_ = event_entries(spark, sf_dir)
-    got = fields.exists(entries_, "k")
-    same = F.struct("file_ord", "line_number")
-    line = entries_.join(F.broadcast(got.select("sample")), F.col("content") == F.col("sample")).agg(F.min_by("line_number", same).alias("sample_line"))
-    return got.drop("sample").join(line, F.lit(True))
+    return fields.exists(event_entries(spark, sf_dir), "k").drop("sample", "sample_file")
 
 
-@query(E_ + f"SELECT k AS value, count(*) AS count FROM l WHERE event_type = 'purchase' AND (ts IS NULL OR ts >= {T_SINCE}) GROUP BY k ORDER BY count DESC, value LIMIT 12")
+@query(E_ + f"SELECT k AS value, count(*) AS count, row_number() OVER (ORDER BY count(*) DESC, k) AS place FROM l WHERE event_type = 'purchase' AND (ts IS NULL OR ts >= {T_SINCE}) GROUP BY k ORDER BY count DESC, value LIMIT 12")
 def aggregate_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fields.values(event_entries(spark, sf_dir), "k", 12, since=SINCE).rows
+    return placed(fields.values(event_entries(spark, sf_dir), "k", 12, since=SINCE).rows)
 
 
 @query(E_ + "SELECT count(*) AS occurrences, CAST(0 AS BIGINT) AS lines_without, CAST(0 AS BIGINT) AS non_json FROM l WHERE regexp_matches(content, '(?i)error|info')")
@@ -272,24 +274,24 @@ def summarize_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.summarize(_varied(spark, sf_dir), diff_bounds(**BOUNDS)).volume
 
 
-@query(E_ + "SELECT file, line_number, ts_text AS timestamp, lower(name) AS severity, content FROM l WHERE contains(content, 'user=12') ORDER BY ts_text ASC NULLS LAST, file_ord, line_number LIMIT 200")
+@query(E_ + "SELECT file, line_number, ts_text AS timestamp, lower(name) AS severity, content, row_number() OVER (ORDER BY ts_text ASC NULLS LAST, file_ord, line_number) AS place FROM l WHERE contains(content, 'user=12') ORDER BY ts_text ASC NULLS LAST, file_ord, line_number LIMIT 200")
 def correlate_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.correlate(event_lines(spark, sf_dir), "user=12").rows
+    return placed(groups.correlate(event_lines(spark, sf_dir), "user=12").rows)
 
 
-@query(E_ + "SELECT file, line_number, ts_text AS timestamp, lower(name) AS severity, message AS content FROM l WHERE user_id = 12 ORDER BY ts_text ASC NULLS LAST, file_ord, line_number LIMIT 200")
+@query(E_ + "SELECT file, line_number, ts_text AS timestamp, lower(name) AS severity, message AS content, row_number() OVER (ORDER BY ts_text ASC NULLS LAST, file_ord, line_number) AS place FROM l WHERE user_id = 12 ORDER BY ts_text ASC NULLS LAST, file_ord, line_number LIMIT 200")
 def correlate_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.correlate(event_entries(spark, sf_dir), "u-12", "user.name").rows
+    return placed(groups.correlate(event_entries(spark, sf_dir), "u-12", "user.name").rows)
 
 
-@query(E_ + "SELECT file, line_number, ts_text AS timestamp, lower(name) AS severity, message AS content FROM l WHERE contains('u-' || user_id, 'u-3') ORDER BY ts_text ASC NULLS LAST, file_ord, line_number LIMIT 150")
+@query(E_ + "SELECT file, line_number, ts_text AS timestamp, lower(name) AS severity, message AS content, row_number() OVER (ORDER BY ts_text ASC NULLS LAST, file_ord, line_number) AS place FROM l WHERE contains('u-' || user_id, 'u-3') ORDER BY ts_text ASC NULLS LAST, file_ord, line_number LIMIT 150")
 def correlate_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.correlate(event_entries(spark, sf_dir), "u-3", limit=150).rows
+    return placed(groups.correlate(event_entries(spark, sf_dir), "u-3", limit=150).rows)
 
 
-@query(E_ + "SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS count, min(ts_text) AS first_seen, max(ts_text) AS last_seen FROM l GROUP BY user_id ORDER BY count DESC, value LIMIT 40")
+@query(E_ + "SELECT CAST(user_id AS VARCHAR) AS value, count(*) AS count, min(ts_text) AS first_seen, max(ts_text) AS last_seen, row_number() OVER (ORDER BY count(*) DESC, CAST(user_id AS VARCHAR)) AS place FROM l GROUP BY user_id ORDER BY count DESC, value LIMIT 40")
 def trace_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.trace_ids(event_lines(spark, sf_dir), "user", 40).rows
+    return placed(groups.trace_ids(event_lines(spark, sf_dir), "user", 40).rows)
 
 
 ISLANDS = E_ + """, a AS (SELECT ts, count(*) AS n FROM l WHERE user_id = 12 AND level = 4 AND ts IS NOT NULL GROUP BY ts),
@@ -308,10 +310,10 @@ def anchor_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(ISLANDS + """, m AS (SELECT * FROM s ORDER BY f LIMIT 5)
-SELECT strftime(f, '%Y-%m-%dT%H:%M:%S.%fZ') AS from_ts, file, line_number, ts_text AS timestamp, lower(name) AS severity, content
+SELECT strftime(f, '%Y-%m-%dT%H:%M:%S.%fZ') AS from_ts, file, line_number, ts_text AS timestamp, lower(name) AS severity, content, row_number() OVER (ORDER BY f, ts_text, file, line_number) AS place
 FROM l JOIN m ON l.ts BETWEEN m.f AND m.t ORDER BY f, ts_text, file, line_number LIMIT 150""")
 def anchor_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups.anchor(event_lines(spark, sf_dir), ANCHOR, NEAR, limit=150).entries.withColumn("from_ts", iso("from_ts")).drop("to_ts")
+    return placed(groups.anchor(event_lines(spark, sf_dir), ANCHOR, NEAR, limit=150).entries).withColumn("from_ts", iso("from_ts")).drop("to_ts")
 
 
 @query("""SELECT event_id, event_id % 8 AS kind, strftime(date_trunc(CASE WHEN event_id % 8 IN (0, 1) THEN 'microseconds' ELSE 'second' END, ts), '%Y-%m-%dT%H:%M:%S.%fZ') AS at FROM events""")
@@ -340,9 +342,23 @@ def cursor_increment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(E_ + f"SELECT file, line_number, content FROM l WHERE ts IS NULL OR ts BETWEEN {T_SINCE} AND {T_NOW}")
 def zone_map_pruned_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = event_lines(spark, sf_dir)
-    kept = pruned(lines, zone_map(lines, 40), SINCE, NOW, size=40)
-    return kept.where(within(F.col("ts_line"), SINCE, NOW)).select("file", "line_number", "content")
+    """A bounded query over stored lines: the bounds reach Parquet's row groups."""
+    return stored(spark, _stored(spark, sf_dir), SINCE, NOW).select("file", "line_number", "content")
+
+
+_stores: dict[tuple, str] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> str:
+    """Where the events' lines are stored: written once for a session and a state of the table."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    state = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
+    key = (spark.sparkContext.applicationId, sf_dir, state.getModificationTime(), state.getLen())
+    if key not in _stores:
+        path = fresh(spark, "lines")
+        store(event_lines(spark, sf_dir), path)
+        _stores[key] = path
+    return _stores[key]
 
 
 @query(E_ + """, p AS (
@@ -388,15 +404,49 @@ def human_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", human_bytes(F.col("event_id") * 37).alias("size"), human_span(F.col("event_id") * 61 % 200_000).alias("span"))
 
 
-@query("""SELECT conv_id, turn, regexp_replace(text, '(^|[^0-9A-Za-z_])[0-9]+', '\\1<N>', 'g') AS template FROM (
-  SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations) WHERE NOT regexp_matches(text, '[0-9][0-9a-fA-F]{6}|[0-9][:.,/-][0-9]|[0-9a-fA-F]{8}|["'']')""")
+@query()
 def templates_of_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Templates of free text, on the texts whose tokens a plain pattern can name."""
+    """Templates of free text; SQL can't tell tokens apart, so a plain version in the tests does."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", F.trim(F.regexp_replace("text", r"[ \t\n\f\r]+", " ")).alias("text"))
-    c = c.where(~F.col("text").rlike("[0-9][0-9a-fA-F]{6}|[0-9][:.,/-][0-9]|[0-9a-fA-F]{8}|[\"']"))
     return c.select("conv_id", "turn", template(F.col("text")).alias("template"))
 
 
+@query(E_ + "SELECT line_number, CASE WHEN line_number % 3 > 0 THEN 'svc-' || (user_id % 3) END AS source, body AS text FROM l")
+def source_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Colours and source tags put on lines and taken off again."""
+    lines = event_lines(spark, sf_dir).select("line_number", F.concat(F.lit("svc-"), F.col("file_ord").cast("string")).alias("name"), F.when(F.col("ts_line").isNull(), F.col("content")).otherwise(F.substring_index("content", "Z ", -1)).alias("body"))
+    coloured = F.concat(F.lit("\x1b[1;31m"), F.substring("body", 1, 3), F.lit("\x1b[0m"), F.expr("substring(body, 4)"))
+    tagged = F.when(F.col("line_number") % 3 > 0, F.concat(F.lit("[src:"), "name", F.lit("] "), coloured)).otherwise(coloured)
+    return lines.select("line_number", tagged.alias("c")).select("line_number", source_of(F.col("c")).alias("source"), strip_ansi(strip_source(F.col("c"))).alias("text"))
+
+
+@query("SELECT event_id, strftime(date_trunc('millisecond', ts), '%Y-%m-%dT%H:%M:%S.%gZ') AS at FROM events")
+def epoch_millis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Integer timestamps of entries as text."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return e.select("event_id", epoch_millis_text(F.unix_millis(F.col("ts").cast("timestamp"))).alias("at"))
+
+
+@query(f"""SELECT file, count(*) FILTER (WHERE contains(content, 'user=1 k=') OR contains(content, '(k.=')) AS lines FROM ({E_.strip()} SELECT * FROM l) GROUP BY file""")
+def escaped_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text that is sought as it is, whatever it means in a pattern."""
+    wanted = F.col("content").rlike(literal("user=1 k=")) | F.col("content").rlike(literal("(k.="))
+    return event_lines(spark, sf_dir).groupBy("file").agg(F.count_if(wanted).alias("lines"))
+
+
+@query("""SELECT name, strftime(moment, '%Y-%m-%dT%H:%M:%SZ') AS at FROM (VALUES ('ago 90s', TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 90 SECOND), ('ago 2w', TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 14 DAY),
+  ('iso', TIMESTAMP '2024-01-14 08:30:00'), ('window until', TIMESTAMP '2024-01-15 12:00:00'), ('window since', TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 6 HOUR),
+  ('window baseline', TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 6 HOUR - INTERVAL 30 MINUTE), ('since baseline', TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 4 DAY), ('around', TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 10 SECOND)) t(name, moment)""")
+def time_arguments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What durations, times, windows and baselines in arguments come to."""
+    w = diff_bounds(window="6h", baseline="30m", now=NOW)
+    made = {
+        "ago 90s": instant("90s", NOW), "ago 2w": instant("2w", NOW), "iso": instant("2024-01-14T10:30:00+02:00", NOW), "window until": w.until, "window since": w.since, "window baseline": w.baseline,
+        "since baseline": diff_bounds(since="2d", now=NOW).baseline, "around": NOW - timedelta(seconds=around("±10s").before),
+    }
+    return spark.createDataFrame([(k, v.strftime("%Y-%m-%dT%H:%M:%SZ")) for k, v in made.items()], "name string, at string")
+
+
 @query("""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%dT%H:%M:%SZ') AS start, event_type AS name, count(*) AS lines FROM events GROUP BY ALL""")
 def live_window_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_counts(spark, sf_dir)

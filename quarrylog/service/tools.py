@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.severity import Patterns
 from ..functions.timeargs import around, diff_bounds, instant, now_utc
@@ -19,6 +20,7 @@ from ..functions.timestamps import Declared
 from ..operators import fields as field_ops
 from ..operators import groups, scan
 from ..operators.result import Omissions
+from ..plans.line_store import LineStore
 from ..plans.lines import LineOptions, log_lines, within
 from ..session import configure
 from ..sources.cloud import sync
@@ -50,9 +52,12 @@ class Tools:
     max_mb: int = MAX_FILE_MB
     status: dict[str, dict] = field(default_factory=dict)
     now: datetime | None = None
+    store: LineStore | None = None
 
     def __post_init__(self) -> None:
         configure(self.spark)
+        if self.store:
+            self.store.options = self._options()
 
     def _now(self) -> datetime:
         return self.now or now_utc()
@@ -65,8 +70,12 @@ class Tools:
         om.skipped(skipped)
         return files
 
-    def _lines(self, file: str | None, om: Omissions, as_lines: bool = False) -> DataFrame:
-        return log_lines(self.spark, self._files(file, om), self._options(), as_lines)
+    def _lines(self, file: str | None, om: Omissions, as_lines: bool = False, bounds: tuple[datetime | None, datetime | None] = (None, None)) -> DataFrame:
+        """Lines of the files, or with time bounds and a store those that may lie within."""
+        files = self._files(file, om)
+        if self.store and files and any(bounds):
+            return self.store.lines(files, *bounds, as_lines)
+        return log_lines(self.spark, files, self._options(), as_lines)
 
     def _any_size(self, file: str | None = None) -> DataFrame:
         files = [resolve(self.spark, self.log_dir, file)] if file else list_files(self.spark, self.log_dir)
@@ -85,7 +94,7 @@ class Tools:
         lines = self._any_size(file)
         data = {"file": file, "path": f.path, "size_bytes": f.size, "line_count": 0, "error_count": 0, "warn_count": 0, "fatal_count": 0, "ts_sample_size": 0, "ts_parse_ratio": None}
         data |= fact(scan.stats(lines))
-        data |= {"size_human": fact(listing(self.spark, self.log_dir).where(f"name = '{file}'").select("size_human"))["size_human"], "modified": iso(f.modified)}
+        data |= {"size_human": fact(listing(self.spark, self.log_dir).where(F.col("name") == file).select("size_human"))["size_human"], "modified": iso(f.modified)}
         return data, to_json(data)
 
     def time_range(self, file: str) -> tuple[dict, str]:
@@ -98,10 +107,9 @@ class Tools:
         f = self._files(file, om)[0]
         start = instant(since, self._now())
         got = poll(self.spark, file, f.path, cursor)
-        frame = self._lines(file, om, as_lines=True)
+        frame = self._lines(file, om, as_lines=True, bounds=(start, None))
         if cursor and not got.reset:
-            first = got.lines[0][0] if got.lines else None
-            frame = frame.where(f"line_number >= {first}") if first else frame.limit(0)
+            frame = frame.where(F.col("line_number") >= got.first)
         result = scan.tail(frame, lines, start)
         facts = fact(result.facts)
         shown = rows_of(result.rows)
@@ -127,15 +135,22 @@ class Tools:
             return self._rollup(wanted, lines, max_results, om, bool(since or until), format)
         if not file:
             raise ValueError("file is required without rollup")
-        lines = self._lines(file, om, as_lines=field is None)
+        lines = self._lines(file, om, as_lines=field is None, bounds=(lo, hi))
         extra = {}
         if cursor is not None:
             got = poll(self.spark, file, self._files(file, om)[0].path, cursor or None)
             extra = {"cursor": got.cursor} | ({"cursor_reset": True} if got.reset else {})
             if cursor and not got.reset:
-                lines = lines.where(f"line_number >= {got.lines[0][0] if got.lines else 1 << 60}")
+                lines = lines.where(F.col("line_number") >= got.first)
+        if field and lo is None and hi is None:  # no total is asked for: stop at the first match too many
+            shown = rows_of(scan.search_first(lines, pattern, max_results, field).drop("file"))
+            if len(shown) > max_results:
+                om.capped_at("matches", max_results)
+            data = om.attach({"file": file, "matches": shown[:max_results], "returned": min(len(shown), max_results)})
+            return data, respond(data, format)
         result = scan.search(lines, pattern, max_results, field, lo, hi)
-        shown = scan.with_context(lines, result.rows, context) if context and not field else result.rows
+        # Lines around a match may lie outside the bounds.
+        shown = scan.with_context(self._lines(file, Omissions(), as_lines=True), result.rows, context) if context and not field else result.rows
         facts = fact(result.facts)
         om.cap("matches", facts["total"], max_results, f"first {max_results}")
         data = {"file": file, "matches": sorted(rows_of(shown.drop("file")), key=lambda r: r["line_number"]), "returned": min(facts["total"], max_results)} | extra
@@ -158,7 +173,7 @@ class Tools:
     def get_errors(self, file: str, lines: int = 100, level: str = "warn", exclude: str | None = None, since: str | None = None, until: str | None = None, format: str | None = None) -> tuple[dict, str]:
         om = Omissions()
         lo, hi = self._bounds(since, until)
-        got = scan.errors(self._lines(file, om), level, lines, exclude, lo, hi)
+        got = scan.errors(self._lines(file, om, bounds=(lo, hi)), level, lines, exclude, lo, hi, self._options())
         facts = fact(got.facts)
         om.omitted("lines", facts.get("omitted", 0), f"newest {lines}")
         data = {"file": file, "error_count": facts.get("error_count", 0), "matches": rows_of(got.rows.drop("file"))}
@@ -170,10 +185,11 @@ class Tools:
     def all_errors(self, lines: int = 20, level: str = "warn", exclude: str | None = None, rollup: bool = False, since: str | None = None, until: str | None = None, format: str | None = None) -> tuple[dict, str]:
         om = Omissions()
         lo, hi = self._bounds(since, until)
-        scanned = self._lines(None, om)
         if rollup:
-            return self._rollup(scanned.where(within(scanned["ts"], lo, hi) & scan.error_hits(level, exclude)), scanned, None, om, bool(lo or hi), format)
-        got = scan.errors(scanned, level, lines, exclude, lo, hi)
+            scanned = self._lines(None, om)
+            return self._rollup(scanned.where(within(scanned["ts"], lo, hi) & scan.error_hits(level, exclude, self.patterns)), scanned, None, om, bool(lo or hi), format)
+        scanned = self._lines(None, om, bounds=(lo, hi))
+        got = scan.errors(scanned, level, lines, exclude, lo, hi, self._options())
         facts, rows = rows_of(got.facts), rows_of(got.rows)
         om.omitted("lines", sum(f["omitted"] for f in facts), f"newest {lines} of each file")
         files = [{"file": f["file"], "error_count": f["error_count"], "matches": [{k: v for k, v in r.items() if k != "file"} for r in rows if r["file"] == f["file"]]} for f in sorted(facts, key=lambda f: f["file"]) if f["error_count"]]
@@ -187,11 +203,16 @@ class Tools:
     def aggregate(self, field: str, op: str, file: str | None = None, pattern: str | None = None, max_values: int = 50, since: str | None = None, until: str | None = None, format: str | None = None) -> tuple[dict, str]:
         om = Omissions()
         lo, hi = self._bounds(since, until)
-        lines = self._lines(file, om)
+        lines = self._lines(file, om, bounds=(lo, hi))
         data: dict = {"field": field, "op": op}
-        if op == "exists":
+        plain = not (pattern or lo or hi) and self.store is not None and op in ("exists", "count")
+        proven = self.store.totals_without(self._files(file, Omissions()), field) if plain else None
+        if proven:  # no line has the field: nothing is read
+            none = {"lines_without": proven["entries"], "non_json": proven["others"]}
+            data |= {"exists": False, "lines_with": 0} | none | {"sample": None} if op == "exists" else {"occurrences": 0} | none
+        elif op == "exists":
             got = fact(field_ops.exists(lines, field, pattern, lo, hi))
-            data |= {"exists": got["lines_with"] > 0} | got
+            data |= {"exists": got["lines_with"] > 0} | {k: got[k] for k in ("lines_with", "lines_without", "non_json", "sample")}
         elif op == "count":
             data |= fact(field_ops.count(lines, field, pattern, lo, hi))
         elif op == "values":
@@ -210,7 +231,8 @@ class Tools:
         om = Omissions()
         b = diff_bounds(window, since, until, baseline, self._now())
         files = self._files(file, om)
-        got = groups.summarize(log_lines(self.spark, files, self._options()), b, max_templates)
+        lines = self.store.lines(files, b.baseline, b.until) if self.store and files else log_lines(self.spark, files, self._options())
+        got = groups.summarize(lines, b, max_templates)
         facts = fact(got.facts)
         om.cap("new_templates", facts["new_templates"], max_templates, f"top {max_templates} by count")
         om.cap("gone_templates", facts["gone_templates"], max_templates, f"top {max_templates} by baseline count")

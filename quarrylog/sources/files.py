@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import human_bytes, rstrip
@@ -20,6 +21,10 @@ MAX_FILE_MB = 100
 HEAD = 65_536
 ARRAY_PROBE = 4096
 SAMPLED = 5
+#: Files that the driver has open at once.
+OPEN_AT_ONCE = 32
+#: Rows of files or splits, of some hundred bytes each, that are sent to every task.
+FEW = 50_000
 
 
 @dataclass(frozen=True)
@@ -124,22 +129,18 @@ _formats: dict[tuple[str, datetime, int], str] = {}
 
 
 def formats(spark: SparkSession, files: Sequence[LogFile]) -> dict[str, str]:
-    """The format of each file by name, remembered by path, time and size."""
-    out = {}
-    for f in files:
-        key = (f.path, f.modified, f.size)
-        if key not in _formats:
-            _formats[key] = detect_format(head(spark, f.path))
-        out[f.name] = _formats[key]
-    return out
+    """The format of each file by name, remembered by path, time and size; heads of new files are read side by side."""
+    key = lambda f: (f.path, f.modified, f.size)
+    new = [f for f in files if key(f) not in _formats]
+    with ThreadPoolExecutor(OPEN_AT_ONCE) as pool:
+        for f, first in zip(new, pool.map(lambda f: head(spark, f.path), new)):
+            _formats[key(f)] = detect_format(first)
+    return {f.name: _formats[key(f)] for f in files}
 
 
-def per_file(files: Sequence[LogFile], values: dict[str, object], kind: str) -> Column:
-    """A value for each row by its ``file`` column: a literal map, for the handful of files of one query."""
-    if not values:
-        return F.lit(None).cast(kind)
-    pairs = [x for name, v in values.items() for x in (F.lit(name), F.lit(v).cast(kind))]
-    return F.try_element_at(F.create_map(*pairs), F.col("file"))
+def few(table: DataFrame, rows: int) -> DataFrame:
+    """A table of ``rows`` short rows to join with: sent to every task up to FEW of them, beyond that as Spark sees fit."""
+    return F.broadcast(table) if rows <= FEW else table
 
 
 def numbered_lines(spark: SparkSession, files: Sequence[LogFile]) -> DataFrame:
@@ -155,15 +156,13 @@ def numbered_lines(spark: SparkSession, files: Sequence[LogFile]) -> DataFrame:
     raw = spark.read.option("lineSep", "\n").text([f.path for f in files])
     meta = F.col("_metadata")
     raw = raw.select("value", meta["file_name"].alias("file"), meta["file_path"].alias("path"), meta["file_block_start"].alias("start"), F.monotonically_increasing_id().alias("id"))
-    if len(files) == 1 and files[0].size <= 4 * 1024 * 1024:  # one split: places are numbers
-        return raw.select("file", "path", (F.col("id") + 1).alias("line_number"), rstrip(F.col("value")).alias("content"))
     blocks = raw.groupBy("path", "start").agg(F.count("*").alias("n"), F.min("id").alias("first")).collect()
     offset, rows = {}, []
     for b in sorted(blocks, key=lambda b: (b["path"], b["start"])):
         rows.append((b["path"], b["start"], offset.get(b["path"], 0) + 1 - b["first"]))
         offset[b["path"]] = offset.get(b["path"], 0) + b["n"]
     shift = spark.createDataFrame(rows, "path string, start long, shift long")
-    joined = raw.join(F.broadcast(shift) if len(rows) < 100_000 else shift, ["path", "start"])
+    joined = raw.join(few(shift, len(rows)), ["path", "start"])
     return joined.select("file", "path", (F.col("id") + F.col("shift")).alias("line_number"), rstrip(F.col("value")).alias("content"))
 
 

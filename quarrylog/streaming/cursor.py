@@ -11,6 +11,9 @@ from pyspark.sql import SparkSession
 
 VERSION = 2
 SIGNED = 256
+#: Bytes that the driver reads at once, and of a whole file it counts itself.
+CHUNK = 1 << 20
+COUNT_HERE = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -69,21 +72,63 @@ def poll_bytes(file: str, content: bytes, token: str | None) -> Poll:
     return Poll(numbered(content[offset:], number), Cursor.at_end(file, content).encode(), bool(token) and not valid)
 
 
-def poll(spark: SparkSession, file: str, path: str, token: str | None) -> Poll:
-    """As ``poll_bytes``, of a file on any file system: with a valid cursor only the bytes after it are read."""
+@dataclass(frozen=True)
+class Place:
+    """Number of the first line after a cursor, the cursor for the next poll, and whether the old one no longer held."""
+
+    first: int
+    cursor: str
+    reset: bool
+
+
+def _end_of_lines(stream, start: int, size: int) -> int:
+    """Where the last whole line between ``start`` and ``size`` ends, sought from behind; ``start`` if there is none."""
+    end = size
+    while end > start:
+        begin = max(start, end - CHUNK)
+        stream.seek(begin)
+        at = bytes(stream.readNBytes(end - begin)).rfind(b"\n")
+        if at >= 0:
+            return begin + at + 1
+        end = begin
+    return start
+
+
+def _line_ends(stream, start: int, end: int) -> int:
+    n = 0
+    for begin in range(start, end, CHUNK):
+        stream.seek(begin)
+        n += bytes(stream.readNBytes(min(CHUNK, end - begin))).count(b"\n")
+    return n
+
+
+def poll(spark: SparkSession, file: str, path: str, token: str | None) -> Place:
+    """As ``poll_bytes``, of a file on any file system, without its lines.
+
+    With a valid cursor the driver reads what was appended, a chunk at a time;
+    without one it reads the file's end only, and Spark counts the lines of a
+    large file.  A file that grows meanwhile is looked at again.
+    """
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = fs_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    size = fs.getFileStatus(fs_path).getLen()
+    size_now = lambda: fs.getFileStatus(fs_path).getLen()
+    size = size_now()
     stream = fs.open(fs_path)
     try:
         first = bytes(stream.readNBytes(SIGNED))
         seen = Cursor.decode(token) if token else None
         valid = seen is not None and seen.holds(file, size, first)
         offset, before = (seen.offset, seen.lines) if valid else (0, 0)
-        stream.seek(offset)
-        rest = bytes(stream.readNBytes(max(size - offset, 0)))
+        end, n = _end_of_lines(stream, offset, size), None
+        for _ in range(3 if offset == 0 and size > COUNT_HERE else 0):
+            rows = spark.read.option("lineSep", "\n").text(path).count()
+            if size_now() == size:
+                n = rows - (end < size)
+                break
+            size = size_now()
+            end = _end_of_lines(stream, offset, size)
+        lines = before + (n if n is not None else _line_ends(stream, offset, end))
     finally:
         stream.close()
-    end = rest.rfind(b"\n") + 1
-    cursor = Cursor(file, offset + end, before + rest.count(b"\n", 0, end), len(first), zlib.crc32(first))
-    return Poll(numbered(rest, before + 1), cursor.encode(), bool(token) and not valid)
+    cursor = Cursor(file, end, lines, len(first), zlib.crc32(first))
+    return Place(before + 1, cursor.encode(), bool(token) and not valid)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +12,7 @@ from ..functions.severity import Patterns, level_ordinal, line_level
 from ..functions.template import template
 from ..functions.text import rstrip
 from ..functions.timestamps import line_time, source_of
-
-
-def work_dir(spark: SparkSession) -> str:
-    """A fresh folder below the one that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarrylog-stream-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..shared import fresh, remove
 
 
 def read_live(spark: SparkSession, log_dir: str, patterns: Patterns = Patterns()) -> DataFrame:
@@ -64,6 +57,7 @@ def window_counts(spark: SparkSession, sf_dir: str, window: str = "6 hours") ->
     else:
         stream = reader.parquet(path)
     counted = stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type").withWatermark("ts", "1 day").groupBy(F.window("ts", window).alias("w"), F.col("event_type").alias("name")).agg(F.count("*").alias("lines"))
-    base = work_dir(spark)
+    base = fresh(spark, "stream")
     run_available(counted, lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/out"), "complete", f"{base}/state")
+    remove(spark, f"{base}/state")
     return spark.read.parquet(f"{base}/out").select(F.date_format("w.start", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("start"), "name", "lines")

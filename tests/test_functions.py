@@ -1,3 +1,5 @@
+import random
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrylog.functions import entries
 from quarrylog.functions.leaves import any_leaf_contains
 from quarrylog.functions.severity import Patterns, line_level
-from quarrylog.functions.template import template, template_hash
+from quarrylog.functions.template import TOKENS, template, template_hash
 from quarrylog.functions.text import human_bytes, human_span, key_value, literal, rstrip
 from quarrylog.functions.timeargs import around, diff_bounds, duration_seconds, instant, parse_iso
 from quarrylog.functions.timestamps import Declared, compile_strftime, declarations, declared_time, entry_time, iso_text, line_time, source_of
@@ -115,6 +117,28 @@ def test_templates(spark):
     assert len(column(spark, ["x"], template_hash)[0]) == 8
 
 
+def plain_template(line):
+    """One pass from left to right, by the alternative that matched."""
+    names = ("<TS>", "<TS>", "<TS>", "<UUID>", "<IP>", "<HEX>", "<TS>", "<N>")
+    pattern = re.compile("|".join(f"({t})" for t in TOKENS), re.ASCII)
+
+    def stands(m):
+        name = names[m.lastindex - 1]
+        if name == "<HEX>" and not re.search("[xX]", m[0]):
+            return "<N>" if m[0].isdigit() else name if re.search("[0-9]", m[0]) else m[0]
+        return name
+
+    return pattern.sub(stands, line).strip()
+
+
+def test_templates_against_one_pass(spark):
+    rng = random.Random(4)
+    parts = ["2026-03-20T14:00:00.5Z", "2026-03-20 14:00:00", "20/Mar/2026:14:00:00 +0100", "Mar  3 14:00:00", "deadbeef", "deadbeef01", "0xBEEF", "1b4e28ba-2fa1-11d2-883f-0016d3cca427", "10.0.0.1:8080", "192.168.1.300", "14:00:00.25 PM", "3:04:05", "42", "4.5", "x1", "v2.1.0", "Decade", "abcdef", "facade99", "=", ":", "-", ".", " ", " ", "_", "/", "\x01", "\x02", "\x03", "é", "A", "12", "00"]
+    lines = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    got = column(spark, lines, template)
+    assert [(a, b) for a, b in zip(lines, got)] == [(a, plain_template(a)) for a in lines]
+
+
 def test_levels(spark):
     lines = ["INFO Request", "WARN slow", "ERROR x", "FATAL oom", "Timeout on upstream", "information only", "debug x", "[trace] y", "nothing", "deprecated", "PANIC and error"]
     assert column(spark, lines, line_level) == ["info", "warn", "error", "fatal", "warn", None, "debug", "trace", None, "warn", "fatal"]
