@@ -24,7 +24,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -131,37 +131,48 @@ class LogBilinear:
         return sum(self.context[before[:, j]] @ self.position[j] for j in range(CONTEXT))
 
     @staticmethod
-    def _log_softmax(h: np.ndarray, target: np.ndarray, own: np.ndarray) -> np.ndarray:
+    def _log_softmax(h: np.ndarray, target: np.ndarray, own: np.ndarray, shift: bool) -> np.ndarray:
         """``h`` ends in ones, which meet the biases at the end of ``target``."""
         z = h @ target.T
         got = z[np.arange(len(z)), own]
-        reach = np.sqrt(np.einsum("nd,nd->n", h, h).max() * np.einsum("nd,nd->n", target, target).max())
-        top = z.max(axis=1, keepdims=True) if reach > 60 else np.zeros((1, 1), dtype=np.float32)  # exp can't overflow below
-        if reach > 60:
-            z -= top
-        np.exp(z, out=z)
-        return got - top[:, 0] - np.log(z @ np.ones(z.shape[1], dtype=np.float32))
-
-    def log_prob(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Natural log probability of each symbol after its context: of its group, and of it within the group."""
-        own = self.group[symbol]
-        h = np.ones((len(symbol), DIM + 1), dtype=np.float32)
-        h[:, :DIM] = self.predicted(before)
-        out = self._log_softmax(h, np.column_stack([self.group_target, self.group_bias]), own)
+        if not shift:
+            np.exp(z, out=z)
+            return got - np.log(z @ np.ones(z.shape[1], dtype=np.float32))
+        top = z.max(axis=1)
+        np.exp(z - top[:, None], out=z)
+        return got - top - np.log(z @ np.ones(z.shape[1], dtype=np.float32))
+
+    def scorer(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """From (symbols before, symbol) of positions to natural log probabilities: of a symbol's group, and of it within the group."""
+        turned = [self.context @ self.position[j] for j in range(CONTEXT)]
         members = np.argsort(self.group, kind="stable")
         first = np.searchsorted(self.group[members], np.arange(GROUPS + 1))
         place = np.empty(SYMBOLS, dtype=np.int64)
         place[members] = np.arange(SYMBOLS) - first[self.group[members]]
         target = np.column_stack([self.target, self.bias])[members]
-        order = np.argsort(own.astype(np.uint16), kind="stable")
-        cut = np.searchsorted(own[order], np.arange(GROUPS + 1))
-        h, at, inside = h[order], place[symbol[order]], np.empty(len(symbol), dtype=np.float32)
-        for g in range(GROUPS):
-            rows = slice(cut[g], cut[g + 1])
-            if cut[g] < cut[g + 1]:
-                inside[rows] = self._log_softmax(h[rows], target[first[g] : first[g + 1]], at[rows])
-        out[order] += inside
-        return out
+        group_target = np.column_stack([self.group_target, self.group_bias])
+        longest = max(np.einsum("nd,nd->n", q, q).max() for q in (target, group_target))
+
+        def log_prob(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+            own = self.group[symbol]
+            order = np.argsort(own.astype(np.uint16), kind="stable")
+            h = np.ones((len(symbol), DIM + 1), dtype=np.float32)
+            h[:, :DIM] = sum(turned[j][before[order, j]] for j in range(CONTEXT))
+            shift = bool(np.sqrt(np.einsum("nd,nd->n", h, h).max() * longest) > 60)  # else exp can't overflow
+            cut = np.searchsorted(own[order], np.arange(GROUPS + 1))
+            at, got = place[symbol[order]], self._log_softmax(h, group_target, own[order], shift)
+            for g in range(GROUPS):
+                if cut[g] < cut[g + 1]:
+                    rows = slice(cut[g], cut[g + 1])
+                    got[rows] += self._log_softmax(h[rows], target[first[g] : first[g + 1]], at[rows], shift)
+            out = np.empty(len(symbol), dtype=np.float32)
+            out[order] = got
+            return out
+
+        return log_prob
+
+    def log_prob(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        return self.scorer()(before, symbol)
 
 
 class Training:
@@ -224,17 +235,20 @@ class Training:
         self.seen, self.held, self.waiting = self.seen + self.waiting, [], 0
 
 
-def _codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
-    """What ``known`` has for each word; other words are learned as -1 - their class."""
-    got = list(map(known.get, words))
-    if None in got:
-        if len(known) > 900_000:
-            for w in [w for w, c in known.items() if c < 0]:
-                del known[w]
-        for k, c in enumerate(got):
-            if c is None:
-                got[k] = known[words[k]] = -1 - word_class(words[k])
-    return np.array(got, dtype=np.int64)
+class Known(dict):
+    """Numbers of words; any other word is learned as -1 - its class."""
+
+    MOST = 900_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > self.MOST:
+            for w in [w for w, c in self.items() if c < 0]:
+                del self[w]
+        c = self[word] = -1 - word_class(word)
+        return c
+
+    def codes(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
 
 def _symbols(codes: np.ndarray, symbol_of: np.ndarray) -> np.ndarray:
@@ -264,9 +278,9 @@ def _encode(head: list[bytes]):
     """(part, shard, key, body) to (part, shard, key, symbols as two bytes each)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, own = {w: k for k, w in enumerate(head)}, np.arange(max(len(head), 1))
+        known, own = Known((w, k) for k, w in enumerate(head)), np.arange(max(len(head), 1))
         for b in batches:
-            codes = [_symbols(_codes(x.as_py().lower().split(), known), own).astype("<u2").tobytes() for x in b.column(3)]
+            codes = [_symbols(known.codes(x.as_py().lower().split()), own).astype("<u2").tobytes() for x in b.column(3)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(codes, pa.binary())], ["part", "shard", "key", "codes"])
 
     return run
@@ -352,9 +366,9 @@ def train(coded: DataFrame, shards: int, prior: np.ndarray, group: np.ndarray, r
 
 def _score(flat: np.ndarray, group: np.ndarray, head: list[bytes], held, log_total: float, log_end: float, log_mass: np.ndarray, end_known: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = LogBilinear(flat, group)
+        log_prob = LogBilinear(flat, group).scorer()
         common, log_of = held.value
-        known = {w: k for k, w in enumerate(common)}
+        known = Known((w, k) for k, w in enumerate(common))
         symbol_of = np.array([k if k < len(head) else HEAD + word_class(w) for k, w in enumerate(common)] or [END], dtype=np.int64)
         task, index = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
@@ -363,7 +377,7 @@ def _score(flat: np.ndarray, group: np.ndarray, head: list[bytes], held, log_tot
                 n_tokens, n_known, base, extra, words_out, times_out, symbols = [], [], [], [], [], [], []
                 for x in part.column(2):
                     words = x.as_py().lower().split()
-                    codes = _codes(words, known)
+                    codes = known.codes(words)
                     sym = _symbols(codes, symbol_of)
                     rare = [words[k] for k in np.flatnonzero(codes < 0).tolist()]
                     logs = log_of[codes[codes >= 0]]
@@ -379,7 +393,7 @@ def _score(flat: np.ndarray, group: np.ndarray, head: list[bytes], held, log_tot
                     symbols.append(sym)
                 score = np.array(extra)
                 if symbols:
-                    lp = np.concatenate([model.log_prob(*p) for p in positions(symbols, AT_ONCE)]).astype(np.float64)
+                    lp = np.concatenate([log_prob(*p) for p in positions(symbols, AT_ONCE)]).astype(np.float64)
                     score = score + np.add.reduceat(lp, np.cumsum([0, *map(len, symbols[:-1])])) / math.log(10)
                 rid = task + index + np.arange(part.num_rows)
                 index += part.num_rows

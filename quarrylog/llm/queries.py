@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import public_tokenizers
 
 from . import byte_bpe, importance_quality, line_suffix, mixing_flow, nce_lm, pivot_index, quality_forest, simhash_ball, suffix_dedup, toxicity_cnn
-from .common import documents, labels
+from .common import documents, labels, raw_text
 
 
 def op1_pivot_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,9 +58,23 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "log_weight", "gumbel_key", "selected")
 
 
+def training_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op2, op5 and op6 hash, by counts that SQL can check: bytes, words and 4-word shingles of every whole text."""
+    n_words = mixing_flow.word_count(F.col("text"))
+    n_shingles = F.when(n_words > 4, n_words - 3).otherwise(F.least(n_words, F.lit(1)))
+    return documents(spark, sf_dir).select("doc_id", F.length(raw_text()).cast("long").alias("n_bytes"), n_words.alias("n_words"), n_shingles.cast("long").alias("n_shingles"))
+
+
+TRAINING_INPUTS = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT doc_id, text, CAST(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_words FROM d)
+SELECT doc_id, CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, n_words, CASE WHEN n_words > 4 THEN n_words - 3 ELSE least(n_words, 1) END AS n_shingles FROM w
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pivot_near_dedup, op2_simhash_near_dedup, op3_lm_scoring, op4_line_dedup, op5_byte_bpe, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_mixing, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_pivot_near_dedup, op2_simhash_near_dedup, op3_lm_scoring, op4_line_dedup, op5_byte_bpe, op6_suffix_dedup, op7_toxicity, op8_quality_rules, op9_mixing, op10_quality_classifier, training_inputs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": line_suffix.ORACLE, "op9_mixing": mixing_flow.ORACLE}
+    return {"op4_line_dedup": line_suffix.ORACLE, "op9_mixing": mixing_flow.ORACLE, "training_inputs": TRAINING_INPUTS}

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, group_starts, local_components, materialize, raw_text, small_batches, whole_groups
+from .common import components, drop, group_starts, local_components, materialize, raw_text, small_batches, whole_groups
 
 BITS = 64
 #: Fingerprints of each text in the near-dedup stage, each with other hashes: pairs within the distance in any of them are candidates.
@@ -268,6 +268,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     prints = materialize(fingerprints(docs, shingle), "fingerprints")
     links = materialize(link_fingerprints(prints, distance), "links")
     groups = components(links)
+    drop(links)
     lowest = prints.groupBy("fp").agg(F.min("doc_id").alias("low"))
     named = materialize(lowest.join(groups.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"), "low"), "groups")
     ids = named.groupBy("root").agg(F.min("low").alias("component_id"))
@@ -323,8 +324,9 @@ def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 5, similarity
     of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
     rest = close.join(star, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
     rest = rest.where(F.coalesce(F.col("in_a") != F.col("in_b"), F.lit(True))).select("a", "b")
-    groups = components(near.unionByName(verified(rest))).withColumnRenamed("node", "__row")
+    second = verified(rest)
+    groups = components(near.unionByName(second)).withColumnRenamed("node", "__row")
     first = leads.join(groups, "__row").groupBy("component").agg(F.min(place).alias("l")).select("component", F.col("l.row").alias("kept"))
     gone = groups.join(first, "component").where("__row != kept").select("__row")
-    kept = materialize(leads.select("__row").join(gone, "__row", "left_anti"), "kept", [])
+    kept = materialize(leads.select("__row").join(gone, "__row", "left_anti"), "kept", [leads, sets, close, star, near, second])
     return rows.join(kept, "__row", "left_semi").select(docs.columns)
