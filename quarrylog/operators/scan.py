@@ -127,22 +127,27 @@ def tail(lines: DataFrame, limit: int = 50, since: datetime | None = None) -> Re
     return Result(rows, facts)
 
 
-def stats(lines: DataFrame) -> DataFrame:
-    """By file: line_count (of entries in JSON files), counts by highest level, and how many of the first rows have a timestamp."""
+def _ends(lines: DataFrame, most: int, options: LineOptions, last: bool = False) -> DataFrame:
+    """The first or last ``most`` lines of each file; only they are enriched."""
+    w = Window.partitionBy("file").orderBy(F.desc("line_number") if last else "line_number")
+    return enrich(lines.select(*RAW).withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= most).drop("__n"), options)
+
+
+def stats(lines: DataFrame, options: LineOptions = LineOptions()) -> DataFrame:
+    """By file: line_count (of entries in JSON files), counts by highest level, and how many of the first rows have a timestamp.
+
+    ``options`` are those that ``lines`` were made with.
+    """
     lines = entries_only(lines)
     counts = lines.groupBy("file").agg(F.count("*").alias("line_count"), *(F.count_if(F.col("level") == ordinal(x)).alias(f"{x}_count") for x in ("error", "warn", "fatal")))
-    first = lines.withColumn("__n", F.row_number().over(Window.partitionBy("file").orderBy("line_number"))).where(F.col("__n") <= RATIO_ROWS)
-    ratio = first.groupBy("file").agg(F.count("*").alias("ts_sample_size"), F.round(F.count_if(F.col("ts").isNotNull()) / F.count("*"), 3).alias("ts_parse_ratio"))
+    ratio = _ends(lines, RATIO_ROWS, options).groupBy("file").agg(F.count("*").alias("ts_sample_size"), F.round(F.count_if(F.col("ts").isNotNull()) / F.count("*"), 3).alias("ts_parse_ratio"))
     return counts.join(ratio, "file")
 
 
-def time_range(lines: DataFrame, ends: int = 10) -> DataFrame:
+def time_range(lines: DataFrame, ends: int = 10, options: LineOptions = LineOptions()) -> DataFrame:
     """By file: earliest and latest among the first and last ``ends`` distinct lines, the span, line_count and the parse ratio of the sample."""
     lines = entries_only(lines)
-    w = Window.partitionBy("file")
-    first = lines.withColumn("__n", F.row_number().over(w.orderBy("line_number"))).where(F.col("__n") <= ends).drop("__n")
-    last = lines.withColumn("__n", F.row_number().over(w.orderBy(F.desc("line_number")))).where(F.col("__n") <= ends).drop("__n")
-    sample = first.unionByName(last).groupBy("file", "content").agg(F.min("ts").alias("ts"))
+    sample = _ends(lines, ends, options).unionByName(_ends(lines, ends, options, last=True)).groupBy("file", "content").agg(F.min("ts").alias("ts"))
     got = sample.groupBy("file").agg(F.min("ts").alias("earliest"), F.max("ts").alias("latest"), F.count("*").alias("ts_sample_size"), F.round(F.count_if(F.col("ts").isNotNull()) / F.count("*"), 3).alias("ts_parse_ratio"))
     counts = lines.groupBy("file").agg(F.count("*").alias("line_count"))
     span = human_span((F.unix_micros("latest") - F.unix_micros("earliest")) / 1_000_000)

@@ -93,13 +93,13 @@ class Tools:
         f = resolve(self.spark, self.log_dir, file)
         lines = self._any_size(file)
         data = {"file": file, "path": f.path, "size_bytes": f.size, "line_count": 0, "error_count": 0, "warn_count": 0, "fatal_count": 0, "ts_sample_size": 0, "ts_parse_ratio": None}
-        data |= fact(scan.stats(lines))
+        data |= fact(scan.stats(lines, self._options()))
         data |= {"size_human": fact(listing(self.spark, self.log_dir).where(F.col("name") == file).select("size_human"))["size_human"], "modified": iso(f.modified)}
         return data, to_json(data)
 
     def time_range(self, file: str) -> tuple[dict, str]:
         data = {"file": file, "line_count": 0, "earliest": None, "latest": None, "span": None, "ts_sample_size": 0, "ts_parse_ratio": None}
-        data |= fact(scan.time_range(self._any_size(file)))
+        data |= fact(scan.time_range(self._any_size(file), options=self._options()))
         return data, to_json(data)
 
     def tail_log(self, file: str, lines: int = 50, since: str | None = None, cursor: str | None = None, format: str | None = None) -> tuple[dict, str]:

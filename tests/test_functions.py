@@ -1,3 +1,4 @@
+import json
 import random
 import re
 from datetime import datetime, timezone
@@ -174,6 +175,26 @@ def test_leaves(spark):
     assert column(spark, rows, lambda c: any_leaf_contains(F.try_parse_json(c), 'y "x')) == [True, False, False, False]
 
 
+def test_leaves_with_awkward_strings(spark):
+    """Against a walk over the decoded entries: quotes, backslashes, colons and commas in keys and values, at any depth."""
+    rng = random.Random(6)
+    pieces = ['"', "\\", ":", ",", "a", "é", "\n", "{", "}", " ", "x:y", '","']
+
+    def made(depth):
+        text = lambda: "".join(rng.choice(pieces) for _ in range(rng.randrange(4)))
+        kind = rng.randrange(5 if depth else 2)
+        return text() if kind < 2 else rng.choice([1, 2.5, True, None]) if kind == 2 else {text(): made(depth - 1) for _ in range(3)} if kind == 3 else [made(depth - 1) for _ in range(3)]
+
+    def leaves(x):
+        return [x] if isinstance(x, str) else [y for z in (x.values() if isinstance(x, dict) else x if isinstance(x, list) else ()) for y in leaves(z)]
+
+    entries_ = [{str(k): made(3) for k in range(3)} for _ in range(300)]
+    rows = [json.dumps(x, ensure_ascii=rng.random() < 0.5) for x in entries_]
+    for wanted in ('"', "\\", "a", ':"', "é,", '\\"', "x:y", "\n", '","', "0"):
+        want = [any(wanted in y for y in leaves(x)) for x in entries_]
+        assert column(spark, rows, lambda c: any_leaf_contains(F.try_parse_json(c), wanted)) == want, wanted  # noqa: B023
+
+
 def test_text(spark):
     assert column(spark, ["a=1, b", "x a: v;", "none"], lambda c: key_value(c, "a")) == ["1", "v", None]
     assert column(spark, ["x \t\r", " y "], rstrip) == ["x", " y"]
