@@ -10,7 +10,6 @@ meet, which moves about a thirtieth of the rows and loses none.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
@@ -21,15 +20,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, drop, group_starts, local_components, materialize, raw_text, small_batches, whole_groups
+from .common import components, drop, free, group_starts, local_components, materialize, raw_text, small_batches, whole_groups
 
 BITS = 64
 #: Fingerprints of each text in the near-dedup stage, each with other hashes: pairs within the distance in any of them are candidates.
 PRINTS = 8
-#: Longs of a text's shingle sketch.
-SKETCH = 4
-#: Variants unfolded at once in one task.
-AT_ONCE = 1 << 21
+#: Variants unfolded at once in one task, and fingerprints for each prefix of variants: with fewer a fingerprint is sent more often.
+AT_ONCE = 1 << 20
+CROWD = 512
+#: Shingles of the texts in a block, about: larger crowds are compared in pairs of blocks.
+MASS = 100_000
+#: Cells of the matrices that are multiplied at once.
+CELLS = 1 << 22
 
 
 def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
@@ -82,33 +84,20 @@ def word_prints(n: int, seed: int = 42) -> Callable[[Column], Column]:
 
 
 def shingle_sets(shingle: int, seed: int = 42) -> Callable[[Column], Column]:
-    """Hashes of the distinct word shingles of a column of bytes (of fewer words the whole sequence), and their sketch."""
+    """Hashes of the distinct word shingles of a column of bytes, of fewer words of the whole sequence."""
 
     def one(text: bytes) -> np.ndarray:
         w = text.lower().split()
         grams = {b" ".join(w[k : k + shingle]) for k in range(max(1, len(w) - shingle + 1))}
-        return np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(g, seed) for g in grams], dtype=np.uint64).view(np.int64)
 
-    @F.arrow_udf("struct<s: array<long>, sketch: array<long>>")
+    @F.arrow_udf("array<long>")
     def run(text: pa.Array) -> pa.Array:
-        got = [one(x.as_py()) for x in text]
-        sets = pa.array([g.view(np.int64) for g in got], pa.list_(pa.int64()))
-        return pa.StructArray.from_arrays([sets, pa.array([_prints_of(g, SKETCH) for g in got], pa.list_(pa.int64()))], ["s", "sketch"])
+        return pa.array([one(x.as_py()) for x in text], pa.list_(pa.int64()))
 
     return run
 
 
-def sketch_limit(similarity: float) -> int:
-    """Differing bits of two sketches above which sets don't reach ``similarity``.
-
-    Each bit differs by the angle of the sets, by up to a quarter more in small
-    sets whose majorities tie; the limit is six standard deviations above that.
-    """
-    p = 1.25 * math.acos(2 * similarity / (1 + similarity)) / math.pi
-    n = SKETCH * BITS
-    return math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p)))
-
-
 def _fingerprints(shingle: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -128,43 +117,19 @@ def _spread(prefix: int, radius: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = flips(range(BITS - prefix, BITS), radius)
-        left = np.array([radius - int(m).bit_count() for m in head], dtype=np.int32)
+        left = np.array([radius - int(m).bit_count() for m in head], dtype=np.int8)
         for b in batches:
             fp = b.column(0).to_numpy().view(np.uint64)
             for k in range(0, len(fp), 20_000):
                 part = fp[k : k + 20_000]
-                at = ((part[:, None] ^ head[None, :]) >> np.uint64(BITS - prefix)).astype(np.int64)
+                at = ((part[:, None] ^ head[None, :]) >> np.uint64(BITS - prefix)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(np.tile(left, len(part))), pa.array(np.repeat(part, len(head)).view(np.int64))], ["at", "left", "fp"])
 
     return run
 
 
-def _collide(prefix: int, radius: int, compress: bool):
-    """Unfold the variants of each prefix, and bring the owners of equal ones together.
-
-    ``compress`` leaves one link for each fingerprint of a batch, to its
-    component there.  Without it every pair is given, once: at the variant that
-    takes its lowest ``radius`` differing bits from the larger fingerprint.
-    """
-
-    def every(spot: np.ndarray, own: np.ndarray, twice: np.ndarray, fp: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        order = np.argsort(spot, kind="stable")
-        spot, own = spot[order], own[order]
-        end = np.searchsorted(spot, spot, side="right")
-        for c in range(0, len(own), AT_ONCE):
-            left, step = np.arange(c, min(c + AT_ONCE, len(own))), 1
-            while len(left := left[left + step < end[left]]):
-                x, y = fp[own[left]], fp[own[left + step]]
-                lower, rest = np.minimum(x, y), x ^ y
-                for _ in range(radius):
-                    bit = rest & (~rest + np.uint64(1))
-                    lower, rest = lower ^ bit, rest ^ bit
-                here = lower == twice[spot[left]]
-                yield x[here], y[here]
-                step += 1
-
-    def record(pairs: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+def _collide(prefix: int, radius: int):
+    """Unfold the variants of each prefix, and link the owners of equal ones: one link for each fingerprint, to its component in the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = [flips(range(BITS - prefix), k) for k in range(radius + 1)]
@@ -173,7 +138,7 @@ def _collide(prefix: int, radius: int, compress: bool):
             tail_bits = np.uint64(BITS - prefix)
             flipped = (at.astype(np.uint64) << tail_bits) | (fp & ((np.uint64(1) << tail_bits) - np.uint64(1)))
             starts = np.append(group_starts(at), len(at))
-            a, b, held, waiting = [], [], [], 0
+            a, b = [], []
             for s, e in zip(starts[:-1], starts[1:]):
                 if e - s < 2:
                     continue
@@ -201,14 +166,6 @@ def _collide(prefix: int, radius: int, compress: bool):
                     spot = np.minimum(np.searchsorted(twice, v), len(twice) - 1)
                     hit = twice[spot] == v
                     spot, own = spot[hit], own[hit]
-                    if not compress:
-                        for x, y in every(spot, own, twice, fp):
-                            held.append(np.column_stack([x, y]).view(np.int64))
-                            waiting += len(x)
-                            if waiting >= AT_ONCE:
-                                yield record(np.concatenate(held))
-                                held, waiting = [], 0
-                        continue
                     low = np.full(len(twice), np.iinfo(np.int64).max)
                     np.minimum.at(low, spot, own)
                     other = low[spot]
@@ -220,10 +177,58 @@ def _collide(prefix: int, radius: int, compress: bool):
                 j = np.concatenate(b)
                 root = local_components(len(fp), i, j)
                 i = np.unique(np.concatenate([i, j]))
-                j = root[i]
-                yield record(np.unique(np.column_stack([fp[i], fp[j]]).view(np.int64), axis=0))
-            if waiting:
-                yield record(np.concatenate(held))
+                pairs = np.unique(np.column_stack([fp[i], fp[root[i]]]).view(np.int64), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+
+    return run
+
+
+def shared(sets: list[np.ndarray], one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many members each set ``one`` has in common with each set ``two``: a product of 0/1 matrices, some columns at a time."""
+    rows = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rows, column = rows[count[column] > 1], column[count[column] > 1]  # what one set has alone is in common with none
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    column = np.cumsum(np.append(False, column[1:] != column[:-1])) if len(column) else column
+    out = np.zeros((len(one), len(two)), dtype=np.float32)
+    width = max(1, CELLS // len(sets))
+    for k in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        s, e = np.searchsorted(column, [k, k + width])
+        m = np.zeros((len(sets), min(width, int(column[-1]) + 1 - k)), dtype=np.float32)
+        m[rows[s:e], column[s:e] - k] = 1
+        out += m[one] @ m[two].T
+    return out
+
+
+def _verify(similarity: float):
+    """Links of the texts of each block, or of one block with another, that share ``similarity`` of their shingles: each to its component there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, ["crowd", "block"], 1):
+            row, half = t.column("row").to_numpy(), t.column("half").to_numpy()
+            starts = np.append(group_starts(t.column("crowd").to_numpy(), t.column("block").to_numpy()), len(row))
+            lists = t.column("s").combine_chunks()
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            a, b = [], []
+            for s, e in zip(starts[:-1], starts[1:]):
+                if e - s < 2:
+                    continue
+                sets = [values[ends[k] : ends[k + 1]] for k in range(s, e)]
+                size = np.array([len(x) for x in sets])
+                within = bool((half[s:e] == 2).any())
+                one, two = (np.arange(e - s),) * 2 if within else (np.flatnonzero(half[s:e] == 0), np.flatnonzero(half[s:e] == 1))
+                if not len(one) or not len(two):
+                    continue
+                common = shared(sets, one, two)
+                good = common >= similarity * (size[one][:, None] + size[two][None, :] - common)
+                x, y = np.nonzero(np.triu(good, 1) if within else good)
+                a.append(one[x] + s)
+                b.append(two[y] + s)
+            if a and len(i := np.concatenate(a)):
+                root = local_components(len(row), i, np.concatenate(b))
+                i = np.flatnonzero(root != np.arange(len(row)))
+                yield pa.RecordBatch.from_arrays([pa.array(row[i]), pa.array(row[root[i]])], ["a", "b"])
 
     return run
 
@@ -234,23 +239,22 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return docs.select("doc_id", raw_text()).mapInArrow(_fingerprints(shingle, seed), f"doc_id {kind}, fp long")
 
 
-def link_fingerprints(prints: DataFrame, distance: int = 4, compress: bool = True) -> DataFrame:
+def link_fingerprints(prints: DataFrame, distance: int = 4) -> DataFrame:
     """Links (a, b) among the distinct values of ``prints.fp`` that connect all at ``distance`` or fewer differing bits.
 
     ``distance`` is even.  Fingerprints that collide are joined to one of their
-    number, so the links have the components of all pairs without listing them;
-    without ``compress`` all pairs are listed, each once.
+    number, so the links have the components of all pairs without listing them.
     """
     radius = distance // 2
     if distance != 2 * radius or radius < 1:
         raise ValueError("the distance is twice the radius of the balls, which is one bit at least")
     distinct = materialize(prints.select("fp").distinct(), "prints")
     n = distinct.count()
-    prefix = int(np.clip(np.ceil(np.log2(max(n, 1) / 64)), 8, 26))
+    prefix = int(np.clip(np.ceil(np.log2(max(n, 1) / CROWD)), 8, 26))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Dealt out first: the table of fingerprints has few splits, and each fingerprint makes hundreds of rows.
-    spread = distinct.repartition(parts).mapInArrow(_spread(prefix, radius), "at long, left int, fp long")
-    return spread.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_collide(prefix, radius, compress), "a long, b long")
+    # Dealt out first: the table of fingerprints has few splits, and each fingerprint makes dozens of rows.
+    spread = distinct.repartition(parts).mapInArrow(_spread(prefix, radius), "at int, left tinyint, fp long")
+    return spread.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_collide(prefix, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
@@ -276,57 +280,56 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) that connect all texts of a crowd that share ``similarity`` of their shingles; ``sets`` has row, crowd and s.
+
+    Crowds of more than MASS shingles go out as pairs of blocks; a text meets
+    each block of its crowd in one group, and no pair leaves the tasks.
+    """
+    blocks = sets.groupBy("crowd").agg(F.ceil(F.sum(F.size("s")) / MASS).cast("int").alias("blocks")).where("blocks > 1")
+    d = sets.join(blocks, "crowd", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    d = d.withColumn("own", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    half = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    d = d.select("crowd", (F.least("own", "other").cast("long") * F.col("blocks") + F.greatest("own", "other")).alias("block"), half.alias("half"), "row", "s")
+    parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return d.repartition(parts, "crowd", "block").sortWithinPartitions("crowd", "block").mapInArrow(_verify(similarity), "a long, b long")
+
+
 def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id (null last), of repeated ids any one.
 
     Texts are brought together by PRINTS fingerprints over their distinct words,
-    which change less under edits than those over shingles.  Unlike texts that
-    are within ``distance`` bits in any of them are verified: they share at
-    least ``similarity`` of their distinct ``shingle``-word shingles.  Sizes and
-    sketches settle most of the others without their shingles.  First each text
-    is compared with its smallest partner, then all pairs that this has left in
-    unlike groups.  Equal texts, null and empty among them, are one from the
-    start.  An empty table gives an empty result.
+    which change less under edits than those over shingles: unlike texts within
+    ``distance`` bits in any of them, and what these connect, are a crowd.  In a
+    crowd all texts are compared, in blocks: a link are two that share at least
+    ``similarity`` of their distinct ``shingle``-word shingles.  Equal texts,
+    null and empty among them, are one from the start.  An empty table gives an
+    empty result.
     """
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    made = {"__prints": word_prints(PRINTS)(raw_text()), "__same": F.xxhash64(text, F.length(text)), "__row": F.monotonically_increasing_id()}
-    rows = materialize(docs.withColumns(made), "fingerprints", [])
+    own = {c: free(c, docs.columns) for c in ("__prints", "__same", "__row")}
+    made = {own["__prints"]: word_prints(PRINTS)(raw_text()), own["__same"]: F.xxhash64(text, F.length(text)), own["__row"]: F.monotonically_increasing_id()}
+    rows = materialize(docs.withColumns(made), "fingerprints")
+    known = rows.select("doc_id", "text", *[F.col(v).alias(k) for k, v in own.items()])
     place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("__row").alias("row"))
-    lead = rows.groupBy(F.col("__prints")[0], "__same").agg(F.min(place).alias("l")).select(F.col("l.row").alias("__row"))
-    leads = materialize(rows.select("__row", "doc_id", "__prints").join(lead, "__row", "left_semi"), "leads", [])
-    found = []
+    lead = known.groupBy(F.col("__prints")[0], "__same").agg(F.min(place).alias("l")).select(F.col("l.row").alias("__row"))
+    leads = materialize(known.select("__row", "doc_id", "__prints").join(lead, "__row", "left_semi"), "leads")
+    met = []
     for k in range(PRINTS):
         ends = leads.select("__row", F.col("__prints")[k].alias("fp"))
-        one = lambda c: ends.select(F.col("fp").alias(c), F.col("__row").alias(f"row_{c}"))  # noqa: B023, E731
-        met = link_fingerprints(ends, distance, compress=False).join(one("a"), "a").join(one("b"), "b").select("row_a", "row_b")
-        alike = one("fp").join(ends, "fp").where("row_fp < __row").select(F.col("row_fp").alias("row_a"), F.col("__row").alias("row_b"))
-        pairs = met.unionByName(alike).select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
-        found.append(materialize(pairs, "pairs", []))
-    pairs = materialize(reduce(DataFrame.unionByName, found).distinct(), "pairs", found)
-    wanted = pairs.select(F.col("a").alias("__row")).unionByName(pairs.select(F.col("b").alias("__row"))).distinct()
-    shingles = rows.select("__row", "text").join(wanted, "__row").select("__row", shingle_sets(shingle)(raw_text()).alias("x"))
-    sets = materialize(shingles.select("__row", "x.s", F.size("x.s").alias("n"), "x.sketch"), "shingles", [])
-    side = lambda c, *what: sets.select(F.col("__row").alias(c), *[F.col(w).alias(f"{w}_{c}") for w in what])
-    unlike = sum(F.bit_count(F.col("sketch_a")[k].bitwiseXOR(F.col("sketch_b")[k])) for k in range(SKETCH))
-    sized = F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")
-    close = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").where(sized & (unlike <= sketch_limit(similarity)))
-    close = materialize(close.select("a", "b"), "pairs", [pairs])
-
-    def verified(asked: DataFrame) -> DataFrame:
-        both = asked.join(side("a", "s"), "a").join(side("b", "s"), "b").withColumn("common", F.size(F.array_intersect("s_a", "s_b")))
-        near = both.where(F.col("common") >= similarity * (F.size("s_a") + F.size("s_b") - F.col("common")))
-        return materialize(near.select("a", "b"), "near", [])
-
-    star = materialize(close.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    near = verified(star)
-    group = components(near)
-    of = lambda c: group.select(F.col("node").alias(c), F.col("component").alias(f"in_{c}"))
-    rest = close.join(star, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
-    rest = rest.where(F.coalesce(F.col("in_a") != F.col("in_b"), F.lit(True))).select("a", "b")
-    second = verified(rest)
-    groups = components(near.unionByName(second)).withColumnRenamed("node", "__row")
+        first = materialize(ends.groupBy("fp").agg(F.min("__row").alias("row")), "firsts")  # a row stands for its fingerprint
+        links = link_fingerprints(ends, distance).join(first.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b")
+        alike = ends.join(first, "fp").select(F.col("__row").alias("x"), F.col("row").alias("y"))
+        met.append(materialize(links.select("x", "y").unionByName(alike).where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")), "met", [first]))
+    crowds = components(reduce(DataFrame.unionByName, met)).select(F.col("node").alias("row"), F.col("component").alias("crowd"))
+    drop(*met)
+    sets = known.select(F.col("__row").alias("row"), "text").join(crowds, "row").select("row", "crowd", shingle_sets(shingle)(raw_text()).alias("s"))
+    sets = materialize(sets, "shingles")
+    near = materialize(verified_links(sets, similarity), "near", [sets])
+    groups = components(near).withColumnRenamed("node", "__row")
     first = leads.join(groups, "__row").groupBy("component").agg(F.min(place).alias("l")).select("component", F.col("l.row").alias("kept"))
     gone = groups.join(first, "component").where("__row != kept").select("__row")
-    kept = materialize(leads.select("__row").join(gone, "__row", "left_anti"), "kept", [leads, sets, close, star, near, second])
-    return rows.join(kept, "__row", "left_semi").select(docs.columns)
+    kept = leads.select("__row").join(gone, "__row", "left_anti").withColumnRenamed("__row", own["__row"])
+    kept = materialize(kept, "kept", [leads, near])
+    return rows.join(kept, own["__row"], "left_semi").select(docs.columns)

@@ -125,14 +125,24 @@ def test_recall_of_near_copies_at_the_threshold(spark):
     assert want <= got and len(got - want) <= 0.02 * (len(texts) - len(want))
 
 
-def test_all_pairs_within_the_distance(spark):
+def test_crowds_are_compared_whole(spark, monkeypatch):
+    """Links of crowds in one block and in many connect what all pairs connect."""
     rng = np.random.default_rng(13)
-    values = [int(x) ^ sum(1 << int(b) for b in rng.choice(64, d, replace=False)) for x in rng.integers(0, 1 << 63, 8) for d in (0, 1, 1, 2, 2, 3, 4, 5)]
-    signed = [(int(np.uint64(v).astype(np.int64)),) for v in values]
-    got = [frozenset(r) for r in simhash_ball.link_fingerprints(spark.createDataFrame(signed, "fp long"), compress=False).collect()]
-    distinct = sorted(set(values))
-    want = {frozenset(int(np.uint64(v).astype(np.int64)) for v in (a, b)) for k, a in enumerate(distinct) for b in distinct[:k] if (a ^ b).bit_count() <= 4}
-    assert len(got) == len(set(got)) and set(got) == want
+    base = [rng.integers(0, 1 << 60, 50) for _ in range(6)]
+    rows = [(k, int(k % 3), sorted({int(x) for x in rng.permutation(base[k % 6])[: rng.integers(40, 51)]} | {int(x) for x in rng.integers(0, 1 << 60, rng.integers(0, 5))})) for k in range(160)]
+    rows += [(500, 9, [1]), (501, 9, [1]), (502, 9, []), (503, 8, [2, 3])]
+    want = {frozenset((x[0], y[0])) for k, x in enumerate(rows) for y in rows[:k] if x[1] == y[1] and len(set(x[2]) & set(y[2])) >= 0.8 * len(set(x[2]) | set(y[2])) and (x[2] or y[2])}
+    groups = {}
+    for a, b in map(tuple, want):
+        merged = groups.get(a, {a}) | groups.get(b, {b})
+        groups |= {x: merged for x in merged}
+    assert len(want) > 300
+    for mass in (100_000, 700):
+        monkeypatch.setattr(simhash_ball, "MASS", mass)
+        monkeypatch.setattr(simhash_ball, "CELLS", 2000)
+        links = simhash_ball.verified_links(spark.createDataFrame(rows, "row long, crowd long, s array<long>"), 0.8)
+        got = {r.node: r.component for r in components(links).collect()}
+        assert got == {x: min(g) for x, g in groups.items()}
 
 
 def test_balls_meet_exactly_within_the_distance(spark):
