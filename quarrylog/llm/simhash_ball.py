@@ -27,7 +27,7 @@ BITS = 64
 PRINTS = 8
 #: Variants unfolded at once in one task, and fingerprints for each prefix of variants: with fewer a fingerprint is sent more often.
 AT_ONCE = 1 << 20
-CROWD = 512
+CROWD = 1024
 #: Shingles of the texts in a block, about: larger crowds are compared in pairs of blocks.
 MASS = 100_000
 #: Cells of the matrices that are multiplied at once.
@@ -112,18 +112,15 @@ def flips(bits: range, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(bits, k)], dtype=np.uint64)
 
 
-def _spread(prefix: int, radius: int):
-    """(fingerprint) to (prefix of a variant, flips left, fingerprint)."""
+def _spread(ways: int):
+    """A row for each fingerprint and each of ``ways`` masks of its leading bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = flips(range(BITS - prefix, BITS), radius)
-        left = np.array([radius - int(m).bit_count() for m in head], dtype=np.int8)
         for b in batches:
-            fp = b.column(0).to_numpy().view(np.uint64)
+            fp = b.column(0).to_numpy()
             for k in range(0, len(fp), 20_000):
                 part = fp[k : k + 20_000]
-                at = ((part[:, None] ^ head[None, :]) >> np.uint64(BITS - prefix)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(at.ravel()), pa.array(np.tile(left, len(part))), pa.array(np.repeat(part, len(head)).view(np.int64))], ["at", "left", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(ways, dtype=np.int16), len(part))), pa.array(np.repeat(part, ways))], ["mask", "fp"])
 
     return run
 
@@ -133,8 +130,9 @@ def _collide(prefix: int, radius: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = [flips(range(BITS - prefix), k) for k in range(radius + 1)]
+        spare = np.array([radius - int(m).bit_count() for m in flips(range(BITS - prefix, BITS), radius)])
         for t in whole_groups(batches, ["at"], 1):
-            at, left, fp = t.column("at").to_numpy(), t.column("left").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+            at, left, fp = t.column("at").to_numpy(), spare[t.column("mask").to_numpy()], t.column("fp").to_numpy().view(np.uint64)
             tail_bits = np.uint64(BITS - prefix)
             flipped = (at.astype(np.uint64) << tail_bits) | (fp & ((np.uint64(1) << tail_bits) - np.uint64(1)))
             starts = np.append(group_starts(at), len(at))
@@ -177,7 +175,9 @@ def _collide(prefix: int, radius: int):
                 j = np.concatenate(b)
                 root = local_components(len(fp), i, j)
                 i = np.unique(np.concatenate([i, j]))
-                pairs = np.unique(np.column_stack([fp[i], fp[root[i]]]).view(np.int64), axis=0)
+                least = np.full(len(fp), np.iinfo(np.uint64).max, dtype=np.uint64)
+                np.minimum.at(least, root[i], fp[i])  # the same one for a component, wherever most of it meets
+                pairs = np.unique(np.column_stack([fp[i], least[root[i]]]).view(np.int64), axis=0)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
     return run
@@ -252,9 +252,13 @@ def link_fingerprints(prints: DataFrame, distance: int = 4) -> DataFrame:
     n = distinct.count()
     prefix = int(np.clip(np.ceil(np.log2(max(n, 1) / CROWD)), 8, 26))
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    masks = flips(range(BITS - prefix, BITS), radius).view(np.int64).tolist()
+    # The leading bits of a variant say where it goes, but don't travel: they follow from the fingerprint and the mask.
+    mask = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("mask").cast("int") + 1)
+    at = F.shiftrightunsigned(F.col("fp").bitwiseXOR(mask), BITS - prefix)
     # Dealt out first: the table of fingerprints has few splits, and each fingerprint makes dozens of rows.
-    spread = distinct.repartition(parts).mapInArrow(_spread(prefix, radius), "at int, left tinyint, fp long")
-    return spread.repartition(parts, "at").sortWithinPartitions("at").mapInArrow(_collide(prefix, radius), "a long, b long")
+    spread = distinct.repartition(parts).mapInArrow(_spread(len(masks)), "mask smallint, fp long")
+    return spread.repartition(parts, at).withColumn("at", at).sortWithinPartitions("at").mapInArrow(_collide(prefix, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
@@ -319,7 +323,7 @@ def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 5, similarity
     for k in range(PRINTS):
         ends = leads.select("__row", F.col("__prints")[k].alias("fp"))
         first = materialize(ends.groupBy("fp").agg(F.min("__row").alias("row")), "firsts")  # a row stands for its fingerprint
-        links = link_fingerprints(ends, distance).join(first.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b")
+        links = link_fingerprints(ends, distance).distinct().join(first.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b")
         alike = ends.join(first, "fp").select(F.col("__row").alias("x"), F.col("row").alias("y"))
         met.append(materialize(links.select("x", "y").unionByName(alike).where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")), "met", [first]))
     crowds = components(reduce(DataFrame.unionByName, met)).select(F.col("node").alias("row"), F.col("component").alias("crowd"))
