@@ -284,6 +284,15 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Fewer links (a, b) with the same components: of each node one to the smallest it has, and from its others to that one.
+
+    A node has a link for each prefix of its variants, or each print, at most.
+    """
+    stars = links.groupBy("a").agg(F.min("b").alias("low"), F.collect_set("b").alias("others"))
+    return stars.select("a", F.col("low").alias("b")).unionByName(stars.select(F.explode("others").alias("a"), F.col("low").alias("b")).where("a != b")).distinct()
+
+
 def verified_links(sets: DataFrame, similarity: float) -> DataFrame:
     """Links (a, b) that connect all texts of a crowd that share ``similarity`` of their shingles; ``sets`` has row, crowd and s.
 
@@ -323,10 +332,10 @@ def deduplicate(docs: DataFrame, distance: int = 4, shingle: int = 5, similarity
     for k in range(PRINTS):
         ends = leads.select("__row", F.col("__prints")[k].alias("fp"))
         first = materialize(ends.groupBy("fp").agg(F.min("__row").alias("row")), "firsts")  # a row stands for its fingerprint
-        links = link_fingerprints(ends, distance).distinct().join(first.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b")
+        links = contracted(link_fingerprints(ends, distance)).join(first.select(F.col("fp").alias("a"), F.col("row").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("row").alias("y")), "b")
         alike = ends.join(first, "fp").select(F.col("__row").alias("x"), F.col("row").alias("y"))
         met.append(materialize(links.select("x", "y").unionByName(alike).where("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")), "met", [first]))
-    crowds = components(reduce(DataFrame.unionByName, met)).select(F.col("node").alias("row"), F.col("component").alias("crowd"))
+    crowds = components(contracted(reduce(DataFrame.unionByName, met))).select(F.col("node").alias("row"), F.col("component").alias("crowd"))
     drop(*met)
     sets = known.select(F.col("__row").alias("row"), "text").join(crowds, "row").select("row", "crowd", shingle_sets(shingle)(raw_text()).alias("s"))
     sets = materialize(sets, "shingles")

@@ -125,6 +125,13 @@ def test_recall_of_near_copies_at_the_threshold(spark):
     assert want <= got and len(got - want) <= 0.02 * (len(texts) - len(want))
 
 
+def test_contracted_links_connect_the_same(spark):
+    rng = np.random.default_rng(17)
+    links = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 150, (130, 2))], "a long, b long")
+    of = lambda x: sorted(map(tuple, components(x).collect()))
+    assert of(simhash_ball.contracted(links)) == of(links)
+
+
 def test_crowds_are_compared_whole(spark, monkeypatch):
     """Links of crowds in one block and in many connect what all pairs connect."""
     rng = np.random.default_rng(13)
