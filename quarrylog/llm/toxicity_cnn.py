@@ -2,9 +2,11 @@
 
 Words are hashed into an embedding table; filters of several widths slide over
 the embedded text, each keeps its largest response, and a logistic layer
-reads those.  The whole text is scored, however long.  Scores are calibrated
-so that the threshold found on labelled rows is 0.7; thresholds by language
-are calibrated as well and returned beside the score.
+reads those.  The whole text is scored, however long.  All labelled rows teach it,
+with their whole texts: they are dealt into shards that learn on the executors
+and are averaged.  Scores are calibrated so that the threshold found on
+labelled rows is 0.7; thresholds by language are calibrated as well and
+returned beside the score.
 """
 
 from __future__ import annotations
@@ -17,12 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, in_order, remainder, small_batches
-
-#: About how many labelled rows the classifier is fitted and calibrated on; every fifth of them calibrates.
-FIT_ON = 12_000
-#: Windows of a labelled text that are fitted on, at most: what the driver gets is bounded by both.  Scores see all windows.
-FIT_WINDOWS = 16
+from .common import drop, materialize, remainder, small_batches
+
+#: About how many windows of labelled texts learn together, in one task's memory; shards are averaged after each round.
+SHARD = 10_000
+#: Passes over the shards, and epochs of each shard in one of them.
+ROUNDS = 3
+#: Of so many labelled rows one calibrates, the others are fitted on.
+ASIDE = 5
+#: What is learned is averaged in integers of this unit, so that the order of sums doesn't matter.
+UNIT = 2.0**-32
+#: Pieces that the shards' changes are summed in.
+PIECES = 64
+#: Logits are multiples of 1 / GRID within LIMIT, so that all labelled rows fit a histogram.
+GRID = 1024
+LIMIT = 64
 #: Words of a fitted text that one training step sees: the text is cut into windows of this many words.
 WINDOW = 256
 #: A word is embedded as the concatenation of a row of each of three tables: by the hash of the word, of its
@@ -34,7 +45,7 @@ TABLES = 3
 DIM = TABLES * PART
 WIDTHS = (1, 2, 3)
 FILTERS = 12
-EPOCHS = 6
+EPOCHS = 2
 POSITIVE_AT = 0.7
 
 _codes: dict[bytes, int] = {}
@@ -69,14 +80,12 @@ def windows(codes: np.ndarray) -> np.ndarray:
     return np.stack([np.pad(codes[s : s + WINDOW], (0, max(0, WINDOW - len(codes) + s))) for s in range(0, len(codes), step)])
 
 
-def _sampled_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each labelled text up to FIT_WINDOWS windows, evenly spread, their codes as bytes."""
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words' codes of each text as bytes, and how many windows they are, before the other columns."""
     for b in batches:
-        out = []
-        for x in b.column(0):
-            w = windows(word_codes(x.as_py()))
-            out.append((w[np.linspace(0, len(w) - 1, FIT_WINDOWS).astype(int)] if len(w) > FIT_WINDOWS else w).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), *[b.column(k) for k in (1, 2, 3)]], ["codes", "lang", "toxic", "__order"])
+        codes = [word_codes(x.as_py()) for x in b.column(0)]
+        n = [1 if len(c) <= WINDOW else -(-len(c) // (WINDOW - max(WIDTHS) + 1)) for c in codes]
+        yield pa.RecordBatch.from_arrays([pa.array([c.astype("<i8").tobytes() for c in codes], pa.binary()), pa.array(n, pa.int64()), *b.columns[1:]], ["codes", "windows", *b.schema.names[1:]])
 
 
 class TextCNN:
@@ -106,17 +115,30 @@ class TextCNN:
         """(rows, positions, w) views of padded codes."""
         return np.lib.stride_tricks.sliding_window_view(codes, w, axis=1)
 
-    def fit(self, texts: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> None:
-        """Multiple-instance training on the windows of each text: a text is as toxic as its most toxic window."""
+    def flat(self) -> np.ndarray:
+        """All parameters one after another."""
+        return np.concatenate([p.ravel() for p in self.parameters()])
+
+    def fill(self, flat: np.ndarray) -> None:
+        at = 0
+        for p in self.parameters():
+            p[...] = flat[at : at + p.size].reshape(p.shape)
+            at += p.size
+
+    def fit(self, texts: list[np.ndarray], labels: np.ndarray, share: float, fresh: bool = True, seed: list[int] | int = 7) -> None:
+        """Multiple-instance training on the windows of each text: a text is as toxic as its most toxic window.
+
+        ``share`` of all labelled texts is toxic; ``fresh`` parameters have learned nothing yet.
+        """
         rng = np.random.default_rng(seed)
         owner, parts = np.repeat(np.arange(len(texts)), [len(t) for t in texts]), np.concatenate(texts)
         first = np.searchsorted(owner, np.arange(len(texts) + 1))
         m = [np.zeros_like(p) for p in self.parameters()]
         v = [np.zeros_like(p) for p in self.parameters()]
-        step, share = 0, max(labels.mean(), 1e-3)
+        step, share = 0, max(share, 1e-3)
         heavy = np.where(labels > 0, 0.5 / share, 0.5 / max(1 - share, 1e-3)).astype(np.float32)
         for epoch in range(EPOCHS):
-            if epoch == 0:  # before anything is learned any window of a text may be the one
+            if fresh and epoch == 0:  # before anything is learned any window of a text may be the one
                 pick = np.array([rng.integers(first[k], first[k + 1]) for k in range(len(texts))])
             else:
                 s = self.logits_of(parts)
@@ -182,14 +204,15 @@ class TextCNN:
 
     def logit(self, codes: np.ndarray) -> float:
         """The logit of a whole text: its filters' largest responses within each window, and of its windows the largest."""
-        return float(self.logits_of(windows(codes)).max())
+        return float(np.clip(np.rint(float(self.logits_of(windows(codes)).max()) * GRID) / GRID, -LIMIT, LIMIT))
 
 
-def best_cut(logit: np.ndarray, toxic: np.ndarray) -> float:
-    """The cut with the best balanced accuracy, in the middle of the gap it lies in."""
+def best_cut(logit: np.ndarray, toxic: np.ndarray, times: np.ndarray) -> float:
+    """The cut with the best balanced accuracy, in the middle of the gap it lies in; each row stands for ``times`` rows."""
     order = np.argsort(logit, kind="stable")
-    s, t = logit[order], toxic[order]
-    below = np.cumsum(~t) / max((~t).sum(), 1) - np.cumsum(t) / max(t.sum(), 1)
+    s, t = logit[order], np.where(toxic, times, 0)[order]
+    c = np.where(toxic, 0, times)[order]
+    below = np.cumsum(c) / max(c.sum(), 1) - np.cumsum(t) / max(t.sum(), 1)
     below[:-1][s[1:] == s[:-1]] = -np.inf
     k = int(np.argmax(below))
     return float((s[k] + s[min(k + 1, len(s) - 1)]) / 2)
@@ -214,6 +237,73 @@ def _score(model: TextCNN, cut: float, by_language: dict[str, float]):
     return run
 
 
+def _train(flat: np.ndarray, share: float, turn: int):
+    """Train each shard's texts, which come one after another in order; give the sums of what changed, and how many shards changed it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, times, at, texts, marks = np.zeros(len(flat), dtype=np.int64), np.zeros(len(flat), dtype=np.int64), None, [], []
+
+        def finish() -> None:
+            if texts:
+                model = TextCNN()
+                model.fill(flat)
+                model.fit(texts, np.array(marks), share, turn == 0, [7, turn, at])
+                moved = np.rint((model.flat().astype(np.float64) - flat) / UNIT).astype(np.int64)
+                np.add(total, moved, out=total)
+                np.add(times, moved != 0, out=times)
+
+        for b in batches:
+            for shard, toxic, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                if shard != at:
+                    finish()
+                    at, texts, marks = shard, [], []
+                texts.append(windows(np.frombuffer(x.as_py(), dtype="<i8")))
+                marks.append(toxic)
+        finish()
+        if times.any():
+            cut = np.array_split(np.arange(len(flat)), PIECES)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(PIECES, dtype=np.int32)), *(pa.array([v[c[0] : c[-1] + 1].tobytes() for c in cut], pa.binary()) for v in (total, times))], ["piece", "total", "times"])
+
+    return run
+
+
+def _sum(parts: pa.Table) -> pa.Table:
+    """The sums of one piece."""
+    total, times = (sum(np.frombuffer(x.as_py(), dtype=np.int64) for x in parts.column(c)) for c in ("total", "times"))
+    return pa.table({"piece": parts.column("piece").slice(0, 1), "total": pa.array([total.tobytes()], pa.binary()), "times": pa.array([times.tobytes()], pa.binary())})
+
+
+def train(coded: DataFrame, shards: int, share: float) -> TextCNN:
+    """A model of all texts of ``coded(shard, key, toxic, codes)``: what each shard changes is averaged over those that change it, round by round."""
+    model = TextCNN()
+    kind = "piece int, total binary, times binary"
+    for turn in range(ROUNDS):
+        flat = model.flat()
+        dealt = coded.repartition(shards, "shard").sortWithinPartitions("shard", "key").select("shard", "toxic", "codes")
+        moved = materialize(dealt.mapInArrow(_train(flat, share, turn), kind).groupBy("piece").applyInArrow(_sum, kind), "moved")
+        rows = sorted(moved.collect(), key=lambda r: r["piece"])
+        drop(moved)
+        total, times = (np.concatenate([np.frombuffer(r[c], dtype=np.int64) for r in rows]) for c in ("total", "times"))
+        model.fill((flat + total * UNIT / np.maximum(times, 1)).astype(np.float32))
+    return model
+
+
+def _logits(model: TextCNN):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            z = [model.logit(np.frombuffer(x.as_py(), dtype="<i8")) for x in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(z, pa.float64()), b.column(1), b.column(2)], ["z", "toxic", "lang"])
+
+    return run
+
+
+def _cut_of(language: pa.Table) -> pa.Table:
+    """The cut of one language, if it has ten labelled rows of each kind."""
+    z, toxic, n = (language.column(c).to_numpy() for c in ("z", "toxic", "n"))
+    own = min(n[toxic].sum(), n[~toxic].sum()) >= 10
+    return pa.table({"lang": language.column("lang").slice(0, int(own)), "cut": pa.array([best_cut(z, toxic, n)][: int(own)], pa.float64())})
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Score every whole text of ``docs(doc_id, text[, lang])``, learning from ``labels(doc_id, toxic)``.
 
@@ -221,38 +311,39 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     calibration.  Returns doc_id, held_out, score (0 to 1), predicted (1 from
     0.7) and over_language_threshold, the verdict by the threshold calibrated
     for the row's language; lang is no input of the score.  Null and empty texts
-    are scored as texts without words.  About FIT_ON labelled rows are used, drawn
-    by a hash, and of each up to FIT_WINDOWS windows; labels that are null or contradict each other are ignored.
+    are scored as texts without words.  All other labelled rows and all of their
+    windows are used: of ASIDE rows one, by a hash, sets the thresholds, and the
+    others are fitted on.  Labels that are null or contradict each other are ignored.
     Without labels of both kinds every score is 0.  Rows that repeat an id are
-    scored one by one.  An empty table gives an empty result.
+    learned and scored one by one.  An empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    held = (remainder("doc_id", 3) == 1).alias("held_out")
-    marked = labels.where((remainder("doc_id", 3) != 1) & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
-    marked = bounded_sample(marked, FIT_ON, 7, "doc_id")
+    held = remainder("doc_id", 3) == 1
+    marked = labels.where(~held & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most").drop("most")
     lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     body = F.coalesce("text", F.lit("")).cast("binary")
-    # One text for each labelled id, so that repeated ids can't swell what is collected; codes of windows, no texts.
-    drawn = docs.select("doc_id", body.alias("body"), lang.alias("lang")).join(F.broadcast(marked), "doc_id")
-    drawn = drawn.groupBy("doc_id").agg(F.min(F.struct("body", "lang", "toxic", "__order")).alias("r")).select("r.body", "r.lang", F.col("r.toxic").cast("int").alias("toxic"), "r.__order")
-    rows = in_order(drawn.mapInArrow(_sampled_windows, "codes binary, lang string, toxic int, __order long").collect())
+    place = lambda seed: F.xxhash64(F.lit(seed), "doc_id", "body")
+    # Merged whatever the size: the table of labels grows with the documents, and no process has to hold it.
+    drawn = docs.where(~held).select("doc_id", body.alias("body"), lang.alias("lang")).join(marked.hint("merge"), "doc_id")
+    drawn = drawn.select("body", F.coalesce("lang", F.lit("")).alias("lang"), (F.col("toxic") > 0).alias("toxic"), (F.pmod(place(3), F.lit(ASIDE)) == 0).alias("aside"), place(5).alias("deal"), place(7).alias("key"))
+    coded = materialize(drawn.mapInArrow(_encode, "codes binary, windows long, lang string, toxic boolean, aside boolean, deal long, key long"), "coded")
     kind = dict(docs.dtypes)["doc_id"]
-    toxic = np.array([r["toxic"] > 0 for r in rows], dtype=bool)
+    seen = {(r["aside"], r["toxic"]): r for r in coded.groupBy("aside", "toxic").agg(F.count("*").alias("n"), F.sum("windows").alias("w")).collect()}
     model, cut, by_language = TextCNN(), 100.0, {}
-    if len(rows) and toxic.any() and not toxic.all():
-        texts = [np.frombuffer(r["codes"], dtype="<i8").reshape(-1, WINDOW) for r in rows]
-        aside = np.arange(len(rows)) % 5 == 4
-        if not (toxic[aside].any() and not toxic[aside].all() and toxic[~aside].any()):
-            aside = np.ones(len(rows), dtype=bool)  # too few to set any aside
-            learn = aside
-        else:
-            learn = ~aside
-        model.fit([t for t, k in zip(texts, learn) if k], toxic[learn])
-        logit = np.array([model.logits_of(t).max() for t, k in zip(texts, aside) if k])
-        cut = best_cut(logit, toxic[aside])
-        names = np.array([r["lang"] or "" for r in rows])[aside]
-        for name in np.unique(names):
-            own = toxic[aside][names == name]
-            if own.sum() >= 10 and (~own).sum() >= 10:
-                by_language[str(name)] = best_cut(logit[names == name], own)
-    return docs.select("doc_id", held, body.alias("body"), lang.alias("lang")).mapInArrow(_score(model, cut, by_language), f"doc_id {kind}, held_out boolean, score double, predicted int, over_language_threshold boolean")
+    if any(t for _, t in seen) and not all(t for _, t in seen):
+        learn, aside = coded.where("not aside"), coded.where("aside")
+        used = [r for (a, _), r in seen.items() if not a]
+        if not {(True, True), (True, False), (False, True)} <= seen.keys():
+            learn, aside, used = coded, coded, list(seen.values())  # too few to set any aside
+        shards = -(-sum(r["w"] for r in used) // SHARD)
+        share = sum(r["n"] for r in used if r["toxic"]) / sum(r["n"] for r in used)
+        model = train(learn.withColumn("shard", F.pmod("deal", F.lit(shards)).cast("int")), shards, share)
+        found = aside.select("codes", "toxic", "lang").mapInArrow(_logits(model), "z double, toxic boolean, lang string").groupBy("lang", "z", "toxic").agg(F.count("*").alias("n"))
+        found = materialize(found, "logits")
+        times = found.groupBy("z", "toxic").agg(F.sum("n").alias("n")).toPandas()
+        cut = best_cut(times["z"].to_numpy(), times["toxic"].to_numpy(dtype=bool), times["n"].to_numpy())
+        by_language = {r["lang"]: r["cut"] for r in found.groupBy("lang").applyInArrow(_cut_of, "lang string, cut double").collect()}
+        drop(found)
+    drop(coded)
+    scored = docs.select("doc_id", held.alias("held_out"), body.alias("body"), lang.alias("lang"))
+    return scored.mapInArrow(_score(model, cut, by_language), f"doc_id {kind}, held_out boolean, score double, predicted int, over_language_threshold boolean")

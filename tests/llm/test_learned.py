@@ -172,6 +172,21 @@ def test_toxicity(corpus):
     assert all(abs(r.score - got[r.doc_id].score) < 1e-9 for r in other)
 
 
+def test_toxicity_learns_from_all_labelled_rows_and_windows(corpus, monkeypatch):
+    for limit, n in (("FIT_ON", 30), ("FIT_WINDOWS", 1)):  # what samples once were bounded by
+        monkeypatch.setattr(toxicity_cnn, limit, n, raising=False)
+    monkeypatch.setattr(toxicity_cnn, "SHARD", 300, raising=False)  # several shards
+    docs, labels = corpus
+    # Two windows of ordinary words stand before each text: the first window says nothing.
+    late = docs.withColumn("text", F.concat(F.lit("w1 w2 w3 " * 170), "text"))
+    got = {r.doc_id: r for r in toxicity_cnn.score_toxicity(late, labels).collect()}
+    held = {i for i in got if zlib.crc32(str(i).encode()) % 3 == 1}
+    toxic = {i for i in held if i % 9 and i % 4 == 0}
+    assert np.mean([got[i].predicted for i in toxic]) >= 0.9 and np.mean([got[i].predicted for i in held - toxic]) <= 0.1
+    again = toxicity_cnn.score_toxicity(late.repartition(5), labels.repartition(3)).collect()
+    assert all(abs(r.score - got[r.doc_id].score) < 1e-6 for r in again)
+
+
 def test_toxicity_on_odd_texts(docs, no_labels):
     got = toxicity_cnn.score_toxicity(docs, no_labels).collect()
     assert len(got) == docs.count() and all(r.predicted == 0 and r.score < 0.01 for r in got)
