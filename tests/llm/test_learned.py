@@ -50,6 +50,28 @@ def test_quality_rules(corpus):
     assert np.mean(poor) <= 0.1 and np.mean(good) >= 0.95
 
 
+def test_quality_rules_learn_from_all_rows(corpus, monkeypatch):
+    for limit in ("GROW_ON", "CALIBRATE_ON"):  # what samples once were bounded by
+        monkeypatch.setattr(quality_forest, limit, 5, raising=False)
+    docs, labels = corpus
+    got = {r.doc_id: (r.kept, r.anomaly) for r in quality_forest.judge(docs, labels).collect()}
+    assert np.mean([got[i][0] for i in got if i % 9 == 0]) <= 0.1 and np.mean([got[i][0] for i in got if i % 9]) >= 0.95
+    assert {r.doc_id: (r.kept, r.anomaly) for r in quality_forest.judge(docs.repartition(5), labels.repartition(3)).collect()} == got
+
+
+def test_every_row_grows_a_tree(spark, monkeypatch):
+    rows = spark.range(900).select(F.col("id").alias("doc_id"), *[F.lit(60).cast("long").alias(c) for c in quality_forest.BASE], *[(F.col("id") * 1.0).alias(c) for c in quality_forest.RULES])
+    seen = []
+    kept = quality_forest.Forest.grown
+    monkeypatch.setattr(quality_forest.Forest, "grown", lambda trees, sizes: seen.append(sizes) or kept(trees, sizes))
+    monkeypatch.setattr(quality_forest, "PER_TREE", 1)
+    quality_forest.grow(rows)
+    assert sum(seen[0]) == 900
+    monkeypatch.setattr(quality_forest, "PER_TREE", 10_000)
+    quality_forest.grow(rows)
+    assert seen[1] == [900] * quality_forest.TREES
+
+
 def plain_statistics(t):
     t = t or ""
     w = t.encode().split()
