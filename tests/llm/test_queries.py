@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quarrylog.llm import queries
+from quarrylog.llm.common import standing
 
 DIR = "/root/testdata/sf0.001"
 COLUMNS = {
@@ -54,6 +55,23 @@ def test_pipeline(spark):
     assert sorted(r.ids_sha256 for r in out.collect()) == sorted(r.ids_sha256 for r in docs.collect())
 
 
+def test_pipeline_deletes_superseded_tables(spark, tmp_path):
+    """A stage's own tables go when the next one starts on its written result; an unwritten result keeps what it reads."""
+    docs, start = spark.read.parquet(f"{DIR}/documents.parquet"), standing()
+    (_, quality), (_, lines) = corpus_pipeline.STAGES[:2]
+    quality(spark, docs, DIR).write.parquet(str(tmp_path / "kept"))
+    own = standing() - start
+    lines(spark, spark.read.parquet(str(tmp_path / "kept")), DIR)
+    assert own and not own & standing()
+    before = standing()
+    unwritten = quality(spark, docs, DIR)
+    needed = {p for p in standing() - before if any(p.rsplit("/", 1)[1] in f for f in unwritten.inputFiles())}
+    assert needed and lines(spark, unwritten, DIR).count() == unwritten.count() and needed <= standing()
+    before = standing()
+    out = corpus_pipeline.run(spark, DIR)
+    assert len(standing() - before) == 1 and before <= standing() and out.count()
+
+
 @pytest.mark.parametrize("k", range(5))
 def test_stages_on_odd_tables(docs, empty, spark, k):
     """Null and empty texts, ties, repeated rows, null ids and columns that are named as the operators' own; and no row at all."""
