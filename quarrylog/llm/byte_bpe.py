@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -22,9 +24,12 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Pieces remembered in one worker, and the longest piece worth remembering.
-REMEMBERED = 300_000
+#: Pieces remembered in one worker, at most twice as many, and the longest piece worth remembering.  Spark's workers outlive their stage, so
+#: what one remembers is held beside every later stage.
+REMEMBERED = 1 << 17
 LONGEST = 64
+#: Slots for remembered neighbours, 8 bytes each; a later pair takes the slot of an earlier one.
+NEIGHBOURS = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,11 +52,11 @@ class ByteBPE:
         self.shorter: dict[int, int] = {}
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits = array("q", bytes(8 * NEIGHBOURS))
         for r in sorted(self.token):
             self._learn(r)
-        self.fits.clear()
         self.known: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.spelled = {str(r): t for t, r in ranks.items()}
 
     def _prefix(self, r: int) -> int:
@@ -100,12 +105,12 @@ class ByteBPE:
                         return True
 
     def _fits(self, a: int, b: int) -> bool:
-        got = self.fits.get((a, b))
-        if got is None:
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
-            got = self.fits[a, b] = self._adjacent(a, b)
-        return got
+        pair = (a << 32 | b) + 1  # 0 is an empty slot
+        at = (a * 0x9E3779B1 ^ b) % NEIGHBOURS
+        got = self.fits[at]
+        if got != pair and got != -pair:
+            got = self.fits[at] = pair if self._adjacent(a, b) else -pair
+        return got > 0
 
     def piece(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
@@ -141,9 +146,10 @@ class ByteBPE:
 
     def spell(self, piece: str) -> str:
         """The ids of a piece, in decimal, joined by spaces."""
-        got = " ".join(map(str, self.piece(piece.encode("utf-8"))))
+        got = self.older.get(piece) or " ".join(map(str, self.piece(piece.encode("utf-8"))))
         if len(piece) <= LONGEST:
-            if len(self.known) >= REMEMBERED:
+            if len(self.known) >= REMEMBERED:  # what is still in use comes back from the older ones
+                self.older = dict(self.known)
                 self.known.clear()
             self.known[piece] = got
         return got
@@ -180,10 +186,13 @@ def _run(path: str, pattern: str, ids: bool):
                 sha.append(hashlib.sha256(coded.encode("ascii")).hexdigest())
                 back.append(hashlib.sha256(bpe.decode_text(coded)).hexdigest())
                 if ids:
-                    lists.append([int(i) for i in coded.split()])
+                    lists.append(np.fromstring(coded, dtype=np.int32, sep=" ") if coded else np.zeros(0, dtype=np.int32))
             cols = [b.column(0), pa.array(count, pa.int64()), pa.array(sha, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(lists, pa.list_(pa.int32()))] * ids, names + ["ids"] * ids)
+            if ids:  # numbers of 4 bytes, never a list of Python's
+                ends = np.cumsum([0, *count], dtype=np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, dtype=np.int32), *lists]))))
+            yield pa.RecordBatch.from_arrays(cols, names + ["ids"] * ids)
 
     return run
 
