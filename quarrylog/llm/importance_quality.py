@@ -17,15 +17,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, free, materialize, small_batches
-from .quality_forest import threshold
+from .common import cleared, drop, free, materialize, small_batches
 
 BUCKETS = 1 << 14
-#: About how many labelled rows the target model and the size of the sample are taken from.
-LABELLED = 16_384
 #: The power of the likelihood ratio that documents are drawn by.  Words of a text aren't independent, so that its full
 #: ratio is overconfident; at a quarter the noise (of scale 1) matters wherever the ratio is within about e^8 of the edge.
 TEMPER = 0.25
@@ -90,6 +87,34 @@ def ordered(key: Column) -> Column:
     return F.round(key * float(1 << 32)).cast("long")
 
 
+def best_edge(known: DataFrame, worth: float = CLEAN_WORTH) -> float:
+    """The least weight still kept: most poor rows of ``known(weight, good)`` caught against good rows lost, the latter ``worth`` times.
+
+    As ``quality_forest.threshold`` of the negated weights, but on the
+    executors, whatever the number of rows: each of some thousand ranges of
+    weights finds its own best cut.
+    """
+    good, poor = F.sum(F.col("good").cast("long")), F.sum((~F.col("good")).cast("long"))
+    known = known.withColumn("range", F.floor(F.asinh("weight") * 64))
+    ranges = known.groupBy("range").agg(good.alias("good"), poor.alias("poor")).orderBy(F.desc("range")).collect()
+    n_good, n_poor = sum(r["good"] for r in ranges), sum(r["poor"] for r in ranges)
+    if not n_good or not n_poor:
+        return -math.inf
+    above, good_above, poor_above = [], 0, 0
+    for r in ranges:
+        above.append((r["range"], good_above, poor_above))
+        good_above, poor_above = good_above + r["good"], poor_above + r["poor"]
+    start = F.broadcast(known.sparkSession.createDataFrame(above, "range long, good_above long, poor_above long"))
+    upto = Window.partitionBy("range").orderBy(F.desc("weight")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Equal weights share a verdict, so each weight is one row.
+    kept = known.groupBy("range", "weight").agg(good.alias("good"), poor.alias("poor")).join(start, "range")
+    lost = (n_good - F.col("good_above") - F.sum("good").over(upto)) / n_good
+    caught = (n_poor - F.col("poor_above") - F.sum("poor").over(upto)) / n_poor
+    last = kept.select("weight", (caught - worth * lost).alias("value")).agg(F.max(F.struct("value", "weight")).alias("best")).first()["best"]["weight"]
+    below = known.where(F.col("weight") < last).agg(F.max("weight")).first()[0]
+    return last if below is None else (last + below) / 2
+
+
 def kth_largest(values: DataFrame, c: str, k: int) -> int | None:
     """The k-th largest of the longs in ``c``, by histograms of 4096 bins; the smallest if there are fewer."""
     ends = values.agg(F.min(c), F.max(c), F.count(c)).first()
@@ -121,10 +146,9 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     """``docs`` with log_weight, gumbel_key and selected: ``k`` documents sampled by weight against the labelled good texts.
 
     The raw model counts all of ``docs(doc_id, text)``; the target model counts
-    texts labelled good in ``labels(doc_id, quality)``, of about LABELLED labelled
-    rows drawn by a hash.  Without ``k`` the sample is as large as the number of
-    documents whose weight reaches the value that best separates those labelled
-    rows.  selected marks the k largest keys; ties at the edge are all selected.
+    all texts labelled good in ``labels(doc_id, quality)``.  Without ``k`` the
+    sample is as large as the number of documents whose weight reaches the value
+    that best separates all labelled rows.  selected marks the k largest keys; ties at the edge are all selected.
     All columns of ``docs`` are returned as they are: a result whose name one of
     them has gets an underscore behind it.  Null and empty texts weigh 0.
     Without labels of both kinds, and without ``k``, everything is selected.  A
@@ -133,10 +157,11 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     small_batches(docs.sparkSession)
     weight, key, selected = (free(c, docs.columns) for c in ("log_weight", "gumbel_key", "selected"))
     marked = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    marked = F.broadcast(bounded_sample(marked, LABELLED, seed, "doc_id").drop("__order"))
+    # Merged whatever the size: the table of labels grows with the documents, and no process has to hold it.
+    marked = marked.hint("merge")
     text = F.coalesce("text", F.lit("")).alias("text")
     counted = docs.select("doc_id", text).join(marked, "doc_id", "left").select("text", F.coalesce(F.col("quality") > 0, F.lit(False)).alias("target"))
-    counts = counted.mapInArrow(_count, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")).collect()
+    counts = cleared(counted.mapInArrow(_count, "model int, bucket int, n long").groupBy("model", "bucket").agg(F.sum("n").alias("n")))
     model = np.zeros((2, BUCKETS))
     for r in counts:
         model[r["model"], r["bucket"]] = r["n"]
@@ -144,11 +169,11 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     weighed = docs.withColumn(weight, log_weight(ratio)(F.col("text")))
     weighed = materialize(weighed.withColumn(key, gumbel_key(F.col(weight), F.lit(seed), F.col("doc_id"))), "weighed")
     if k is None:
-        # One weight for each labelled id, so that repeated ids can't swell what is collected.
-        known = weighed.select("doc_id", F.col(weight).alias("weight")).join(marked, "doc_id").groupBy("doc_id").agg(F.min("weight").alias("weight"), F.min("quality").alias("quality"))
-        rows = known.collect()
-        good = np.array([r["quality"] > 0 for r in rows], dtype=bool)
-        edge = -threshold(-np.array([r["weight"] for r in rows]), good, CLEAN_WORTH) if len(rows) else -math.inf
+        # One weight for each labelled id, however often it is repeated.
+        known = weighed.select("doc_id", F.col(weight).alias("weight")).join(marked, "doc_id").groupBy("doc_id").agg(F.min("weight").alias("weight"), (F.min("quality") > 0).alias("good"))
+        known = materialize(known.select("weight", "good"), "known")
+        edge = best_edge(known)
+        drop(known)
         if edge == -math.inf:
             return weighed.withColumn(selected, F.lit(True))
         k = weighed.where(F.col(weight) >= edge).count()

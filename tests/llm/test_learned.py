@@ -142,6 +142,30 @@ def test_importance_by_brute_force(corpus):
     assert any(not r.selected for r in by_weight)  # a sample, and no cut
 
 
+def test_importance_learns_from_all_labelled_rows(corpus, monkeypatch):
+    monkeypatch.setattr(importance_quality, "LABELLED", 30, raising=False)  # what a sample once was bounded by
+    docs, labels = corpus
+    rows = importance_quality.resample(docs, labels).collect()
+    grams = {r.doc_id: plain_grams(r.text) for r in docs.collect()}
+    marks = {r.doc_id: r.quality == 1 for r in labels.collect() if r.quality is not None and r.doc_id in grams}
+    raw, target = Counter(g for x in grams.values() for g in x), Counter(g for i, good in marks.items() if good for g in grams[i])
+    n_raw, n_target = sum(raw.values()) + 16384, sum(target.values()) + 16384
+    weight = {i: 0.25 * sum(math.log((target[g] + 1) / n_target) - math.log((raw[g] + 1) / n_raw) for g in x) for i, x in grams.items()}
+    assert all(abs(r.log_weight - weight[r.doc_id]) < 1e-6 for r in rows)
+    edge = -quality_forest.threshold(-np.array([weight[i] for i in marks]), np.array(list(marks.values())), importance_quality.CLEAN_WORTH)
+    assert sum(r.selected for r in rows) == sum(w >= edge for w in weight.values())
+
+
+def test_best_edge_is_that_of_all_rows(spark):
+    rng = np.random.default_rng(18)
+    for scale, worth in ((0.1, 1.0), (3.0, 5.0), (400.0, 1.0)):
+        good = rng.random(3000) < 0.7
+        weight = np.round(rng.normal(np.where(good, 1, -1), 1.5) * scale, 2)  # with equal weights
+        known = spark.createDataFrame(list(zip(weight.tolist(), good.tolist())), "weight double, good boolean")
+        assert abs(importance_quality.best_edge(known, worth) + quality_forest.threshold(-weight, good, worth)) < 1e-9
+    assert importance_quality.best_edge(known.where("good")) == importance_quality.best_edge(known.where("false")) == -math.inf
+
+
 def test_draws_follow_the_weights(spark):
     """Over many seeds the first, and the first three, of six documents are drawn as sampling without replacement draws them."""
     weight = [0.0, 0.3, 0.7, 1.1, 1.5, 2.0]
