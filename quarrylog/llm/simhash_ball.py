@@ -3,9 +3,9 @@
 Two fingerprints differ in at most 2r bits exactly if their balls of radius r
 meet.  Every distinct fingerprint emits all variants within r flipped bits;
 equal variants bring their owners together, and each collision is verified.
-The shuffle carries a variant's leading bits only: the variants that share
-them travel as one row (fingerprint, flips left) and are unfolded where they
-meet, which moves about a thirtieth of the rows and loses none.
+The variants of a ball are dealt by a few parities of their bits, and don't
+travel: the shuffle carries a fingerprint once for each of the few parts that
+its variants fall in, where they are unfolded and meet.
 """
 
 from __future__ import annotations
@@ -25,9 +25,12 @@ from .common import components, drop, free, group_starts, local_components, mate
 BITS = 64
 #: Fingerprints of each text in the near-dedup stage, each with other hashes: pairs within the distance in any of them are candidates.
 PRINTS = 8
-#: Variants unfolded at once in one task, and fingerprints for each prefix of variants: with fewer a fingerprint is sent more often.
+#: Variants unfolded at once in one task, and fingerprints whose balls one unfolding takes, about.
 AT_ONCE = 1 << 20
-CROWD = 1024
+CROWD = 512
+#: Fingerprints for each part of the shuffle, and bits that name a part, at least: with more of these a fingerprint is sent more often.
+PART = 1 << 15
+PART_BITS = 4
 #: Shingles of the texts in a block, about: larger crowds are compared in pairs of blocks.
 MASS = 100_000
 #: Cells of the matrices that are multiplied at once.
@@ -112,44 +115,68 @@ def flips(bits: range, most: int) -> np.ndarray:
     return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(bits, k)], dtype=np.uint64)
 
 
-def _spread(ways: int):
-    """A row for each fingerprint and each of ``ways`` masks of its leading bits."""
+def blocks(n: int) -> list[int]:
+    """The bits of a fingerprint dealt to ``n`` blocks, as masks."""
+    return [sum(1 << b for b in range(k, BITS, n)) for k in range(n)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            fp = b.column(0).to_numpy()
-            for k in range(0, len(fp), 20_000):
-                part = fp[k : k + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(ways, dtype=np.int16), len(part))), pa.array(np.repeat(part, ways))], ["mask", "fp"])
 
-    return run
+def parities(fp: np.ndarray, n: int) -> np.ndarray:
+    """The parities of the ``n`` blocks of bits, the first one leading.  A flip of one bit flips one of them."""
+    out = np.zeros(len(fp), dtype=np.uint64)
+    for m in blocks(n):
+        out = (out << np.uint64(1)) | (np.bitwise_count(fp & np.uint64(m)) & 1).astype(np.uint64)
+    return out
+
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part and its fingerprints, from batches that are sorted by part."""
+    now, held = None, []
+    for b in batches:
+        part, fp = b.column(0).to_numpy(), b.column(1).to_numpy().view(np.uint64)
+        starts = np.append(group_starts(part), len(part))
+        for s, e in zip(starts[:-1], starts[1:]):
+            if part[s] != now and held:
+                yield now, np.concatenate(held)
+                held = []
+            now = int(part[s])
+            held.append(fp[s:e])
+    if held:
+        yield now, np.concatenate(held)
 
-def _collide(prefix: int, radius: int):
-    """Unfold the variants of each prefix, and link the owners of equal ones: one link for each fingerprint, to its component in the batch."""
+
+def _collide(prefix: int, inner: int, radius: int):
+    """Unfold the variants that fall in each part, those of equal ``prefix`` parities at once, and link the owners of equal ones.
+
+    A part has ``inner`` parities of its own; the ones before them are its number.
+    There is one link for each fingerprint, to its component in the part.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail = [flips(range(BITS - prefix), k) for k in range(radius + 1)]
-        spare = np.array([radius - int(m).bit_count() for m in flips(range(BITS - prefix, BITS), radius)])
-        for t in whole_groups(batches, ["at"], 1):
-            at, left, fp = t.column("at").to_numpy(), spare[t.column("mask").to_numpy()], t.column("fp").to_numpy().view(np.uint64)
-            tail_bits = np.uint64(BITS - prefix)
-            flipped = (at.astype(np.uint64) << tail_bits) | (fp & ((np.uint64(1) << tail_bits) - np.uint64(1)))
-            starts = np.append(group_starts(at), len(at))
+        masks = flips(range(BITS), radius)
+        turned = parities(masks, prefix)
+        order = np.argsort(turned, kind="stable")
+        masks, turned = masks[order], turned[order]
+        starts = np.append(group_starts(turned), len(turned))
+        ways = {int(turned[s]): masks[s:e] for s, e in zip(starts[:-1], starts[1:])}  # from parities to others that differ so
+        for number, fp in _parts(batches):
+            own_parities = parities(fp, prefix)
             a, b = [], []
-            for s, e in zip(starts[:-1], starts[1:]):
-                if e - s < 2:
+            for at in range(number << inner, (number + 1) << inner):
+                differ = own_parities ^ np.uint64(at)
+                near = np.flatnonzero(np.bitwise_count(differ) <= radius)
+                if len(near) < 2:
                     continue
-                cost = sum(int((left[s:e] == k).sum()) * len(tail[k]) for k in range(radius + 1))
-                parts = -(-cost // AT_ONCE)  # more passes for a crowded prefix, never fewer variants
+                near = near[np.argsort(differ[near], kind="stable")]
+                starts = np.append(group_starts(differ[near]), len(near))
+                crowds = [(near[s:e], ways[int(differ[near[s]])]) for s, e in zip(starts[:-1], starts[1:])]
+                parts = -(-sum(len(mine) * len(m) for mine, m in crowds) // AT_ONCE)  # more passes for a crowd, never fewer variants
                 for part in range(parts):
                     v, own = [], []
-                    for k in range(radius + 1):
-                        mine = np.flatnonzero(left[s:e] == k) + s
-                        step = max(1, AT_ONCE // len(tail[k]))
+                    for mine, m in crowds:
+                        step = max(1, AT_ONCE // len(m))
                         for c in range(0, len(mine), step):
-                            x = (flipped[mine[c : c + step]][:, None] ^ tail[k][None, :]).ravel()
-                            o = np.repeat(mine[c : c + step], len(tail[k]))
+                            x = (fp[mine[c : c + step]][:, None] ^ m[None, :]).ravel()
+                            o = np.repeat(mine[c : c + step], len(m))
                             if parts > 1:
                                 keep = ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(parts) == part
                                 x, o = x[keep], o[keep]
@@ -168,9 +195,9 @@ def _collide(prefix: int, radius: int):
                     np.minimum.at(low, spot, own)
                     other = low[spot]
                     # Owners of one variant differ in at most 2 * radius bits; checked all the same.
-                    near = (own != other) & (np.bitwise_count(fp[own] ^ fp[other]) <= 2 * radius)
-                    a.append(own[near])
-                    b.append(other[near])
+                    close = (own != other) & (np.bitwise_count(fp[own] ^ fp[other]) <= 2 * radius)
+                    a.append(own[close])
+                    b.append(other[close])
             if a and len(i := np.concatenate(a)):
                 j = np.concatenate(b)
                 root = local_components(len(fp), i, j)
@@ -250,15 +277,13 @@ def link_fingerprints(prints: DataFrame, distance: int = 4) -> DataFrame:
         raise ValueError("the distance is twice the radius of the balls, which is one bit at least")
     distinct = materialize(prints.select("fp").distinct(), "prints")
     n = distinct.count()
-    prefix = int(np.clip(np.ceil(np.log2(max(n, 1) / CROWD)), 8, 26))
+    bits = int(np.clip(np.ceil(np.log2(max(n, 1) / PART)), PART_BITS, 20))
+    inner = int(np.clip(np.ceil(np.log2(max(n, 1) / CROWD)), 8, 26)) - bits
     parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = flips(range(BITS - prefix, BITS), radius).view(np.int64).tolist()
-    # The leading bits of a variant say where it goes, but don't travel: they follow from the fingerprint and the mask.
-    mask = F.element_at(F.array(*[F.lit(m).cast("long") for m in masks]), F.col("mask").cast("int") + 1)
-    at = F.shiftrightunsigned(F.col("fp").bitwiseXOR(mask), BITS - prefix)
-    # Dealt out first: the table of fingerprints has few splits, and each fingerprint makes dozens of rows.
-    spread = distinct.repartition(parts).mapInArrow(_spread(len(masks)), "mask smallint, fp long")
-    return spread.repartition(parts, at).withColumn("at", at).sortWithinPartitions("at").mapInArrow(_collide(prefix, radius), "a long, b long")
+    own = reduce(Column.bitwiseOR, [F.shiftleft(F.bit_count(F.col("fp").bitwiseAND(F.lit(int(np.uint64(m).astype(np.int64))))) % 2, bits - 1 - k) for k, m in enumerate(blocks(bits + inner)[:bits])])
+    flipped = F.explode(F.array(*[F.lit(int(m)) for m in flips(range(bits), radius)])).alias("flipped")
+    spread = distinct.select("fp", own.alias("own"), flipped).select(F.col("own").bitwiseXOR(F.col("flipped")).alias("part"), "fp")
+    return spread.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(_collide(bits + inner, inner, radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> DataFrame:
@@ -287,7 +312,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4) -> Dat
 def contracted(links: DataFrame) -> DataFrame:
     """Fewer links (a, b) with the same components: of each node one to the smallest it has, and from its others to that one.
 
-    A node has a link for each prefix of its variants, or each print, at most.
+    A node has a link for each part of its variants, or each print, at most.
     """
     stars = links.groupBy("a").agg(F.min("b").alias("low"), F.collect_set("b").alias("others"))
     return stars.select("a", F.col("low").alias("b")).unionByName(stars.select(F.explode("others").alias("a"), F.col("low").alias("b")).where("a != b")).distinct()

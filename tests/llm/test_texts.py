@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quarrylog.llm import byte_bpe, line_suffix, mixing_flow, nce_lm, simhash_ball, suffix_dedup
-from quarrylog.llm.common import components, materialize
+from quarrylog.llm.common import components, local_components, materialize
 
 from .conftest import words
 
@@ -157,6 +157,39 @@ def test_crowds_are_compared_whole(spark, monkeypatch):
         assert got == {x: min(g) for x, g in groups.items()}
 
 
+def test_a_fingerprint_is_sent_a_few_times(spark, monkeypatch):
+    def counted(*_):
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([0])], ["a", "b"])
+
+        return run
+
+    monkeypatch.setattr(simhash_ball, "_collide", counted)
+    prints = np.random.default_rng(19).integers(-(1 << 63), 1 << 63, 5000)
+    rows = simhash_ball.link_fingerprints(spark.createDataFrame([(x,) for x in prints.tolist()], "fp long")).agg(F.sum("a")).first()[0]
+    assert rows <= 12 * 5000
+
+
+def test_balls_meet_in_many_parts(spark, monkeypatch):
+    """Fingerprints that differ in few bits, dealt to many parts and to one: the same components as all pairs."""
+    rng = np.random.default_rng(20)
+    flip = lambda x, most: x ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(0, most + 1), replace=False))
+    base = [int(rng.integers(0, 1 << 63)) * 2 + 1 for _ in range(40)]
+    values = np.array(sorted({flip(base[k % 40], 9) for k in range(700)}), dtype=np.uint64)
+    near = np.bitwise_count(values[:, None] ^ values[None, :]) <= 4
+    label = local_components(len(values), *np.nonzero(near))
+    want = {frozenset(values[label == k].view(np.int64).tolist()) for k in np.unique(label) if (label == k).sum() > 1}
+    df = spark.createDataFrame([(x,) for x in values.view(np.int64).tolist()], "fp long")
+    for part, crowd in ((1 << 15, 512), (4, 1)):
+        monkeypatch.setattr(simhash_ball, "PART", part)
+        monkeypatch.setattr(simhash_ball, "CROWD", crowd)
+        groups = {}
+        for r in components(simhash_ball.link_fingerprints(df)).collect():
+            groups.setdefault(r.component, set()).add(r.node)
+        assert {frozenset(g) for g in groups.values()} == want and len(want) > 20
+
+
 def test_balls_meet_exactly_within_the_distance(spark):
     rng = np.random.default_rng(4)
     base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
