@@ -125,6 +125,26 @@ def plain_noise(seed, doc_id):
     return -math.log(-math.log((h - 2**64 * (h >> 63)) / 2**64 + 0.5))
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {n for n in (files.apply(k).getName() for k in range(files.size())) if n.startswith("shuffle_")}
+
+
+def test_no_text_is_left_in_shuffle_files(corpus, monkeypatch):
+    # The texts that the counts shuffled are gone before the weighed table, which holds them again, is written.
+    docs, labels = corpus
+    before, left = shuffle_files(docs.sparkSession), []
+    write = importance_quality.materialize
+
+    def watched(df, name, *more):
+        left.append(shuffle_files(docs.sparkSession) - before)
+        return write(df, name, *more)
+
+    monkeypatch.setattr(importance_quality, "materialize", watched)
+    importance_quality.resample(docs, labels, k=300)
+    assert left == [set()]
+
+
 def test_importance_by_brute_force(corpus):
     docs, labels = corpus
     got = {r.doc_id: r for r in importance_quality.resample(docs, labels, k=300).collect()}
