@@ -53,8 +53,11 @@ SHARD = 4_000_000
 MOST_SHARDS = 4096
 #: Neighbours that tell symbols apart: the commonest, and one for all others.
 BESIDE = 65
-#: Positions handled at once.
+#: Positions handled at once: of training, which they cut into batches, and of scoring.
 AT_ONCE = 16_384
+SCORED_AT_ONCE = 32_768
+#: Positions of one group that are scored by one product.
+BLOCK = 32
 #: Words whose counts every worker holds, at most: the commonest.  Counts of the others are joined.
 HELD = 300_000
 #: Parameters are summed over shards as multiples of this.
@@ -86,15 +89,18 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return (1 / (1 + np.exp(-np.clip(x, -30, 30)))).astype(np.float32)
+    x = np.clip(x, -30, 30).astype(np.float32, copy=False)
+    np.exp(np.negative(x, out=x), out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ``rows`` and the sums of their values."""
+    """The distinct ``rows`` and the sums of their values, whose columns are even in number: two are added at once, as a complex number."""
     order = np.argsort(rows.astype(np.uint16), kind="stable")  # by radix
-    found = rows[order]
+    found = rows.take(order)
     first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-    return found[first], np.add.reduceat(values[order], first, axis=0)
+    return found.take(first), np.add.reduceat(values.take(order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
 
 
 def _draw(edges: np.ndarray, rng: np.random.Generator, n: int) -> np.ndarray:
@@ -132,41 +138,60 @@ class LogBilinear:
 
     @staticmethod
     def _log_softmax(h: np.ndarray, target: np.ndarray, own: np.ndarray, shift: bool) -> np.ndarray:
-        """``h`` ends in ones, which meet the biases at the end of ``target``."""
-        z = h @ target.T
-        got = z[np.arange(len(z)), own]
-        if not shift:
-            np.exp(z, out=z)
-            return got - np.log(z @ np.ones(z.shape[1], dtype=np.float32))
-        top = z.max(axis=1)
-        np.exp(z - top[:, None], out=z)
-        return got - top - np.log(z @ np.ones(z.shape[1], dtype=np.float32))
+        """For blocks of rows ``h``, each against its matrix in ``target``; ``h`` ends in ones, which meet the biases."""
+        z = np.matmul(h, target)
+        got = z.reshape(-1).take(np.arange(own.size).reshape(own.shape) * z.shape[2] + own)
+        if shift:
+            top = z.max(axis=2)
+            z -= top[:, :, None]
+            got -= top
+        np.exp(z, out=z)
+        return got - np.log(np.matmul(z, np.ones(z.shape[2], dtype=np.float32)))
 
     def scorer(self) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
-        """From (symbols before, symbol) of positions to natural log probabilities: of a symbol's group, and of it within the group."""
+        """From (symbols before, symbol) of positions to natural log probabilities: of a symbol's group, and of it within the group.
+
+        Positions go in blocks of BLOCK of one group, filled up with zeros: every product has the same shape, so what is
+        rounded hardly depends on the positions that stand beside one.
+        """
         turned = [self.context @ self.position[j] for j in range(CONTEXT)]
+        far = sum(np.sqrt(np.einsum("nd,nd->n", t, t).max()) for t in turned)
+        shift = any((np.sqrt(np.einsum("nd,nd->n", q, q)) * far + np.abs(c)).max() > 60 for q, c in ((self.target, self.bias), (self.group_target, self.group_bias)))  # else exp can't overflow
+        # The row behind those of the symbols is what stands before no position.
+        turned = [np.vstack([np.column_stack([t, np.full(SYMBOLS, j == 0)]), np.zeros((1, DIM + 1))]).astype(np.float32) for j, t in enumerate(turned)]
         members = np.argsort(self.group, kind="stable")
-        first = np.searchsorted(self.group[members], np.arange(GROUPS + 1))
+        size = np.bincount(self.group, minlength=GROUPS)
         place = np.empty(SYMBOLS, dtype=np.int64)
-        place[members] = np.arange(SYMBOLS) - first[self.group[members]]
-        target = np.column_stack([self.target, self.bias])[members]
-        group_target = np.column_stack([self.group_target, self.group_bias])
-        longest = max(np.einsum("nd,nd->n", q, q).max() for q in (target, group_target))
+        place[members] = np.arange(SYMBOLS) - np.repeat(np.cumsum(size) - size, size)
+        target = np.zeros((GROUPS, DIM + 1, size.max()), dtype=np.float32)
+        target[:, DIM] = -1e30  # of no symbol
+        target[self.group, :, place] = np.column_stack([self.target, self.bias])
+        group_target = np.ascontiguousarray(np.column_stack([self.group_target, self.group_bias]).T)
+        several = 32  # blocks at once, whose products stay in the cache
 
         def log_prob(before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-            own = self.group[symbol]
+            own = self.group.take(symbol)
             order = np.argsort(own.astype(np.uint16), kind="stable")
-            h = np.ones((len(symbol), DIM + 1), dtype=np.float32)
-            h[:, :DIM] = sum(turned[j][before[order, j]] for j in range(CONTEXT))
-            shift = bool(np.sqrt(np.einsum("nd,nd->n", h, h).max() * longest) > 60)  # else exp can't overflow
-            cut = np.searchsorted(own[order], np.arange(GROUPS + 1))
-            at, got = place[symbol[order]], self._log_softmax(h, group_target, own[order], shift)
-            for g in range(GROUPS):
-                if cut[g] < cut[g + 1]:
-                    rows = slice(cut[g], cut[g + 1])
-                    got[rows] += self._log_softmax(h[rows], target[first[g] : first[g + 1]], at[rows], shift)
+            n = np.bincount(own, minlength=GROUPS)
+            blocks = -(-n // BLOCK)
+            of = np.repeat(np.arange(GROUPS), blocks)
+            slot = np.arange(len(symbol)) + np.repeat((np.cumsum(blocks) - blocks) * BLOCK - (np.cumsum(n) - n), n)
+            dealt = np.full((CONTEXT, len(of) * BLOCK), SYMBOLS, dtype=np.int64)
+            for j in range(CONTEXT):
+                dealt[j, slot] = before[:, j].take(order)
+            at = np.zeros(len(of) * BLOCK, dtype=np.int64)
+            at[slot] = place.take(symbol.take(order))
+            dealt, at = dealt.reshape(CONTEXT, -1, BLOCK), at.reshape(-1, BLOCK)
+            got = np.empty((len(of), BLOCK), dtype=np.float32)
+            for k in range(0, len(of), several):
+                b = slice(k, k + several)
+                h = turned[0].take(dealt[0, b], axis=0)
+                for j in range(1, CONTEXT):
+                    h += turned[j].take(dealt[j, b], axis=0)
+                mine = np.broadcast_to(of[b, None], at[b].shape)
+                got[b] = self._log_softmax(h, group_target, mine, shift) + self._log_softmax(h, target.take(of[b], axis=0), at[b], shift)
             out = np.empty(len(symbol), dtype=np.float32)
-            out[order] = got
+            out[order] = got.reshape(-1).take(slot)
             return out
 
         return log_prob
@@ -190,25 +215,33 @@ class Training:
     @staticmethod
     def _move(part: np.ndarray, squares: np.ndarray, at: np.ndarray | slice, grad: np.ndarray) -> None:
         """Adagrad on the rows ``at``."""
-        total = squares[at] + grad * grad
+        total = grad * grad
+        total += squares[at]
         squares[at] = total
-        part[at] -= RATE * grad / np.sqrt(total + 1e-8)
+        total += 1e-8
+        part[at] -= RATE * grad / np.sqrt(total, out=total)
 
     @staticmethod
     def _contrast(h: np.ndarray, target: np.ndarray, bias: np.ndarray, symbol: np.ndarray, noise: np.ndarray, log_kq: np.ndarray) -> tuple:
         """Gradients: of ``h``, and of vectors and biases at the rows that real and noise samples name."""
-        n, q, qn = len(symbol), target[symbol], target[noise]
-        real = (_sigmoid(np.einsum("nd,nd->n", h, q) + bias[symbol] - log_kq[symbol]) - 1) / np.float32(n)
-        fake = _sigmoid(h @ qn.T + (bias[noise] - log_kq[noise])) / np.float32(n)
-        values = np.empty((n + len(noise), DIM + 1), dtype=np.float32)
-        values[:n, :DIM], values[:n, DIM] = real[:, None] * h, real
+        n, q, qn = len(symbol), target.take(symbol, axis=0), target.take(noise, axis=0)
+        real = (_sigmoid(np.einsum("nd,nd->n", h, q) + bias.take(symbol) - log_kq.take(symbol)) - 1) / np.float32(n)
+        fake = h @ qn.T
+        fake += bias.take(noise) - log_kq.take(noise)
+        fake = _sigmoid(fake)
+        fake /= np.float32(n)
+        values = np.zeros((n + len(noise), DIM + 2), dtype=np.float32)
+        np.multiply(real[:, None], h, out=values[:n, :DIM])
+        values[:n, DIM] = real
         values[n:, :DIM], values[n:, DIM] = fake.T @ h, fake.sum(axis=0)
         at, sums = _sums(np.concatenate([symbol, noise]), values)
-        return real[:, None] * q + fake @ qn, at, sums[:, :DIM], sums[:, DIM]
+        q *= real[:, None]
+        q += fake @ qn
+        return q, at, sums[:, :DIM], sums[:, DIM]
 
     def step(self, before: np.ndarray, symbol: np.ndarray) -> None:
         m, (s_context, s_position, s_target, s_bias, s_group, s_group_bias) = self.model, self.squares
-        r = [m.context[before[:, j]] for j in range(CONTEXT)]
+        r = [m.context.take(before[:, j], axis=0) for j in range(CONTEXT)]
         h = sum(r[j] @ m.position[j] for j in range(CONTEXT))
         dh, at, d_target, d_bias = self._contrast(h, m.target, m.bias, symbol, _draw(self.edges, self.rng, NOISE), self.log_kq)
         more, groups, d_group, d_group_bias = self._contrast(h, m.group_target, m.group_bias, m.group[symbol], _draw(self.group_edges, self.rng, GROUP_NOISE), self.group_log_kq)
@@ -393,7 +426,7 @@ def _score(flat: np.ndarray, group: np.ndarray, head: list[bytes], held, log_tot
                     symbols.append(sym)
                 score = np.array(extra)
                 if symbols:
-                    lp = np.concatenate([log_prob(*p) for p in positions(symbols, AT_ONCE)]).astype(np.float64)
+                    lp = np.concatenate([log_prob(*p) for p in positions(symbols, SCORED_AT_ONCE)]).astype(np.float64)
                     score = score + np.add.reduceat(lp, np.cumsum([0, *map(len, symbols[:-1])])) / math.log(10)
                 rid = task + index + np.arange(part.num_rows)
                 index += part.num_rows

@@ -429,6 +429,26 @@ def test_model_is_normalised():
         assert abs(float(model.log_prob(before[:1], np.array([s]))[0]) - want) < 1e-3 * max(1, abs(want))
 
 
+def test_scores_do_not_depend_on_what_is_scored_beside():
+    prior, group, model = uniform_model()
+    model.bias[:] = np.random.default_rng(2).normal(-8, 2, nce_lm.SYMBOLS)
+    symbols = np.random.default_rng(9).zipf(1.3, 30_000).astype(np.uint16) % nce_lm.SYMBOLS
+    (before, symbol), *_ = nce_lm.positions([symbols.astype(np.uint16)], 40_000)
+    log_prob = model.scorer()
+    whole = log_prob(before, symbol)
+    for size in (1, 7, 500, 9_000):
+        for k in (0, 12_345, 20_000):
+            assert np.array_equal(log_prob(before[k : k + size], symbol[k : k + size]), whole[k : k + size])
+    assert len(log_prob(before[:0], symbol[:0])) == 0
+
+
+def test_rows_are_summed_by_symbol():
+    rng = np.random.default_rng(4)
+    rows, values = rng.integers(0, 50, 700), rng.random((700, 18)).astype(np.float32)
+    found, sums = nce_lm._sums(rows, values)
+    assert np.array_equal(found, np.unique(rows)) and np.allclose(sums, [values[rows == r].sum(axis=0) for r in found], rtol=1e-5)
+
+
 def test_model_learns():
     prior, group, model = uniform_model()
     symbols = np.tile(np.arange(8, dtype=np.uint16), 2000)
